@@ -89,22 +89,26 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word's bytes."""
-        out = np.empty(len(self), np.uint64)
-        at = 0
-        while at < len(self):
-            lo = int(self.start[at])
-            upto = max(at + 1, int(np.searchsorted(self.end, lo + SLICE, side="right")))
-            hi = int(self.end[upto - 1])
-            up, down = _powers("byte", hi - lo + 1)
-            total = np.zeros(hi - lo + 1, np.uint64)
-            part = self.data[lo:hi].astype(np.uint64)
-            part += np.uint64(1)
-            part *= up[: hi - lo]
-            np.cumsum(part, out=total[1:])
-            s, e = self.start[at:upto] - lo, self.end[at:upto] - lo
-            out[at:upto] = (total[e] - total[s]) * down[s]
-            at = upto
-        return mix(out)
+        return hash_ranges(self.data, self.start, self.end)
+
+
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start:end] for each of the ranges, which follow one another."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        lo = int(start[at])
+        upto = max(at + 1, int(np.searchsorted(end, lo + SLICE, side="right")))
+        hi = int(end[upto - 1])
+        up, down = _powers("byte", hi - lo + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        part = data[lo:hi].astype(np.uint64)
+        part += np.uint64(1)
+        part *= up[: hi - lo]
+        np.cumsum(part, out=total[1:])
+        out[at:upto] = (total[end[at:upto] - lo] - total[start[at:upto] - lo]) * down[start[at:upto] - lo]
+        at = upto
+    return mix(out)
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -140,30 +144,40 @@ def expand_ranges(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def text_hashes(column: pa.Array) -> np.ndarray:
     """64-bit hash of each whole value."""
     data, offsets = byte_buffers(column)
-    out = np.zeros(len(offsets) - 1, np.uint64)
     size = np.diff(offsets)
-    some = np.flatnonzero(size)
-    if len(some):
-        w = Words.__new__(Words)
-        w.data, w.start, w.end = data, offsets[:-1][some], offsets[1:][some]
-        out[some] = w.hashes()
-    return mix(out + size.astype(np.uint64))
+    return mix(hash_ranges(data, offsets[:-1], offsets[1:]) + size.astype(np.uint64))
 
 
 _UNICODE: dict[str, np.ndarray] = {}
 
 
 def unicode_class(name: str) -> np.ndarray:
-    """A table over all code points: word (letters, digits, underscore) or space."""
+    """A table over all code points: word (letters, digits, underscore), space, or visible (no space)."""
     if name not in _UNICODE:
         chars = [chr(i) for i in range(0x110000)]
         word = np.fromiter((c.isalnum() for c in chars), bool, 0x110000)
         word[ord("_")] = True
         _UNICODE["word"] = word
         _UNICODE["space"] = np.fromiter((c.isspace() for c in chars), bool, 0x110000)
+        _UNICODE["visible"] = ~_UNICODE["space"]
     return _UNICODE[name]
 
 
+_LOWER: list[np.ndarray] = []
+
+
+def lower_table() -> np.ndarray:
+    """The lower case of each code point, where it is a single one."""
+    if not _LOWER:
+        low = np.arange(0x110000, dtype=np.uint32)
+        for i in range(0x20000):
+            c = chr(i).lower()
+            if len(c) == 1:
+                low[i] = ord(c)
+        _LOWER.append(low)
+    return _LOWER[0]
+
+
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of a string column and the offset of each value."""
     size = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
