@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelle.llm import neardup
+from trovelle.llm import neardup, quality, spans
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -24,6 +24,36 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return chunk.select(F.lit("chunk").alias("kind"), "*").union(title.select(F.lit("title").alias("kind"), "*"))
 
 
+def _common(spark: SparkSession, sf: str) -> list[str]:
+    """The list of common words: a fixed table of 113 rows."""
+    return [r[0] for r in _read(spark, sf, "common_words").select("word").distinct().where("word is not null").collect()]
+
+
+def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    texts = quality.chunk_texts(_read(spark, sf, "chunks")).union(quality.block_texts(_read(spark, sf, "source_documents")))
+    return quality.statistics(quality.text_counts(texts, ["kind", "ref"], "text", _common(spark, sf)))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_statistics(spark, sf).where("not is_prose").select("kind", "ref")
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = spans.records(_read(spark, sf, "chunks"), "chunk", "chunk_id", "text", "document_id", "indexed_at")
+    questions = spans.records(_read(spark, sf, "eval_questions"), "question", "question_id", "question", None, "created_at")
+    return spans.shared_runs(chunks.union(questions))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _runs(spark, sf).where("first_word is not null").select("kind", "ref", "first_word", "last_word")
+
+
+def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
+    shares = spans.shared_shares(_runs(spark, sf))
+    asked = _read(spark, sf, "eval_questions").groupBy(F.col("question_id").alias("ref")).agg(F.max_by("lexical_overlap", "created_at").alias("lexical_overlap"))
+    return shares.join(asked.withColumn("kind", F.lit("question")), ["kind", "ref"], "left")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
