@@ -93,7 +93,7 @@ class Counter:
         breaks = np.flatnonzero(points == 10)
         line_start = np.union1d(offsets[:-1], breaks + 1)
         line_start = line_start[line_start < len(points)]
-        line_end = np.concatenate([line_start[1:], [len(points)]])
+        line_end = np.concatenate([line_start[1:], [len(points)]])[: len(line_start)]
         at = np.flatnonzero(K.unicode_class("visible")[points])
         last = np.searchsorted(at, line_end) - 1
         seen = last >= np.searchsorted(at, line_start)
@@ -104,7 +104,7 @@ class Counter:
         ends, closes = np.array([ord(c) for c in LINE_ENDS]), np.array([ord(c) for c in CLOSERS])
         good = np.isin(c1, ends) | (np.isin(c1, closes) & np.isin(c2, ends))
         first_of = line_start == offsets[:-1][text]
-        last_of = (line_end == offsets[1:][text]) & (points[line_end - 1] != 10)
+        last_of = (line_end == offsets[1:][text]) & (points[np.maximum(line_end - 1, 0)] != 10) if len(points) else np.zeros(len(line_end), bool)
         whole_line = ~((first_of & cut_before[text]) | (last_of & cut_after[text]))
         np.add.at(lines, text[seen & whole_line], 1)
         np.add.at(ended, text[seen & whole_line & good], 1)
@@ -179,7 +179,10 @@ def _line(end: str, out: dict) -> None:
 
 
 def text_counts(texts: DataFrame, keys: list[str], text: str, common: list[str], piece: int = PIECE) -> DataFrame:
-    """keys and COUNTS, one row a row of texts; keys must be strings. A null text counts as an empty one."""
+    """keys and COUNTS, one row a row of texts (texts of more than a piece: one a different key); keys must be strings.
+
+    A null text counts as an empty one.
+    """
     schema = ", ".join(f"{k} string" for k in keys) + ", " + _SCHEMA
     narrow = texts.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -211,7 +214,7 @@ def text_counts(texts: DataFrame, keys: list[str], text: str, common: list[str],
         return step
 
     few = narrow.where(F.length("text") <= piece).mapInArrow(short, schema)
-    cuts = narrow.where(F.length("text") > piece).withColumn("n", F.expr(f"cast((length(text) - 1) div {piece} as int)"))
+    cuts = narrow.where(F.length("text") > piece).groupBy(*keys).agg(F.max("text").alias("text")).withColumn("n", F.expr(f"cast((length(text) - 1) div {piece} as int)"))
     cuts = cuts.select(*keys, "text", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("at"))
     cuts = cuts.select(*keys, F.expr(f"substring(text, at * {piece} + 1, {piece})").alias("text"), F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"))
     state = cuts.mapInArrow(long_, schema + ", at long")
@@ -224,11 +227,13 @@ def verdict() -> Column:
     """Whether a text is prose, by its counts; texts under 40 characters are taken as prose.
 
     Sentences hold a steady share of common words (in this corpus 0.20 to 0.38). Lists and tables have
-    few, chance sequences of words too many or no punctuation, damaged text many odd words.
+    few, chance sequences of words too many without punctuation, damaged text many odd words. Between
+    clear lists and clear sentences, long lines with few symbols are taken as sentences.
     """
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    common, odd, symbols = F.col("n_common") / words, F.col("n_odd") / words, F.col("n_symbols") / F.greatest(F.col("n_chars"), F.lit(1))
-    junk = (common < 0.165) | (odd > 0.3) | ((common > 0.42) & (symbols < 0.012)) | (symbols > 0.25)
+    words, lines, chars = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_lines", "n_chars"))
+    common, odd, symbols = F.col("n_common") / words, F.col("n_odd") / words, F.col("n_symbols") / chars
+    between = (common < 0.165) & ~((common >= 0.115) & (F.col("n_chars") / lines >= 130) & (symbols < 0.045))
+    junk = between | (odd > 0.3) | ((common > 0.42) & (symbols < 0.012)) | (symbols > 0.25)
     return (F.col("n_chars") < 40) | ~junk
 
 
@@ -249,18 +254,25 @@ def statistics(counts: DataFrame) -> DataFrame:
     )
 
 
-def chunk_texts(chunks: DataFrame) -> DataFrame:
-    """(kind, ref, text) of the chunks with a key, one row a key: the latest, the greater text among equals."""
-    latest = chunks.where("chunk_id is not null").groupBy(F.col("chunk_id").cast("string").alias("ref"))
-    return latest.agg(F.max(F.struct(F.coalesce("indexed_at", F.to_timestamp(F.lit("1970-01-01"))).alias("t"), F.coalesce("text", F.lit("")).alias("text"))).alias("m")).select(
-        F.lit("chunk").alias("kind"), "ref", F.col("m.text").alias("text")
-    )
+_EPOCH = "timestamp'1970-01-01 00:00:00'"
+
 
+def chunk_texts(chunks: DataFrame, *more: str) -> DataFrame:
+    """(kind, ref, stamp, text, and more columns) of the chunks with a key; stamp orders the rows of a key."""
+    stamp = F.lpad(F.unix_micros(F.coalesce("indexed_at", F.expr(_EPOCH))).cast("string"), 20, "0")
+    return chunks.where("chunk_id is not null").select(F.lit("chunk").alias("kind"), F.col("chunk_id").cast("string").alias("ref"), stamp.alias("stamp"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
-def block_texts(documents: DataFrame) -> DataFrame:
-    """(kind, ref, text) of the blocks; a document ingested again counts once (its latest row)."""
-    latest = documents.where("document_id is not null").groupBy("document_id")
-    latest = latest.agg(F.max_by("blocks", F.struct(F.coalesce("ingested_at", F.to_timestamp(F.lit("1970-01-01"))), F.coalesce(F.size("blocks"), F.lit(0)))).alias("blocks"))
-    return latest.select("document_id", F.posexplode("blocks").alias("pos", "block")).select(
-        F.lit("block").alias("kind"), F.concat(F.col("document_id").cast("string"), F.lit("#"), F.col("pos").cast("string")).alias("ref"), F.coalesce("block.text", F.lit("")).alias("text")
+
+def block_texts(documents: DataFrame, *more: str) -> DataFrame:
+    """(kind, ref, stamp, text, and more fields) of the blocks of the documents with a key."""
+    stamp = F.lpad(F.unix_micros(F.coalesce("ingested_at", F.expr(_EPOCH))).cast("string"), 20, "0")
+    return documents.where("document_id is not null").select("document_id", stamp.alias("stamp"), F.posexplode("blocks").alias("pos", "block")).select(
+        F.lit("block").alias("kind"), F.concat(F.col("document_id").cast("string"), F.lit("#"), F.col("pos").cast("string")).alias("ref"), "stamp", F.coalesce("block.text", F.lit("")).alias("text"), *(F.col(f"block.{c}").alias(c) for c in more)
     )
+
+
+def latest_counts(texts: DataFrame, common: list[str]) -> DataFrame:
+    """(kind, ref, COUNTS), one row a key: those of its latest row, the greater counts among equals."""
+    counts = text_counts(texts, ["kind", "ref", "stamp"], "text", common)
+    one = counts.groupBy("kind", "ref").agg(F.max(F.struct("stamp", *COUNTS)).alias("m"))
+    return one.select("kind", "ref", *(F.col(f"m.{c}").alias(c) for c in COUNTS))

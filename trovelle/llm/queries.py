@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelle.llm import neardup, quality, spans
+from trovelle.llm import neardup, pairs, quality, spans, splitting
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -31,7 +31,7 @@ def _common(spark: SparkSession, sf: str) -> list[str]:
 
 def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
     texts = quality.chunk_texts(_read(spark, sf, "chunks")).union(quality.block_texts(_read(spark, sf, "source_documents")))
-    return quality.statistics(quality.text_counts(texts, ["kind", "ref"], "text", _common(spark, sf)))
+    return quality.statistics(quality.latest_counts(texts, _common(spark, sf)))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,6 +54,20 @@ def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares.join(asked.withColumn("kind", F.lit("question")), ["kind", "ref"], "left")
 
 
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = quality.chunk_texts(_read(spark, sf, "chunks"), "section")
+    blocks = quality.block_texts(_read(spark, sf, "source_documents"), "section")
+    return splitting.split_texts(chunks.union(blocks), ["kind", "ref"])
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_pieces(spark, sf).where("piece = 0 and n_pieces > 1").select("kind", "ref")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.pair_defects(_read(spark, sf, "answers"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
