@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelle.llm import neardup, pairs, quality, spans, splitting
+from trovelle.llm import mixing, neardup, packing, pairs, pii, quality, spans, splitting
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -68,6 +68,34 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.pair_defects(_read(spark, sf, "answers"))
 
 
+def p7_placements(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_read(spark, sf, "documents"), _read(spark, sf, "containers"))
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill(p7_placements(spark, sf))
+
+
+def p8_chosen(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_sources(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(p8_chosen(spark, sf), _read(spark, sf, "mix_targets"))
+
+
+def _personal(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_spans(_read(spark, sf, "documents"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _personal(spark, sf).select("doc_id", "kind", "value").distinct()
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact(_read(spark, sf, "documents"), _personal(spark, sf))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
