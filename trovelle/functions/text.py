@@ -184,8 +184,8 @@ def count_tokens(text: Column) -> Column:
 
 def truncate_tokens(text: Column, most: int) -> Column:
     """The text up to the end of its `most`-th token."""
-    head = F.regexp_extract(text, rf"(?s)^[\s\p{{Z}}]*(?:(?:{TOKEN})[\s\p{{Z}}]*){{{most}}}", 0)
-    return F.when(count_tokens(text) <= most, text).otherwise(F.regexp_replace(head, r"[\s\p{Z}]+$", ""))
+    parts = F.regexp_extract_all(text, F.lit(rf"[\s\p{{Z}}]*(?:{TOKEN})"), F.lit(0))
+    return F.when(F.size(parts) <= most, text).otherwise(F.array_join(F.slice(parts, 1, most), ""))
 
 
 def sentences(text: Column) -> Column:

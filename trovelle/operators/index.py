@@ -37,6 +37,31 @@ def term_stats(tok: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def hashed_vectors(df: DataFrame, key: str, text: Column, dim: int = 64) -> DataFrame:
+    """(key, v): the same embedding as dense unit vectors; a text without words has the zero vector. Words are hashed once a worker."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    tok = df.where(F.col(key).isNotNull()).select(F.col(key), T.tokenize(text).alias("t"))
+
+    def run(batches):
+        cells: dict[str, int] = {}
+        for batch in batches:
+            owner = np.repeat(np.arange(len(batch)), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            words = batch.column(1).flatten().to_pylist()
+            for w in set(words) - cells.keys():
+                cells[w] = int(hashlib.sha1(w.encode()).hexdigest()[:6], 16) % dim
+            flat = np.bincount(owner * dim + np.fromiter((cells[w] for w in words), np.int64, len(words)), minlength=len(batch) * dim).astype(float)
+            v = flat.reshape(len(batch), dim)
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            v = v / np.where(norm > 0, norm, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim), pa.int32()), pa.array(v.ravel()))], names=[key, "v"])
+
+    return tok.mapInArrow(run, f"{key} {tok.dtypes[0][1]}, v array<double>")
+
+
 def hashed_embedding(chunks: DataFrame, key: str, text: Column, dim: int = 64) -> DataFrame:
     """(key, dim_idx, value): unit-length feature-hashed term counts in sparse rows, the offline default of the embedder."""
     term = chunks.select(key, F.explode(T.tokenize(text)).alias("term"))

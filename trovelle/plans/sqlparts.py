@@ -76,6 +76,11 @@ def n_tokens(expr: str) -> str:
     return f"len(regexp_extract_all(coalesce({expr}, ''), {lit(T.TOKEN)}))"
 
 
+def truncate(expr: str, most: int) -> str:
+    parts = f"regexp_extract_all({expr}, {lit(rf'[\s\p{{Z}}]*(?:{T.TOKEN})')})"
+    return f"CASE WHEN len({parts}) <= {most} THEN {expr} ELSE array_to_string({parts}[1:{most}], '') END"
+
+
 def sentences(expr: str) -> str:
     """A mark is set at each end and taken away again behind abbreviations."""
     e = re_sub(f"coalesce({expr}, '')", r"([.!?])([\s\p{Z}]+)([A-Z0-9(])", "'\\1' || chr(1) || '\\2\\3'")

@@ -163,8 +163,7 @@ def ch_truncate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["ch7_truncate"] = ch_truncate
-SQL["ch7_truncate"] = f"""WITH {S.DOCUMENTS}, {S.BLOCKS} SELECT document_id, block_idx, CASE WHEN {S.n_tokens('text')} <= 40 THEN text ELSE
-regexp_replace(regexp_extract(text, {S.lit(rf'(?s)^[\s\p{{Z}}]*(?:(?:{T.TOKEN})[\s\p{{Z}}]*){{40}}')}), '[\\s\\p{{Z}}]+$', '') END AS head, {S.n_tokens('text')}::BIGINT AS n_tokens FROM b"""
+SQL["ch7_truncate"] = f"WITH {S.DOCUMENTS}, {S.BLOCKS} SELECT document_id, block_idx, {S.truncate('text', 40)} AS head, {S.n_tokens('text')}::BIGINT AS n_tokens FROM b"
 
 
 def ch_paginate(spark: SparkSession, sf: str) -> DataFrame:
