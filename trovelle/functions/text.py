@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,10 +152,8 @@ def clean_text(text: Column, drop_citations: bool = True) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Unicode compatibility form; Arrow batches, for Spark has no such function."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")
 
