@@ -52,5 +52,18 @@ def queries() -> dict:
     return {"p5_found": p5_found, "p5_objects": p5_objects, "p5_source": p5_source} | {f"p5_{f}": _flat(f) for f in COLUMNS}
 
 
+_NAMES = "|".join(nested.NODE_FIELDS)
+_LONE = "fullkey"
+for _ in range(2):  # twice, for lone objects that follow one another
+    _LONE = f"regexp_replace({_LONE}, '\\.({_NAMES})(\\.|$)', '.\\1[0]\\2', 'g')"
+#: Payloads as they are, and those whose extra is a text with the JSON in its place.
+P5 = f"""WITH r AS (SELECT record_id, payload FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY received_at DESC NULLS LAST, payload DESC) AS rn FROM raw_documents) WHERE rn = 1 AND json_valid(payload)),
+t AS (SELECT record_id, '' AS pre, payload AS body FROM r UNION ALL SELECT record_id, '.extra', payload ->> '$.extra' FROM r WHERE json_type(payload, '$.extra') = 'VARCHAR' AND json_valid(payload ->> '$.extra')),
+k AS (SELECT record_id, '$' || pre || substr(e.fullkey, 2) AS fullkey FROM t, json_tree(t.body) e WHERE e.type = 'OBJECT'),
+n AS (SELECT record_id, {_LONE} AS node_path FROM k)
+SELECT record_id, node_path, CASE WHEN regexp_matches(node_path, '^.*\\.({_NAMES})\\[[0-9]+\\].*\\.({_NAMES})\\[[0-9]+\\]$') THEN regexp_extract(node_path, '^(.*\\.({_NAMES})\\[[0-9]+\\]).*\\.({_NAMES})\\[[0-9]+\\]$', 1) ELSE '$' END AS parent_path
+FROM n WHERE regexp_matches(node_path, '\\.({_NAMES})\\[[0-9]+\\]$')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": P5}
