@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelle.llm import mixing, neardup, packing, pairs, pii, quality, spans, splitting
+from trovelle.llm import mixing, neardup, packing, pairs, pii, quality, spans, splitting, sql
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -34,6 +34,11 @@ def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.statistics(quality.latest_counts(texts, _common(spark, sf)))
 
 
+def p2_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    shares = ("mean_word_length", "symbol_share", "ended_line_share", "common_word_share")
+    return p2_statistics(spark, sf).select("kind", "ref", "n_words", *(F.round(c, 6).alias(c) for c in shares))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_statistics(spark, sf).where("not is_prose").select("kind", "ref")
 
@@ -101,4 +106,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": sql.P1, "p2_ratios": sql.P2, "p3_found": sql.P3, "p4_found": sql.P4}
