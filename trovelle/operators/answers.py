@@ -16,6 +16,7 @@ PRICES = {
 }
 # Fixed value: the phrase by which an answer refuses.
 REFUSAL = "do not contain information"
+# Fixed value: what is said where there is no context; refusal metrics know the phrase.
 NOTHING_FOUND = "The information could not be found."
 
 

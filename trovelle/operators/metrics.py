@@ -99,7 +99,7 @@ def is_refusal(text: Column) -> Column:
 def lower_quantile(values: str, p: float) -> Column:
     """The value at place floor(p * (n - 1)) of the sorted values, exactly."""
     v = F.sort_array(F.collect_list(values))
-    return F.try_element_at(v, (F.floor(p * (F.size(v) - 1)) + 1).cast("int"))
+    return F.get(v, F.floor(p * (F.size(v) - 1)).cast("int"))
 
 
 def ranked_quantiles(df: DataFrame, value: str, ps: tuple[float, ...], *by: str) -> DataFrame:
