@@ -124,7 +124,11 @@ def length_spikes(answers: DataFrame, factor: float = 8.0, window: int = 20) ->
 
 
 def final_words(answers: DataFrame) -> DataFrame:
-    """(word, final_rate, n): how often each word of the responses ends a sentence or a cited statement."""
+    """(word, final_rate, n): how often each word of the responses ends a sentence or a cited statement.
+
+    A last word without a stop is in question itself and does not count.
+    """
+    answers = answers.select(F.regexp_replace("answer", r"[\p{L}]+\)*\s*$", "").alias("answer"))
     words = answers.select(F.explode(F.regexp_extract_all(F.lower("answer"), F.lit(r"[\p{L}]+\)*(?:[.!?](?=\s|$)|(?=\s*\[\d))?"), F.lit(0))).alias("w"))
     ends = answers.select(F.explode(F.regexp_extract_all(F.lower("answer"), F.lit(r"([\p{L}]+)\)*(?=[.!?](?:\s|$)|\s*\[\d{1,3}\])"), F.lit(1))).alias("w"))
     total = words.groupBy(F.regexp_extract("w", r"^[\p{L}]+", 0).alias("word")).agg(F.count(F.lit(1)).alias("n"))
