@@ -33,11 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to executors that cannot see the driver's path; once a context."""
+    """Sends this package to workers that would not find it: once a context, and not where PYTHONPATH names its place already."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_trovelle_shipped", False):
-        return
     root = Path(__file__).resolve().parent
+    found = any(os.path.realpath(p) == str(root.parent) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)
+    if (found and sc.master.startswith("local")) or getattr(sc, "_trovelle_shipped", False):
+        return
     folder = tempfile.mkdtemp(prefix="trovelle-")
     atexit.register(shutil.rmtree, folder, True)
     path = os.path.join(folder, "trovelle.zip")
