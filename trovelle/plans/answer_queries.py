@@ -223,6 +223,29 @@ def v1(spark, sf):
     return hourly(read(spark, sf, "events"))
 
 
+@add("g3_question_prompts", f"WITH {S.CHUNKS} SELECT chunk_id, md5('Document: ' || title || chr(10) || 'Section: ' || section || chr(10) || chr(10) || 'Excerpt:' || chr(10) || ({S.truncate('text', 600)})) AS digest FROM c")
+def g3(spark, sf):
+    from trovelle.operators.models import question_prompt
+
+    return chunks(spark, sf).select("chunk_id", F.md5(question_prompt(F.col("title"), F.col("section"), F.col("text")).cast("binary")).alias("digest"))
+
+
+@add("g14_ask")
+def g14(spark, sf):
+    """Questions to cited answers in one plan, with the extractive answerer."""
+    from trovelle.plans.pipeline import AskConfig, ask
+    from trovelle.plans.search_queries import asked
+
+    return ask(chunks(spark, sf), asked(spark, sf), AskConfig("bm25"))
+
+
+@add("b1_evaluate")
+def b1(spark, sf):
+    from trovelle.plans.pipeline import AskConfig, evaluate
+
+    return evaluate(chunks(spark, sf), questions(spark, sf), AskConfig("hybrid", True))
+
+
 def queries() -> dict:
     return QUERIES
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trovelle.operators import corpus, evalset, index, metrics, rerank, retrieve
+from trovelle.operators import corpus, evalset, index, metrics, models, rerank, retrieve
 from trovelle.plans import sqlparts as S
 from trovelle.session import cut
 
@@ -393,6 +393,23 @@ def b5(spark, sf):
     return s.groupBy("slice").pivot("arm", ["vector", "bm25", "hybrid", "hybrid_weighted"]).agg(F.max("mrr"))
 
 
+_MODELS = ["bge-small-en-v1.5", "intfloat/e5-base", "thenlper/GTE-large", "all-MiniLM-L6", "BGE-e5-mixed"]
+
+
+@add("f11_prefixes", "SELECT model, CASE WHEN contains(lower(model), 'bge') THEN 'Represent this sentence for searching relevant passages: ' WHEN contains(lower(model), 'e5') THEN 'query: ' ELSE '' END AS query_prefix, CASE WHEN contains(lower(model), 'e5') THEN 'passage: ' ELSE '' END AS passage_prefix FROM (VALUES " + ", ".join(f"('{m}')" for m in _MODELS) + ") v(model)")
+def f11(spark, sf):
+    m = spark.createDataFrame([(x,) for x in _MODELS], "model string")
+    return m.select("model", models.query_prefix(F.col("model")).alias("query_prefix"), models.passage_prefix(F.col("model")).alias("passage_prefix"))
+
+
+@add("f12_score_matrix", f"{_BOTH}, {RRF} SELECT hy.query_id, hy.chunk_id, round(coalesce(dn.score, 0), 5) AS dense, round(coalesce(bm.score, 0), 5) AS lexical, round(hy.score, 5) AS fused FROM hy LEFT JOIN dn USING (query_id, chunk_id) LEFT JOIN bm USING (query_id, chunk_id)")
+def f12(spark, sf):
+    d, b = cut(dense(spark, sf, 40)), cut(lexical(spark, sf, 40))
+    fused = retrieve.rrf(d, b, 20).select("query_id", "chunk_id", F.col("score").alias("fused"))
+    both = fused.join(d.select("query_id", "chunk_id", F.col("score").alias("dense")), ["query_id", "chunk_id"], "left").join(b.select("query_id", "chunk_id", F.col("score").alias("lexical")), ["query_id", "chunk_id"], "left")
+    return both.select("query_id", "chunk_id", *(F.round(F.coalesce(c, F.lit(0.0)), 5).alias(c) for c in ("dense", "lexical", "fused")))
+
+
 def queries() -> dict:
     return QUERIES
 

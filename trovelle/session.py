@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,6 +33,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df from a compressed table in the shared folder, which goes with the process: for rows too wide to checkpoint plain."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/trovelle-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # the context is gone; a local folder goes all the same
+            shutil.rmtree(path.removeprefix("file://"), True)
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to workers that would not find it: once a context, and not where PYTHONPATH names its place already."""
     sc = spark.sparkContext
