@@ -6,7 +6,7 @@ make all coordinates, and the ranks of one shingle under all shifts lie side by
 Coordinates are banded; texts that agree in a band are candidates, and candidates are compared
 exactly on their shingle sets.
 
-Scale. Copies collapse before banding (map-side), so a copied text of any multiplicity is one row.
+Scale. Normal forms are made once and read again from a compressed table. Copies collapse before banding (map-side), so a copied text of any multiplicity is one row.
 Bands travel as two longs a row; both sides of the band join are one exchange, and adaptive
 execution splits a hot band. Only texts that occur in a candidate pair are verified.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trovelle.functions import npkern as K
+from trovelle.session import cut, stored
 
 UNIVERSE = 1 << 20
 _TABLES: dict[int, np.ndarray] = {}
@@ -109,6 +110,13 @@ def band_keys(column: pa.Array, cfg: NearDupConfig) -> np.ndarray:
     return K.mix(h + np.arange(cfg.bands, dtype=np.uint64)[None, :]).view(np.int64)
 
 
+def _small(batches, rows: int = 2000):
+    """Batches of few rows, for the signatures of a batch are held at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def normal_words(text):
     """Lower case, runs of a-z and 0-9, single blanks."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
@@ -142,7 +150,7 @@ def candidates(reps: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """(a, b), a < b: different texts that agree in a band."""
 
     def keys(batches):
-        for batch in batches:
+        for batch in _small(batches):
             b = band_keys(batch.column(1), cfg)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, b.size + 1, cfg.bands), pa.int32()), pa.array(b.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["tid", "keys"])
@@ -156,7 +164,7 @@ def verify(pairs: DataFrame, reps: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """(a, b, similarity) of the candidates whose exact Jaccard similarity reaches the threshold."""
 
     def sets(batches):
-        for batch in batches:
+        for batch in _small(batches):
             g, n = _distinct(batch.column(1), cfg)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(g.view(np.int64)))], names=["tid", "s"])
@@ -171,9 +179,9 @@ def verify(pairs: DataFrame, reps: DataFrame, cfg: NearDupConfig) -> DataFrame:
 
 
 def similar_texts(texts: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """(a, b, similarity) over different texts, by the hashes that prepare() gives."""
+    """(a, b, similarity) over different texts, by the hashes that prepare() gives. Candidates and links are cut off, for the plans that use them repeat them."""
     reps = classes(texts)
-    return verify(candidates(reps, cfg), reps, cfg)
+    return cut(verify(cut(candidates(reps, cfg)), reps, cfg))
 
 
 def near_pairs(df: DataFrame, key: str, norm, cfg: NearDupConfig) -> DataFrame:
@@ -184,7 +192,7 @@ def near_pairs(df: DataFrame, key: str, norm, cfg: NearDupConfig) -> DataFrame:
     (its copies being paired with that one), for such lists grow with the square of the copies; no link
     between different texts is lost. Other columns of df play no part.
     """
-    texts = prepare(df, key, norm, cfg)
+    texts = stored(prepare(df, key, norm, cfg))
     links = similar_texts(texts, cfg).select("a", "b")
     members = texts.select("tid", "key").distinct()
     sized = members.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("least"))
@@ -209,8 +217,6 @@ def components(vertices: DataFrame, links: DataFrame, max_rounds: int = 40) -> D
     Alternating large-star and small-star steps; each round's edges are checkpointed, only a count of
     changed edges reaches the driver.
     """
-    from trovelle.session import cut
-
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -230,10 +236,8 @@ def components(vertices: DataFrame, links: DataFrame, max_rounds: int = 40) -> D
 
 def near_classes(df: DataFrame, key: str, norm, cfg: NearDupConfig) -> DataFrame:
     """One row a key: key, class_key (the smallest key of its group), n_links (near texts other than its own), n_copies."""
-    from trovelle.session import cut
-
-    texts = prepare(df, key, norm, cfg)
-    links = cut(similar_texts(texts, cfg).select("a", "b"))
+    texts = stored(prepare(df, key, norm, cfg))
+    links = similar_texts(texts, cfg).select("a", "b")
     members = texts.select("tid", "key").distinct()
     reps = members.groupBy("tid").agg(F.count(F.lit(1)).alias("n_copies"), F.min("key").alias("least"))
     comp = components(reps.select("tid"), links)
