@@ -139,6 +139,15 @@ def test_runs_of_nulls_repeats_and_owners(spark):
     assert S.shared_runs(recs.where("false")).count() == 0
 
 
+def test_repeated_rows_of_a_key_are_thinned_before_the_shuffle(spark):
+    long = " ".join(WORDS[:20])
+    rows = [("chunk", "hot", "d1", i % 3, long) for i in range(500)] + [("chunk", "hot", "d1", 2, "a newer text"), ("chunk", "b", "d2", 0, long)]
+    df = spark.createDataFrame(rows, "kind string, ref string, owner string, rank long, text string").coalesce(1)
+    assert S.thin(df).count() <= 5
+    got = {r.ref for r in S.shared_runs(df).where("first_word is not null").collect()}
+    assert got == {"hot", "b"}  # of equal ranks the greater text counts, here the long one
+
+
 def test_a_page_sends_two_rows_a_digest_at_most():
     d, o = S._extremes(np.array([5, 5, 5, 7], np.uint64), np.array([3, 1, 2, 9], np.uint64))
     assert sorted(zip(d.tolist(), o.tolist())) == [(5, 1), (5, 3), (7, 9)]

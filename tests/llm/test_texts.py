@@ -221,6 +221,19 @@ def test_spans_are_found_with_their_kind(spark):
     assert red[900] is None and red[901] == "" and len(red) == 43
 
 
+def test_a_long_text_is_scanned_in_proportion():
+    import time
+
+    one = LETTERS + "\n"
+    took = []
+    for n in (40, 400):
+        began = time.time()
+        found = pii.scan(one * n)
+        took.append(time.time() - began)
+        assert len({(k, b - a) for k, a, b, *_ in found}) == len({(k, b - a) for k, a, b, *_ in pii.scan(one * 3)})
+    assert took[1] < 30 * took[0] + 0.5
+
+
 def test_no_documents_no_spans(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.personal_spans(df).count() == 0

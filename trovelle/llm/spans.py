@@ -41,6 +41,30 @@ def records(df: DataFrame, kind: str, ref: str, text: str, owner: str | None = N
     ).where("ref is not null and text is not null")
 
 
+def thin(recs: DataFrame, remembered: int = 200_000) -> DataFrame:
+    """Leaves out rows that a task has already sent a later or equal row of the same key for.
+
+    Repeated rows of one key meet in one page; with this a key that a third of all rows repeat sends a few
+    rows a task. Which row counts in the end is settled in the page.
+    """
+
+    def run(batches):
+        best: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            key = (K.text_hashes(batch.column(1)) ^ (K.text_hashes(batch.column(0)) * np.uint64(3))).tolist()
+            text, rank = K.text_hashes(batch.column(4)).tolist(), batch.column(3).to_pylist()
+            keep = np.ones(len(batch), bool)
+            for i, k in enumerate(key):
+                old = best.get(k)
+                if old is not None and (rank[i] < old[0] or (rank[i], text[i]) == old):
+                    keep[i] = False
+                elif old is not None or len(best) < remembered:
+                    best[k] = (rank[i], text[i])
+            yield batch if keep.all() else batch.filter(pa.array(keep))
+
+    return recs.mapInArrow(run, recs.schema)
+
+
 class _Page:
     """The records of a page, each key once (its latest row, the greater text among equals), and their units."""
 
@@ -103,7 +127,7 @@ def shared_runs(recs: DataFrame, length: int = 14, page_mb: float = 8.0) -> Data
     with null positions, so that shares can be taken over all of them.
     """
     n_pages = pages_for(recs, ["text"], page_mb)
-    paged = recs.withColumn("page", F.pmod(F.xxhash64("kind", "ref"), F.lit(n_pages)).cast("int")).select("page", "kind", "ref", "owner", "rank", "text")
+    paged = thin(recs).withColumn("page", F.pmod(F.xxhash64("kind", "ref"), F.lit(n_pages)).cast("int")).select("page", "kind", "ref", "owner", "rank", "text")
 
     def first_step(table: pa.Table) -> pa.Table:
         page = _Page(table, length)
