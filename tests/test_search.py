@@ -134,6 +134,10 @@ def test_quantile_takes_the_lower_place(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (10.0,), (None,)], "v double")
     assert df.agg(metrics.lower_quantile("v", 0.95)).first()[0] == 4.0
     assert metrics.ranked_quantiles(df, "v", (0.95,)).first().v == 4.0
+    many = spark.range(50_000).select(F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double").alias("v"), F.lit("g").alias("g"))
+    want = sorted(r.v for r in many.collect())
+    got = {r.p: r.v for r in metrics.ranked_quantiles(many, "v", (0.0, 0.5, 0.95, 1.0), "g").collect()}
+    assert got == {p: want[int(p * (len(want) - 1))] for p in (0.0, 0.5, 0.95, 1.0)}
     assert df.where("false").agg(metrics.lower_quantile("v", 0.5)).first()[0] is None
 
 

@@ -89,10 +89,22 @@ def json_object(text: Column) -> Column:
     return F.when((body != "") & F.try_parse_json(body).isNotNull(), body)
 
 
-def rolling_usage(events: DataFrame, time: str, amount: str, seconds: int = 60) -> DataFrame:
-    """Adds used and n: sum and count over the last `seconds` up to each row, per user_id; rows just `seconds` old are out."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("used", F.sum(amount).over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+def rolling_usage(events: DataFrame, time: str, amount: str, seconds: int = 60, bucket_seconds: int = 3600) -> DataFrame:
+    """Adds used and n: sum and count over the last `seconds` up to each row, per user_id; rows just `seconds` old are out.
+
+    A user is cut into buckets of time, so that one with a third of all rows is many groups; the rows of a
+    bucket's last `seconds` are seen by the next one too. Rows without a time are left out.
+    """
+    span, length = seconds * 1_000_000, bucket_seconds * 1_000_000
+    if bucket_seconds < seconds:
+        raise ValueError("a bucket must be as long as the window at least")
+    timed = events.withColumn("t__", F.unix_micros(F.col(time).cast("timestamp"))).where("t__ is not null")
+    own = F.floor(F.col("t__") / length)
+    late = F.pmod("t__", F.lit(length)) > length - span
+    seen = timed.withColumn("b__", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("own__", F.col("b__") == own)
+    w = Window.partitionBy("user_id", "b__").orderBy("t__").rangeBetween(-(span - 1), 0)
+    summed = seen.withColumn("used", F.sum(amount).over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+    return summed.where("own__").drop("t__", "b__", "own__")
 
 
 def admit(arrivals: list[tuple[float, float]], tokens: float, requests: int, window: float = 60.0) -> list[float]:

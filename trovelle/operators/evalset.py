@@ -46,15 +46,13 @@ def sample_chunks(chunks: DataFrame, n: int, least_tokens: int = 180, seed: int
     good = chunks.where((F.col("token_count") >= least_tokens) & ~F.coalesce(F.lower("section").rlike("^(?:reference|abbreviation)"), F.lit(False)))
     h = lambda c: F.sha1(F.concat(F.lit(f"{seed}:"), F.col(c)).cast("binary"))
     turns = good.withColumn("turn", F.row_number().over(Window.partitionBy("document_id").orderBy(h("chunk_id"), "chunk_id")))
-    return turns.orderBy("turn", h("document_id"), "document_id").limit(n).select("chunk_id", "document_id", "turn")
+    return turns.where(F.col("turn") <= n).orderBy("turn", h("document_id"), "document_id").limit(n).select("chunk_id", "document_id", "turn")
 
 
 def generation_sample(questions: DataFrame, limit: int | None) -> DataFrame:
     """The first max(limit // 4, 1) unanswerable questions and answerable ones up to the limit, by question_id; all without a limit."""
     if limit is None:
         return questions
-    probes = max(limit // 4, 1)
-    w = Window.partitionBy(F.coalesce("unanswerable", F.lit(False))).orderBy("question_id")
-    ranked = questions.withColumn("rn", F.row_number().over(w))
-    n_probes = ranked.where("unanswerable").agg(F.least(F.count(F.lit(1)), F.lit(probes)).alias("np"))
-    return ranked.crossJoin(F.broadcast(n_probes)).where(F.when(F.coalesce("unanswerable", F.lit(False)), F.col("rn") <= probes).otherwise(F.col("rn") <= limit - F.col("np"))).drop("rn", "np")
+    open_ = F.coalesce("unanswerable", F.lit(False))
+    probes = questions.where(open_).orderBy("question_id").limit(max(limit // 4, 1))
+    return questions.where(~open_).orderBy("question_id").limit(max(limit - probes.count(), 0)).unionByName(probes)

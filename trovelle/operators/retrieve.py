@@ -79,7 +79,11 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 20, expand: bool = Tr
 
 
 def _lexical_block(place: dict[str, int], idf: np.ndarray, held: list, avgdl: float, k: int, k1: float, b: float, lam: float) -> Callable:
+    """Scores blocks of 1024 passages by groups of 256 questions; only words that a block has take up room."""
+
     def run(batches):
+        groups = [held[i : i + 256] for i in range(0, len(held), 256)]
+        flat = [(np.concatenate([h[1] for h in g]), np.repeat(np.arange(len(g)), [len(h[1]) for h in g]), np.array([h[2] for h in g])) for g in groups]
         for big in batches:
             for at in range(0, len(big), 1024):
                 batch = big.slice(at, 1024)
@@ -87,17 +91,24 @@ def _lexical_block(place: dict[str, int], idf: np.ndarray, held: list, avgdl: fl
                 col = batch.column(1)
                 owner = np.repeat(np.arange(len(batch)), col.value_lengths().to_numpy(zero_copy_only=False))
                 row = np.fromiter((place.get(t, -1) for t in col.flatten().to_pylist()), np.int64, len(owner))
-                some = row >= 0
-                tf = np.zeros((len(place), len(batch)))
-                np.add.at(tf, (row[some], owner[some]), 1.0)
-                weight = idf[:, None] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[None, :] / avgdl))
-                hit = tf > 0
-                scores = np.zeros((len(held), len(batch)))
-                for i, (_, rows, size) in enumerate(held):
-                    scores[i] = weight[rows].sum(axis=0) * (hit[rows].sum(axis=0) / size) ** lam
-                scores = np.round(scores, 12)
-                q, c = _block_top(scores, k)
-                yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in q.tolist()]), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", "chunk_id", "score"])
+                owner, row = owner[row >= 0], row[row >= 0]
+                terms, row = np.unique(row, return_inverse=True)
+                if not len(terms):
+                    continue
+                tf = np.bincount(row * len(batch) + owner, minlength=len(terms) * len(batch)).reshape(len(terms), len(batch)).astype(float)
+                weight = idf[terms][:, None] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[None, :] / avgdl))
+                hit = (tf > 0).astype(np.int32)
+                for g, (rows, question, size) in zip(groups, flat):
+                    where = np.minimum(np.searchsorted(terms, rows), len(terms) - 1)
+                    some = terms[where] == rows
+                    where, question = where[some], question[some]
+                    if not len(where):
+                        continue
+                    asked, first = np.unique(question, return_index=True)
+                    share = (np.add.reduceat(hit[where], first, axis=0) / size[asked][:, None]) ** lam
+                    scores = np.round(np.add.reduceat(weight[where], first, axis=0) * share, 12)
+                    q, c = _block_top(scores, k)
+                    yield pa.RecordBatch.from_arrays([pa.array([g[i][0] for i in asked[q].tolist()]), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", "chunk_id", "score"])
 
     return run
 
@@ -123,17 +134,22 @@ def vector(items: DataFrame, item: str, embedding: str, queries: DataFrame, quer
 
 
 def _vector_block(ids: list, matrix: np.ndarray, k: int, keep_self: bool, item: str) -> Callable:
+    """Scores blocks of 4096 items by groups of 1024 queries."""
+
     def run(batches):
         for big in batches:
             for at in range(0, len(big), 4096):
                 batch = big.slice(at, 4096)
                 v = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
-                scores = matrix @ v.T
-                if not keep_self:
-                    scores[np.array(ids)[:, None] == batch.column(0).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-                shifted = np.where(np.isneginf(scores), 0.0, scores + 2.0)  # inner products of unit vectors are above -2
-                q, c = _block_top(np.round(shifted, 9), k)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", item, "score"])
+                names = batch.column(0).to_numpy(zero_copy_only=False)
+                for lo in range(0, len(ids), 1024):
+                    own = ids[lo : lo + 1024]
+                    scores = matrix[lo : lo + 1024] @ v.T
+                    shifted = np.round(scores + 2.0, 9)  # inner products of unit vectors are above -2
+                    if not keep_self:
+                        shifted[np.array(own)[:, None] == names[None, :]] = 0.0
+                    q, c = _block_top(shifted, k)
+                    yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in q.tolist()]), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", item, "score"])
 
     return run
 

@@ -119,13 +119,11 @@ def a7(spark, sf):
     return rolled(spark, sf)
 
 
-@add("a8_document_detail", f"WITH {S.CHUNKS} SELECT document_id, array_to_string(list(chunk_id ORDER BY coalesce(char_start, -1), chunk_id), '|') AS chunk_ids FROM c WHERE document_id = (SELECT min(document_id) FROM c) GROUP BY 1")
+@add("a8_document_detail", f"WITH {S.CHUNKS} SELECT document_id, chunk_id, page, section, char_start FROM c WHERE document_id = (SELECT min(document_id) FROM c)")
 def a8(spark, sf):
     c = chunks(spark, sf)
     first = c.agg(F.min("document_id").alias("document_id"))
-    own = c.join(F.broadcast(first), "document_id", "left_semi")
-    rows = F.sort_array(F.collect_list(F.struct(F.coalesce("char_start", F.lit(-1)).alias("s"), "chunk_id")))
-    return own.groupBy("document_id").agg(F.array_join(F.transform(rows, lambda r: r["chunk_id"]), "|").alias("chunk_ids"))
+    return c.join(F.broadcast(first), "document_id", "left_semi").select("document_id", "chunk_id", "page", "section", "char_start")
 
 
 @add("a9_composition", f"WITH {S.CHUNKS} SELECT source_type, count(*) AS n_documents, sum(n_chunks)::BIGINT AS n_chunks FROM ({ROLLUP}) GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelle.functions import text as T
@@ -181,15 +181,14 @@ QUERIES["ch8_chunks"] = ch_chunks
 
 
 def ch_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Passage ids by document, place and digest of the text."""
+    """Passage ids made anew from document, place and the digest of the text."""
     c = corpus.latest_chunks(read(spark, sf, "chunks"))
-    w = Window.partitionBy("document_id").orderBy("char_start", "chunk_id")
-    n = F.row_number().over(w) - 1
-    return c.select("chunk_id", F.format_string("%s::%04d::%s", "document_id", n, F.substring(F.sha1(F.col("text").cast("binary")), 1, 8)).alias("own_id"))
+    place = F.split("chunk_id", "::")[1].cast("int")
+    return c.select("chunk_id", F.format_string("%s::%04d::%s", "document_id", place, F.substring(F.sha1(F.col("text").cast("binary")), 1, 8)).alias("own_id"))
 
 
 QUERIES["ch10_ids"] = ch_ids
-SQL["ch10_ids"] = f"WITH {S.CHUNKS} SELECT chunk_id, document_id || '::' || printf('%04d', row_number() OVER (PARTITION BY document_id ORDER BY char_start NULLS FIRST, chunk_id) - 1) || '::' || substr(sha1(text), 1, 8) AS own_id FROM c"
+SQL["ch10_ids"] = f"WITH {S.CHUNKS} SELECT chunk_id, document_id || '::' || printf('%04d', split_part(chunk_id, '::', 2)::INT) || '::' || substr(sha1(text), 1, 8) AS own_id FROM c"
 
 
 def ch_contextual(spark: SparkSession, sf: str) -> DataFrame:
