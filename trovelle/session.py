@@ -58,7 +58,12 @@ def ship(spark: SparkSession) -> None:
     found = any(os.path.realpath(p) == str(root.parent) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)
     if (found and sc.master.startswith("local")) or getattr(sc, "_trovelle_shipped", False):
         return
-    folder = tempfile.mkdtemp(prefix="trovelle-")
+    shared = spark.conf.get("spark.checkpoint.dir", "").removeprefix("file://")
+    if shared.startswith("/") and os.path.isdir(shared):
+        folder = os.path.join(shared, f"trovelle-{uuid.uuid4().hex}")
+        os.makedirs(folder)
+    else:
+        folder = tempfile.mkdtemp(prefix="trovelle-")  # the driver serves the file from here
     atexit.register(shutil.rmtree, folder, True)
     path = os.path.join(folder, "trovelle.zip")
     with zipfile.ZipFile(path, "w") as z:
