@@ -139,6 +139,28 @@ def test_runs_of_nulls_repeats_and_owners(spark):
     assert S.shared_runs(recs.where("false")).count() == 0
 
 
+def test_repeats_go_and_the_earliest_stays(spark):
+    r = random.Random(9)
+    pool = ["é " + " ".join(r.choice(WORDS) for _ in range(20)) for _ in range(4)]
+    rows = [("chunk", f"c{i}", f"d{i % 5}", 0, " ".join(r.choice([r.choice(pool), " ".join(r.choice(WORDS) for _ in range(6))]) for _ in range(4))) for i in range(25)]
+    df = spark.createDataFrame(rows, "kind string, ref string, owner string, rank long, text string")
+    got = {x.ref: x for x in S.without_repeats(df, page_mb=0.002).collect()}
+    before = {x[1]: x[4] for x in rows}
+    assert set(got) == set(before) and any(x.removed for x in got.values())
+    for ref, x in got.items():
+        raw, at, kept = before[ref].encode(), 0, b""
+        for g in x.removed:
+            assert before[ref].split()[g.first_word] == raw[g.first_byte :].decode().split()[0] and g.last_word - g.first_word >= 0
+            kept += raw[at : g.first_byte]
+            at = g.end_byte
+        assert (kept + raw[at:]).decode() == x.text
+    units = lambda texts: {tuple(w[i : i + 14]) for w in map(str.split, texts) for i in range(len(w) - 13)}
+    shared = {u for u in units(before.values()) if len({o for _, _, o, _, t in rows if u in units([t])}) > 1}
+    assert shared and shared <= units(x.text for x in got.values())
+    runs = S.shared_runs(df, page_mb=0.002)
+    assert runs.agg(F.sum("repeated")).first()[0] == sum(g.last_word - g.first_word + 1 for x in got.values() for g in x.removed)
+
+
 def test_repeated_rows_of_a_key_are_thinned_before_the_shuffle(spark):
     long = " ".join(WORDS[:20])
     rows = [("chunk", "hot", "d1", i % 3, long) for i in range(500)] + [("chunk", "hot", "d1", 2, "a newer text"), ("chunk", "b", "d2", 0, long)]

@@ -43,10 +43,18 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_statistics(spark, sf).where("not is_prose").select("kind", "ref")
 
 
-def _runs(spark: SparkSession, sf: str) -> DataFrame:
+def _records(spark: SparkSession, sf: str) -> DataFrame:
     chunks = spans.records(_read(spark, sf, "chunks"), "chunk", "chunk_id", "text", "document_id", "indexed_at")
     questions = spans.records(_read(spark, sf, "eval_questions"), "question", "question_id", "question", None, "created_at")
-    return spans.shared_runs(chunks.union(questions))
+    return chunks.union(questions)
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_runs(_records(spark, sf))
+
+
+def p3_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.without_repeats(_records(spark, sf))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -117,17 +117,14 @@ def _shared(digests: DataFrame) -> DataFrame:
     return seen.where("first <> last").select("page", "digest", "first")
 
 
-def shared_runs(recs: DataFrame, length: int = 14, page_mb: float = 8.0) -> DataFrame:
-    """(kind, ref, n_words, first_word, last_word, repeated): longest runs of covered words of each record.
-
-    A word is covered if it lies in `length` successive words that also occur successively in a record
-    of another owner; positions count from 0, both ends included. `repeated` says how many of the
-    run's words an earlier ranked owner has. Records shorter than `length` have no runs, nor have empty
-    or null texts; repeated rows of a key count once (the latest). Records without runs give one row
-    with null positions, so that shares can be taken over all of them.
-    """
+def _paged(recs: DataFrame, page_mb: float) -> DataFrame:
     n_pages = pages_for(recs, ["text"], page_mb)
-    paged = thin(recs).withColumn("page", F.pmod(F.xxhash64("kind", "ref"), F.lit(n_pages)).cast("int")).select("page", "kind", "ref", "owner", "rank", "text")
+    page = F.pmod(F.xxhash64("kind", "ref"), F.lit(n_pages)).cast("int")
+    return thin(recs).withColumn("page", page).select("page", "kind", "ref", "owner", "rank", "text")
+
+
+def _found(paged: DataFrame, length: int) -> DataFrame:
+    """(page, digest, first): the shared units of each page with their earliest ranked owner."""
 
     def first_step(table: pa.Table) -> pa.Table:
         page = _Page(table, length)
@@ -140,13 +137,17 @@ def shared_runs(recs: DataFrame, length: int = 14, page_mb: float = 8.0) -> Data
         hit = np.isin(page.minimizers(), found["digest"].to_numpy().view(np.uint64))
         return _rows(table["page"][0].as_py(), *_extremes(page.units()[hit], page.owner[page.rec[hit]]))
 
-    def third_step(table: pa.Table, found: pa.Table) -> pa.Table:
-        names = ["kind", "ref", "n_words", "first_word", "last_word", "repeated"]
-        if not len(table):
-            return pa.table({n: pa.array([], pa.string() if n in ("kind", "ref") else pa.int64()) for n in names})
-        page = _Page(table, length)
-        unit = page.units()
-        n = len(page.words)
+    once = paged.groupBy("page").applyInArrow(first_step, _DIGESTS)
+    again = paged.groupBy("page").cogroup(_shared(once).groupBy("page")).applyInArrow(second_step, _DIGESTS)
+    return _shared(again)
+
+
+class _Covered:
+    """The words of a page that lie in shared units, and those of them that an earlier ranked owner has."""
+
+    def __init__(self, table: pa.Table, found: pa.Table, length: int):
+        self.page = page = _Page(table, length)
+        unit, n = page.units(), len(page.words)
         digest, least = found["digest"].to_numpy().view(np.uint64), found["first"].to_numpy().view(np.uint64)
         order = np.argsort(digest)
         digest, least = digest[order], least[order]
@@ -160,15 +161,40 @@ def shared_runs(recs: DataFrame, length: int = 14, page_mb: float = 8.0) -> Data
             step = np.bincount(page.at[flags], minlength=n + 1) - np.bincount(page.at[flags] + length, minlength=n + 1)
             return np.cumsum(step[:n]) > 0
 
-        cov, rep = covered(hit), covered(later)
-        rec = np.repeat(np.arange(len(page.words.lo)), page.words.hi - page.words.lo)
-        new = np.ones(n, bool)
-        new[1:] = rec[1:] != rec[:-1]
-        start = np.flatnonzero(cov & (new | ~np.concatenate([[False], cov[:-1]])))
-        nxt = np.concatenate([new[1:], [True]]) if n else new
-        end = np.flatnonzero(cov & (nxt | ~np.concatenate([cov[1:], [False]])))
-        total = np.concatenate([[0], np.cumsum(rep & cov)])
-        r = rec[start]
+        first, repeat = hit & ~later, covered(later)
+        self.covered = covered(hit)
+        self.repeated = repeat & ~covered(first)  # a word that is in an original as well stays
+        self.record = np.repeat(np.arange(len(page.words.lo)), page.words.hi - page.words.lo)
+        self.new = np.ones(n, bool)
+        self.new[1:] = self.record[1:] != self.record[:-1]
+
+    def runs(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word of each longest run of flagged words within a record."""
+        before, after = np.concatenate([[False], flags[:-1]]), np.concatenate([flags[1:], [False]])
+        last = np.concatenate([self.new[1:], [True]]) if len(flags) else self.new
+        return np.flatnonzero(flags & (self.new | ~before)), np.flatnonzero(flags & (last | ~after))
+
+
+def shared_runs(recs: DataFrame, length: int = 14, page_mb: float = 8.0) -> DataFrame:
+    """(kind, ref, n_words, first_word, last_word, repeated): longest runs of covered words of each record.
+
+    A word is covered if it lies in `length` successive words that also occur successively in a record
+    of another owner; positions count from 0, both ends included. `repeated` says how many of the
+    run's words stand only in units that an earlier ranked owner has. Records shorter than `length` have no
+    runs, nor have empty or null texts; repeated rows of a key count once (the latest). Records without
+    runs give one row with null positions, so that shares can be taken over all of them.
+    """
+    paged = _paged(recs, page_mb)
+
+    def third_step(table: pa.Table, found: pa.Table) -> pa.Table:
+        names = ["kind", "ref", "n_words", "first_word", "last_word", "repeated"]
+        if not len(table):
+            return pa.table({n: pa.array([], pa.string() if n in ("kind", "ref") else pa.int64()) for n in names})
+        c = _Covered(table, found, length)
+        page = c.page
+        start, end = c.runs(c.covered)
+        total = np.concatenate([[0], np.cumsum(c.repeated)])
+        r = c.record[start]
         bare = np.setdiff1d(np.arange(len(page.words.lo)), r)
         row = np.concatenate([r, bare])
         gone = pa.array(np.concatenate([np.zeros(len(r), bool), np.ones(len(bare), bool)]))
@@ -189,15 +215,51 @@ def shared_runs(recs: DataFrame, length: int = 14, page_mb: float = 8.0) -> Data
             }
         )
 
-    once = paged.groupBy("page").applyInArrow(first_step, _DIGESTS)
-    again = paged.groupBy("page").cogroup(_shared(once).groupBy("page")).applyInArrow(second_step, _DIGESTS)
     return (
         paged.groupBy("page")
-        .cogroup(_shared(again).groupBy("page"))
+        .cogroup(_found(paged, length).groupBy("page"))
         .applyInArrow(third_step, "kind string, ref string, n_words long, first_word long, last_word long, repeated long")
     )
 
 
+def without_repeats(recs: DataFrame, length: int = 14, page_mb: float = 8.0) -> DataFrame:
+    """(kind, ref, text, removed): each record without the words that only repeat an earlier ranked owner's.
+
+    `removed` lists (first_word, last_word, first_byte, end_byte) of the stretches taken out, in the original text;
+    what stands between words goes with the word before it. The earliest ranked occurrence of every shared
+    unit stays. Repeated rows of a key count once; null texts are left out.
+    """
+    paged = _paged(recs, page_mb)
+    span = pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("first_byte", pa.int64()), ("end_byte", pa.int64())])
+
+    def third_step(table: pa.Table, found: pa.Table) -> pa.Table:
+        schema = pa.schema([("kind", pa.string()), ("ref", pa.string()), ("text", pa.string()), ("removed", pa.list_(span))])
+        if not len(table):
+            return schema.empty_table()
+        c = _Covered(table, found, length)
+        words, texts = c.page.words, c.page.table["text"].to_pylist()
+        offsets = K.byte_buffers(c.page.table["text"])[1]
+        gone: list[list[dict]] = [[] for _ in texts]
+        for a, b in zip(*(x.tolist() for x in c.runs(c.repeated))):
+            r = int(c.record[a])
+            end = int(words.start[b + 1]) if b + 1 < words.hi[r] else int(offsets[r + 1])
+            gone[r].append({"first_word": a - int(words.lo[r]), "last_word": b - int(words.lo[r]), "first_byte": int(words.start[a] - offsets[r]), "end_byte": end - int(offsets[r])})
+        for r, own in enumerate(gone):
+            if own:
+                raw, at, parts = texts[r].encode(), 0, []
+                for g in own:
+                    parts.append(raw[at : g["first_byte"]])
+                    at = g["end_byte"]
+                texts[r] = (b"".join(parts) + raw[at:]).decode()
+        return pa.Table.from_arrays([c.page.table["kind"], c.page.table["ref"], pa.array(texts, pa.string()), pa.array(gone, pa.list_(span))], schema=schema)
+
+    return (
+        paged.groupBy("page")
+        .cogroup(_found(paged, length).groupBy("page"))
+        .applyInArrow(third_step, "kind string, ref string, text string, removed array<struct<first_word:long,last_word:long,first_byte:long,end_byte:long>>")
+    )
+
+
 def shared_shares(runs: DataFrame) -> DataFrame:
     """(kind, ref, n_words, covered_words, repeated_words, share): one row a record."""
     size = F.coalesce(F.col("last_word") - F.col("first_word") + 1, F.lit(0))
