@@ -106,3 +106,11 @@ def test_backfill_keeps_what_has_no_passage(spark):
     q = spark.createDataFrame([("a", "gout urate", ["c"], 0.1), ("b", "gout", ["gone"], 0.7), ("c", "gout", [], None)], "question_id string, question string, relevant_chunk_ids array<string>, lexical_overlap double")
     c = spark.createDataFrame([("c", "urate rises in gout", "x")], "chunk_id string, text string, question string")
     assert [(r.question_id, r.lexical_overlap) for r in E.backfill_overlap(q, c).orderBy("question_id").collect()] == [("a", 1.0), ("b", 0.7), ("c", None)]
+
+
+def test_assembling_a_question_set(spark):
+    made = spark.createDataFrame([(0, "c", "Which drug lowers urate in adults with gout?"), (1, "c", "What does this study say about urate?"), (2, "c", "pelomide lowers urate levels quickly"), (3, "gone", "Which drug lowers urate best?"), (4, "c", None)], "position int, chunk_id string, question string")
+    c = spark.createDataFrame([("c", "d", "pelomide lowers urate levels quickly")], "chunk_id string, document_id string, text string")
+    own = spark.createDataFrame([(0, "Is aspirin safe?", False), (1, "Who won the cup?", True)], "position int, question string, unanswerable boolean")
+    got = {r.question_id: r for r in E.assemble(made, c, own).collect()}
+    assert set(got) == {"syn_0000", "cur_0000", "cur_0001"} and got["syn_0000"].relevant_document_ids == ["d"] and got["cur_0001"].unanswerable

@@ -102,3 +102,36 @@ def test_streams(spark, tmp_path):
     s = live.writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     s.awaitTermination(60)
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, rolling.hourly(ev).collect()))
+
+
+def test_vectors_must_fit(spark):
+    items = spark.createDataFrame([("a",), ("b",)], "id string")
+    fit = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, v array<double>")
+    index.check_vectors(items, fit, "id")
+    for bad in (fit.where("id = 'a'"), fit.union(fit), fit.where("id = 'a'").union(spark.createDataFrame([("b", [1.0])], fit.schema))):
+        with pytest.raises(ValueError):
+            index.check_vectors(items, bad, "id")
+
+
+def test_keys_must_be_unique(spark):
+    from trovelle.operators.corpus import latest, require_unique
+
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", None, "z"), (None, 9, "n")], "id string, at int, v string")
+    with pytest.raises(ValueError):
+        require_unique(df, "id")
+    one = latest(df, "id", "at", "v")
+    require_unique(one, "id")
+    assert {(r.id, r.v) for r in one.collect()} == {("a", "y"), ("b", "z")}
+
+
+def test_reports(spark, tmp_path):
+    store.write_report(spark.createDataFrame([("bm25", 0.9)], "arm string, mrr double"), str(tmp_path / "one"))
+    newest = store.latest_report(spark, str(tmp_path / "*" / "*.json")).collect()
+    assert len(newest) == 1 and newest[0].path.endswith(".json")
+
+
+def test_schemas_are_read_by_spark(spark):
+    from trovelle import schemas
+
+    for name in ("DOCUMENT", "CHUNK", "HIT", "CITATION", "ANSWER", "QUESTION"):
+        assert spark.createDataFrame([], getattr(schemas, name)).count() == 0

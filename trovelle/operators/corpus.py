@@ -12,6 +12,13 @@ def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).withColumn("rn__", F.row_number().over(w)).where("rn__ = 1").drop("rn__")
 
 
+def require_unique(df: DataFrame, key: str) -> None:
+    """ValueError if a key stands in two rows; names one of them."""
+    twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key).first()
+    if twice is not None:
+        raise ValueError(f"{key} is not unique: {twice[0]}")
+
+
 def latest_chunks(chunks: DataFrame) -> DataFrame:
     return latest(chunks, "chunk_id", "indexed_at", "title", "section", "text")
 

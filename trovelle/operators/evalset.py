@@ -56,3 +56,32 @@ def generation_sample(questions: DataFrame, limit: int | None) -> DataFrame:
     open_ = F.coalesce("unanswerable", F.lit(False))
     probes = questions.where(open_).orderBy("question_id").limit(max(limit // 4, 1))
     return questions.where(~open_).orderBy("question_id").limit(max(limit - probes.count(), 0)).unionByName(probes)
+
+
+def assemble(generated: DataFrame, chunks: DataFrame, curated: DataFrame, most_overlap: float = 0.75) -> DataFrame:
+    """(question_id, question, relevant_document_ids, relevant_chunk_ids, lexical_overlap, unanswerable): an evaluation set.
+
+    `generated` has (position, chunk_id, question), one row a sampled passage; questions that lean on their
+    passage or copy it are left out, the others are numbered by position. `curated` has (position, question,
+    unanswerable) and no labels.
+    """
+    held = chunks.select("chunk_id", "document_id", "text")
+    made = generated.where("question is not null").join(held, "chunk_id").withColumn("lexical_overlap", lexical_overlap(F.col("question"), F.col("text")))
+    made = made.where(is_self_contained(F.col("question")) & (F.col("lexical_overlap") <= most_overlap)).select(
+        F.format_string("syn_%04d", "position").alias("question_id"),
+        "question",
+        F.array("document_id").alias("relevant_document_ids"),
+        F.array("chunk_id").alias("relevant_chunk_ids"),
+        "lexical_overlap",
+        F.lit(False).alias("unanswerable"),
+    )
+    none = F.array().cast("array<string>")
+    own = curated.select(
+        F.format_string("cur_%04d", "position").alias("question_id"),
+        "question",
+        none.alias("relevant_document_ids"),
+        none.alias("relevant_chunk_ids"),
+        F.lit(0.0).alias("lexical_overlap"),
+        F.coalesce("unanswerable", F.lit(False)).alias("unanswerable"),
+    )
+    return made.unionByName(own)

@@ -37,6 +37,14 @@ def term_stats(tok: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def check_vectors(items: DataFrame, vectors: DataFrame, key: str, column: str = "v") -> None:
+    """ValueError unless every item has one vector and all vectors have one length."""
+    r = vectors.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("keys"), F.min(F.size(column)).alias("low"), F.max(F.size(column)).alias("high")).first()
+    missing = items.select(key).join(vectors.select(key), key, "left_anti").limit(1).count()
+    if missing or r["n"] != r["keys"] or r["low"] != r["high"]:
+        raise ValueError(f"vectors do not fit: {r['n']} vectors of {r['keys']} items, lengths {r['low']} to {r['high']}, items without vector: {bool(missing)}")
+
+
 def hashed_vectors(df: DataFrame, key: str, text: Column, dim: int = 64) -> DataFrame:
     """(key, v): the same embedding as dense unit vectors; a text without words has the zero vector. Words are hashed once a worker."""
     import hashlib
