@@ -114,4 +114,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": sql.P1, "p2_ratios": sql.P2, "p3_found": sql.P3, "p4_found": sql.P4}
+    return {"p1_found": sql.P1, "p2_found": sql.P2_FOUND, "p2_ratios": sql.P2, "p3_found": sql.P3, "p4_found": sql.P4}

@@ -35,8 +35,16 @@ P4 = f"{_TEXTS} SELECT kind, ref FROM t WHERE len(regexp_extract_all(text, {S.li
 
 _CORE = "lower(regexp_replace(x, '^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+$', '', 'g'))"
 _ENDED = "regexp_matches(x, '[.!?:;…][\"'')\\]”’»]?$')"
-P2 = f"""{_TEXTS}, k AS (SELECT list(DISTINCT lower(word)) AS common FROM common_words), m AS (SELECT kind, ref, text, {S.words('text')} AS w, list_filter(list_transform(string_split(text, chr(10)), lambda x: {S.strip('x')}), lambda x: x <> '') AS ln FROM t)
+_BASE = f"""{_TEXTS}, k AS (SELECT list(DISTINCT lower(word)) AS common FROM common_words), m AS (SELECT kind, ref, text, {S.words('text')} AS w, list_filter(list_transform(string_split(text, chr(10)), lambda x: {S.strip('x')}), lambda x: x <> '') AS ln FROM t),
+n AS (SELECT kind, ref, text, w, ln, len(list_filter(w, lambda x: list_contains(common, {_CORE}))) AS n_common, length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s\\p{{Z}}]', '', 'g')) AS n_symbols FROM m, k)"""
+P2 = f"""{_BASE}
 SELECT kind, ref, len(w)::BIGINT AS n_words, CASE WHEN len(w) > 0 THEN round(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w), 6) ELSE 0 END AS mean_word_length,
-CASE WHEN length(text) > 0 THEN round(length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s\\p{{Z}}]', '', 'g'))::DOUBLE / length(text), 6) ELSE 0 END AS symbol_share,
+CASE WHEN length(text) > 0 THEN round(n_symbols::DOUBLE / length(text), 6) ELSE 0 END AS symbol_share,
 CASE WHEN len(ln) > 0 THEN round(len(list_filter(ln, lambda x: {_ENDED}))::DOUBLE / len(ln), 6) ELSE 0 END AS ended_line_share,
-CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains(common, {_CORE})))::DOUBLE / len(w), 6) ELSE 0 END AS common_word_share FROM m, k"""
+CASE WHEN len(w) > 0 THEN round(n_common::DOUBLE / len(w), 6) ELSE 0 END AS common_word_share FROM n"""
+
+_BARE = "regexp_replace(x, '^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+$', '', 'g')"
+_ODD = f"(regexp_matches({_BARE}, '[^\\p{{L}}\\p{{N}}_''’./,()%:;&+–\\-]') OR regexp_matches({_BARE}, '[\\p{{L}}_][0-9]|[0-9][\\p{{L}}_]'))"
+P2_FOUND = f"""{_BASE}, r AS (SELECT kind, ref, length(text) AS n, n_common::DOUBLE / greatest(len(w), 1) AS common, len(list_filter(w, lambda x: {_ODD}))::DOUBLE / greatest(len(w), 1) AS odd,
+n_symbols::DOUBLE / greatest(length(text), 1) AS symbols, length(text)::DOUBLE / greatest(len(ln), 1) AS line FROM n)
+SELECT kind, ref FROM r WHERE n >= 40 AND ((common < 0.165 AND NOT (common >= 0.115 AND line >= 130 AND symbols < 0.045)) OR odd > 0.3 OR (common > 0.42 AND symbols < 0.012) OR symbols > 0.25)"""
