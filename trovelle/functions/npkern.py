@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 _BASE = {"byte": 0x9E3779B97F4A7C15, "gram": 0xC2B2AE3D27D4EB4F}
 _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def _powers(which: str, n: int) -> tuple[np.ndarray, np.ndarray]:
