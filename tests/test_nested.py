@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from trovelle.operators import nested as N
+from trovelle.plans import nested as plans
 
 
 def test_paths_parents_and_ordinals():
@@ -75,3 +76,38 @@ def test_source_documents_open_structured_values(spark):
     assert all(json.loads(r.payload) is not None for r in held.collect())
     got = {r.node_path for r in N.bridge(held, "document_id", "payload").where(F.col("key") == "d").collect()}
     assert got == {"$.blocks[0]", "$.extra.trials[0]", "$.extra.trials[0].arms[0]"}
+
+
+def test_every_value_has_a_row_with_its_parent():
+    value = {"title": "t", "blocks": [{"page": 1, "section": {"path": ["a", "b"]}}, None], "extra": json.dumps({"label": {"maker": {"name": "m", "notes": [None, {"mark": "*"}]}, "aliases": []}, "n": 2})}
+    got = {r[0]: (r[1], r[2][-1], r[3], r[4], r[5]) for r in N.leaves(value)}
+    assert got == {
+        "$.title": ("$", "title", 0, "string", "t"),
+        "$.blocks[0].page": ("$.blocks[0]", "page", 0, "number", "1"),
+        "$.blocks[0].section.path[0]": ("$.blocks[0]", "path", 0, "string", "a"),
+        "$.blocks[0].section.path[1]": ("$.blocks[0]", "path", 1, "string", "b"),
+        "$.blocks[1]": ("$", "blocks", 1, "null", None),
+        "$.extra.label.maker.name": ("$", "name", 0, "string", "m"),
+        "$.extra.label.maker.notes[0]": ("$", "notes", 0, "null", None),
+        "$.extra.label.maker.notes[1].mark": ("$.extra.label.maker.notes[1]", "mark", 0, "string", "*"),
+        "$.extra.label.aliases": ("$", "aliases", 0, "array", "[]"),
+        "$.extra.n": ("$", "n", 0, "number", "2"),
+    }
+    parents = {r[0] for r in N.shred(value)} | {"$"}
+    assert {p for p, *_ in got.values()} <= parents
+
+
+def test_source_documents_and_records_stand_in_flat_tables(spark, tmp_path):
+    schema = "document_id string, ingested_at timestamp, blocks array<struct<page:int,section:string,text:string>>, extra map<string,string>"
+    source = [("d", None, [(1, "S", "x"), (2, None, "y")], {"page_model": "physical", "trial_ids": '["T1", "T2"]', "trials": '[{"trial_id": "T3"}]'}), ("e", None, None, None)]
+    spark.createDataFrame(source, schema).write.parquet(f"{tmp_path}/source_documents.parquet")
+    raw = [(1, None, json.dumps({"document_id": "d", "title": "t", "source_type": "other", "blocks": [{"page": 1, "section": "S", "text": "x"}], "extra": {"page_model": "synthetic", "label": {"maker": {"name": "m"}}}})), (2, None, "{"), (3, None, "{}")]
+    spark.createDataFrame(raw, "record_id long, received_at timestamp, payload string").write.parquet(f"{tmp_path}/raw_documents.parquet")
+    run = lambda name: plans.queries()[name](spark, str(tmp_path))
+    assert sorted((r.document_id, r.ordinal, r.page, r.section, r.text, r.parent_path) for r in run("p5_source_blocks").collect()) == [("d", 0, "1", "S", "x", "$"), ("d", 1, "2", None, "y", "$")]
+    assert sorted((r.document_id, r.key, r.ordinal, r.value) for r in run("p5_source_extra").collect()) == [("d", "page_model", 0, "physical"), ("d", "trial_ids", 0, "T1"), ("d", "trial_ids", 1, "T2")]
+    assert [(r.document_id, r.trial_id) for r in run("p5_source_trials").collect()] == [("d", "T3")]
+    assert sorted((r.record_id, r.document_id, r.title, r.source_type) for r in run("p5_records").collect()) == [(1, "d", "t", "other"), (3, None, None, None)]
+    assert sorted((r.record_id, r.key, r.path, r.value) for r in run("p5_extra").collect()) == [(1, "label", "$.extra.label.maker.name", "m"), (1, "page_model", "$.extra.page_model", "synthetic")]
+    held = {(r.field, json.loads(r.content).get("text")): r.occurrences for r in run("p5_objects").collect()}
+    assert held == {("blocks", "x"): 2, ("blocks", "y"): 1, ("trials", None): 1}

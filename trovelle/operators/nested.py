@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 # The fields whose objects are nodes.
 NODE_FIELDS = ["blocks", "tables", "rows", "notes", "trials", "arms", "outcomes", "authors", "affiliations", "identifiers"]
 
+#: Every single value of a record, for what is no field of a listed object.
+VALUES = "key string, path string, parent_path string, fields array<string>, ordinal long, type string, value string"
+
 BRIDGE = "key string, node_path string, parent_path string, field string, ordinal long, depth int, node_hash string, parent_hash string, content string"
 
 
@@ -123,6 +126,80 @@ def _resolve(own, nodes: list[dict]):
     return own
 
 
+def leaves(value, fields: frozenset[str] = frozenset(NODE_FIELDS), text_fields: frozenset[str] = frozenset(["extra"])) -> list[tuple]:
+    """(path, parent_path, fields, ordinal, type, value) of every single value of one record.
+
+    `path` is `$`, `.field` for each field passed and `[i]` for each array element; `parent_path` is the node around
+    it as shred() names it, else `$`; `fields` are the names passed; `ordinal` is the place in the innermost array, 0
+    outside arrays. Strings stand as they are, other values as JSON. An empty object or array is a value, so that
+    nothing of a record is without a row.
+    """
+    if not isinstance(value, dict):
+        return []
+    out = []
+    work = [(value, "$", "$", "$", (), 0, False)]
+    while work:
+        v, path, at, parent, names, ordinal, listed = work.pop()  # at: the path as nodes are named
+        if isinstance(v, dict) and v:
+            for name, x in reversed(v.items()):
+                if name in text_fields and isinstance(x, str):
+                    held = parse(x)
+                    x = held if isinstance(held, (dict, list)) else x
+                here = f"{at}.{name}"
+                if name in fields and isinstance(x, dict):
+                    work.append((x, f"{path}.{name}[0]", f"{here}[0]", f"{here}[0]", (*names, name), 0, False))
+                else:
+                    work.append((x, f"{path}.{name}", here, parent, (*names, name), 0, name in fields))
+        elif isinstance(v, list) and v:
+            for i, x in reversed(list(enumerate(v))):
+                node = listed and isinstance(x, dict)
+                own = f"{at}[{i}]" if node else at
+                work.append((x, f"{path}[{i}]", own, own if node else parent, names, i, False))
+        else:
+            kind = "null" if v is None else "boolean" if isinstance(v, bool) else {dict: "object", list: "array", str: "string"}.get(type(v), "number")
+            out.append((path, parent, list(names), ordinal, kind, v if kind == "string" else None if v is None else canonical(v)))
+    return out
+
+
+def values(df: DataFrame, key: str, payload: str, fields: list[str] = NODE_FIELDS) -> DataFrame:
+    """VALUES rows of the JSON column `payload`, for each row with a key; the same rows as for bridge() have none."""
+    listed = frozenset(fields)
+    names = [c.split(" ")[0] for c in VALUES.split(", ")]
+    types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.string()]
+
+    def walk(batches):
+        for batch in batches:
+            rows = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += [(k, *r) for r in leaves(parse(text), listed)]
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    pairs = df.select(F.col(key).cast("string").alias("key"), F.col(payload).cast("string").alias("payload")).where("key is not null and payload is not null")
+    return pairs.mapInArrow(walk, VALUES)
+
+
+def records(df: DataFrame, key: str, payload: str, columns: list[str]) -> DataFrame:
+    """One row for each payload that is a JSON object: key and the named fields of the record itself, strings as they are, other values as JSON."""
+    types = ", ".join(f"`{c}` string" for c in columns)
+
+    def walk(batches):
+        for batch in batches:
+            rows = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                v = parse(text)
+                if isinstance(v, dict):
+                    rows.append((k, *(x if x is None or isinstance(x, str) else canonical(x) for x in map(v.get, columns))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["key", *columns])
+
+    pairs = df.select(F.col(key).cast("string").alias("key"), F.col(payload).cast("string").alias("payload")).where("key is not null and payload is not null")
+    return pairs.mapInArrow(walk, f"key string, {types}")
+
+
 def bridge(df: DataFrame, key: str, payload: str, fields: list[str] = NODE_FIELDS) -> DataFrame:
     """BRIDGE rows of the JSON column `payload`, for each row with a key.
 

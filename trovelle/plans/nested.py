@@ -21,10 +21,25 @@ COLUMNS = {
     "identifiers": {"scheme": "$.scheme", "value": "$.value"},
 }
 
+# The fields of the record itself.
+RECORD = ["document_id", "title", "source_type"]
+
+
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.latest_rows(spark.read.parquet(f"{sf}/raw_documents.parquet"), "record_id", "received_at", "payload")
+
+
+def _source(spark: SparkSession, sf: str) -> DataFrame:
+    held = nested.source_payload(spark.read.parquet(f"{sf}/source_documents.parquet"))
+    return nested.latest_rows(held, "document_id", "ingested_at", "payload")
+
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
-    raw = nested.latest_rows(spark.read.parquet(f"{sf}/raw_documents.parquet"), "record_id", "received_at", "payload")
-    return nested.bridge(raw, "key", "payload")
+    return nested.bridge(_raw(spark, sf), "key", "payload")
+
+
+def _source_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.bridge(_source(spark, sf), "key", "payload")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,13 +47,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_objects(spark: SparkSession, sf: str) -> DataFrame:
-    return nested.objects(_rows(spark, sf))
+    """Objects of raw_documents and of source_documents, each different one once."""
+    return nested.objects(_rows(spark, sf).union(_source_rows(spark, sf)))
 
 
 def p5_source(spark: SparkSession, sf: str) -> DataFrame:
-    held = nested.source_payload(spark.read.parquet(f"{sf}/source_documents.parquet"))
-    rows = nested.bridge(nested.latest_rows(held, "document_id", "ingested_at", "payload"), "key", "payload")
-    return rows.select(F.col("key").alias("document_id"), "field", "node_path", "parent_path", "ordinal", "depth", "node_hash", "parent_hash")
+    return _source_rows(spark, sf).select(F.col("key").alias("document_id"), "field", "node_path", "parent_path", "ordinal", "depth", "node_hash", "parent_hash")
 
 
 def _flat(field: str):
@@ -48,8 +62,45 @@ def _flat(field: str):
     return run
 
 
+def _source_flat(field: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return nested.flat_table(_source_rows(spark, sf), field, COLUMNS[field]).withColumnRenamed("key", "document_id")
+
+    return run
+
+
+def p5_records(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.records(_raw(spark, sf), "key", "payload", RECORD).withColumn("record_id", F.col("key").cast("long")).drop("key")
+
+
+def p5_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every single value of the records, with its path and the object around it."""
+    return nested.values(_raw(spark, sf), "key", "payload").withColumn("record_id", F.col("key").cast("long")).drop("key")
+
+
+def p5_source_values(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.values(_source(spark, sf), "key", "payload").withColumnRenamed("key", "document_id")
+
+
+def _of_extra(values: DataFrame, key: str) -> DataFrame:
+    """The values in `extra` outside listed objects: `key` is the entry of extra, deeper places are in `path`. An extra that is null or empty has no rows; one that is a plain value has no key."""
+    own = values.where((F.get("fields", F.lit(0)) == "extra") & (F.col("parent_path") == "$"))
+    own = own.where((F.size("fields") > 1) | F.col("type").isin("string", "number", "boolean") | (F.col("path") != "$.extra"))
+    return own.select(key, F.get("fields", F.lit(1)).alias("key"), "ordinal", "value", "path", "parent_path", "type")
+
+
+def p5_extra(spark: SparkSession, sf: str) -> DataFrame:
+    return _of_extra(p5_values(spark, sf), "record_id")
+
+
+def p5_source_extra(spark: SparkSession, sf: str) -> DataFrame:
+    return _of_extra(p5_source_values(spark, sf), "document_id")
+
+
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_objects": p5_objects, "p5_source": p5_source} | {f"p5_{f}": _flat(f) for f in COLUMNS}
+    whole = {"p5_found": p5_found, "p5_objects": p5_objects, "p5_source": p5_source, "p5_records": p5_records, "p5_values": p5_values, "p5_extra": p5_extra}
+    source = {"p5_source_values": p5_source_values, "p5_source_extra": p5_source_extra} | {f"p5_source_{f}": _source_flat(f) for f in COLUMNS}
+    return whole | {f"p5_{f}": _flat(f) for f in COLUMNS} | source
 
 
 _NAMES = "|".join(nested.NODE_FIELDS)
