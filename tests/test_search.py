@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trovelle.functions import text as T
 from trovelle.operators import index, metrics, rerank, retrieve
+from trovelle.plans import text_queries
 from trovelle.plans.pipeline import OUT_OF_SCOPE, AskConfig, ask, evaluate
 
 CHUNK = "chunk_id string, document_id string, title string, section string, page int, text string"
@@ -156,3 +157,18 @@ def test_evaluate_counts_labelled_questions_only(spark, chunks):
     q = spark.createDataFrame([("a", "urate gout", ["d1"], ["c1"]), ("b", "anything", [], []), ("c", "zzz", ["d2"], ["c2"])], "question_id string, question string, relevant_document_ids array<string>, relevant_chunk_ids array<string>")
     got = {r.granularity: r for r in evaluate(chunks, q, AskConfig("bm25", False)).collect()}
     assert got["document"].n_questions == 2 and got["document"].mrr == 0.5 and got["chunk"].hit_1 == 0.5
+
+
+def test_sweep_of_sizes_retrieves_and_measures(spark, tmp_path):
+    docs = [(f"d{i}", f"title {w}", [(p, "Results", f"{w} lowers pressure. " + "filler words go here. " * 25) for p in range(6)]) for i, w in enumerate(["aspirin", "warfarin", "insulin"])]
+    df = spark.createDataFrame(docs, "document_id string, title string, blocks array<struct<page:int,section:string,text:string>>")
+    df.selectExpr("*", "cast(null as timestamp) as ingested_at", "'' as published").write.parquet(f"{tmp_path}/source_documents.parquet")
+    asked = [("q1", "What does aspirin lower?", ["d0"]), ("q2", "What does insulin lower?", ["d2", "d1"]), ("q3", "What does warfarin lower?", []), ("q4", "no such thing", None)]
+    df = spark.createDataFrame(asked, "question_id string, question string, relevant_document_ids array<string>")
+    df.selectExpr("*", "cast(null as timestamp) as created_at", "'' as source_title", "0d as lexical_overlap").write.parquet(f"{tmp_path}/eval_questions.parquet")
+    got = {r.target: r for r in text_queries.queries()["b3_chunk_sweep"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [300, 500, 800, 1200] and got[300].n_chunks > got[1200].n_chunks
+    for r in got.values():
+        assert (r.n_questions, r.recall_1, r.recall_20, r.mrr) == (2, 0.75, 1.0, 1.0)
+        assert 0 < r.precision_5 <= 1 and 0 < r.ndcg_5 <= 1 and r.recall_1 <= r.recall_5 <= r.recall_20
+    assert got[300].overlap == 45

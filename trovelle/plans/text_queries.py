@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelle.functions import text as T
-from trovelle.operators import chunking, corpus
+from trovelle.operators import chunking, corpus, metrics
 from trovelle.plans import sqlparts as S
+from trovelle.session import cut, stored
+
+# The passage sizes that are compared.
+SWEEP = (300, 500, 800, 1200)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -202,12 +206,22 @@ SQL["ch12_contextual"] = f"WITH {S.CHUNKS} SELECT chunk_id, md5(coalesce(title,
 
 
 def sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Passage sizes: how many passages of which mean size each target gives, with an overlap of 15 %."""
+    """Passage sizes, with an overlap of 15 %: how many passages of which size each target gives, and how well hybrid
+    retrieval over them, not reranked, finds the labelled documents. Lists are 20 passages deep, so that recall at 20 is one."""
+    from trovelle.plans import pipeline
+
     out = None
     docs = _docs(spark, sf)
-    for target in (300, 500, 800, 1200):
-        got = chunking.chunk_documents(docs, chunking.ChunkConfig(target, int(0.15 * target)))
-        row = got.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("token_count").alias("mean_tokens"), F.max("token_count").cast("long").alias("most")).withColumn("target", F.lit(target))
+    asked = corpus.latest_questions(read(spark, sf, "eval_questions"))
+    rel = metrics.qrels(asked)
+    labelled = asked.where(F.exists("relevant_document_ids", lambda d: d.isNotNull())).select(F.col("question_id").alias("query_id"), "question")
+    for target in SWEEP:
+        cfg = chunking.ChunkConfig(target, int(0.15 * target))
+        got = stored(chunking.chunk_documents(docs, cfg).join(docs.select("document_id", "title"), "document_id"))
+        row = got.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("token_count").alias("mean_tokens"), F.max("token_count").cast("long").alias("most")).withColumn("target", F.lit(target)).withColumn("overlap", F.lit(cfg.overlap))
+        hits = pipeline.search(got, labelled, pipeline.AskConfig("hybrid", False, top_k=20, top_n=20))
+        found = metrics.summary(metrics.per_query(metrics.by_document(hits), rel)).select("n_questions", "recall_1", "recall_5", "recall_20", "precision_5", "mrr", "ndcg_5")
+        row = cut(row.crossJoin(found))  # each size runs by itself
         out = row if out is None else out.unionByName(row)
     return out
 
