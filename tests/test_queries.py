@@ -51,3 +51,18 @@ def test_entry_gives_rows(spark, duck):
 
 def test_queries_and_twins_fit():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_comparison_has_the_reranked_arm(spark, duck):
+    from trovelle.plans import pipeline
+
+    got = {(r.arm, r.slice): r for r in search_queries.queries()["b2_all_arms"](spark, DIR).collect()}
+    assert {a for a, _ in got} == set(search_queries.ARMS)
+    own = pipeline.evaluate(search_queries.chunks(spark, DIR), search_queries.questions(spark, DIR), pipeline.AskConfig("hybrid", True, 20, 20)).where("granularity = 'document'").first()
+    for c in ("n_questions", "mrr", "map", "recall_1", "ndcg_5", "recall_20"):
+        assert got["hybrid+rerank", "all"][c] == pytest.approx(own[c], abs=2e-6)
+    top = max(r.mrr for (a, s), r in got.items() if s == "all")
+    best = {r.arm for r in search_queries.queries()["b4_best_of_all_arms"](spark, DIR).collect() if r.slice == "all"}
+    assert best == {a for (a, s), r in got.items() if s == "all" and r.mrr == top}
+    pivot = {r["slice"]: r["hybrid+rerank"] for r in search_queries.queries()["b5_all_arms_pivot"](spark, DIR).collect()}
+    assert pivot["all"] == got["hybrid+rerank", "all"].mrr

@@ -358,13 +358,13 @@ ARM_DOCS = "SELECT arm, query_id, document_id AS item_id, row_number() OVER (PAR
 SLICES = "sl AS (SELECT question_id AS query_id, unnest(['all', CASE WHEN coalesce(lexical_overlap, 0) <= 0.5 THEN 'low' ELSE 'high' END]) AS slice FROM q)"
 
 
-def compared(spark, sf):
+def compared(spark, sf, lists=None, names=("vector", "bm25", "hybrid", "hybrid_weighted")):
     """arm, slice, query_id and metrics: retrieval runs once an arm, slices are a join."""
-    lists = with_documents(spark, sf, _lists(spark, sf))
+    lists = with_documents(spark, sf, _lists(spark, sf) if lists is None else lists)
     best = lists.groupBy("arm", "query_id", "document_id").agg(F.min("rank").alias("best"))
     ranked = best.select(F.concat_ws("\t", "arm", "query_id").alias("query_id"), F.col("document_id").alias("item_id"), "best")
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best")))
-    arms = spark.createDataFrame([("vector",), ("bm25",), ("hybrid",), ("hybrid_weighted",)], "arm string")
+    arms = spark.createDataFrame([(n,) for n in names], "arm string")
     rel = metrics.qrels(questions(spark, sf), "document").crossJoin(F.broadcast(arms)).select(F.concat_ws("\t", "arm", "query_id").alias("query_id"), "item_id")
     per = metrics.per_query(ranked, rel).withColumn("arm", F.split("query_id", "\t")[0]).withColumn("query_id", F.split("query_id", "\t")[1])
     cut = questions(spark, sf).select(F.col("question_id").alias("query_id"), F.explode(evalset.slices()).alias("slice"))
@@ -391,6 +391,37 @@ def b5(spark, sf):
     return s.groupBy("slice").pivot("arm", ["vector", "bm25", "hybrid", "hybrid_weighted"]).agg(F.max("mrr"))
 
 
+#: The arms of the reference's comparison, the reranked one among them, and weighted fusion.
+ARMS = ["vector", "bm25", "hybrid", "hybrid+rerank", "hybrid_weighted"]
+
+
+def _all_lists(spark, sf):
+    """_lists() and the reranked arm: the same 20 candidates of rank fusion in the order of the pair scorer."""
+    lists = cut(_lists(spark, sf))
+    fused = lists.where("arm = 'hybrid'").withColumn("score", F.lit(0.0))  # the reranker goes by rank and its own score
+    again = rerank.rerank(candidates(spark, sf, fused), 20)
+    return lists.unionByName(again.select(F.lit("hybrid+rerank").alias("arm"), "query_id", "chunk_id", "rank"))
+
+
+def _all_arms(spark, sf):
+    return metrics.summary(compared(spark, sf, _all_lists(spark, sf), ARMS), "arm", "slice").where("n_questions >= 5")
+
+
+@add("b2_all_arms")
+def b2_all(spark, sf):
+    return _all_arms(spark, sf)
+
+
+@add("b4_best_of_all_arms")
+def b4_all(spark, sf):
+    return _all_arms(spark, sf).withColumn("top", F.max("mrr").over(Window.partitionBy("slice"))).where("mrr = top and mrr > 0").select("slice", "arm", "mrr")
+
+
+@add("b5_all_arms_pivot")
+def b5_all(spark, sf):
+    return _all_arms(spark, sf).groupBy("slice").pivot("arm", ARMS).agg(F.max("mrr"))
+
+
 _MODELS = ["bge-small-en-v1.5", "intfloat/e5-base", "thenlper/GTE-large", "all-MiniLM-L6", "BGE-e5-mixed"]
 
 
