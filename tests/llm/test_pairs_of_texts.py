@@ -174,3 +174,17 @@ def test_a_page_sends_two_rows_a_digest_at_most():
     d, o = S._extremes(np.array([5, 5, 5, 7], np.uint64), np.array([3, 1, 2, 9], np.uint64))
     assert sorted(zip(d.tolist(), o.tolist())) == [(5, 1), (5, 3), (7, 9)]
     assert K.grams(np.zeros(2, np.uint64), 3).tolist() == []
+
+
+def test_all_pairs_follow_from_the_star_and_the_copy_groups(spark):
+    base = " ".join(f"word{i}" for i in range(40))
+    rows = [(f"c{i}", base) for i in range(4)] + [("n", base + " more"), ("o", " ".join(f"other{i}" for i in range(40)))]
+    df = spark.createDataFrame(rows, "key string, norm string")
+    of = lambda limit: {tuple(r) for r in N.near_pairs(df, "key", N.normal_words(F.col("norm")), N.NearDupConfig(3, 0.6, 20, 5, 80, expand_limit=limit)).collect()}
+    star, full = of(2), of(100)
+    copies: dict = {}
+    for r in N.near_classes(df, "key", N.normal_words(F.col("norm")), N.CHUNK).collect():
+        copies.setdefault(r.text_key, []).append(r.key)
+    rebuilt = {tuple(sorted((x, y))) for a, b in star for x in copies.get(a, [a]) for y in copies.get(b, [b]) if x != y}
+    rebuilt |= {(x, y) for own in copies.values() for x in own for y in own if x < y}
+    assert star < full and rebuilt == full

@@ -190,7 +190,9 @@ def near_pairs(df: DataFrame, key: str, norm, cfg: NearDupConfig) -> DataFrame:
     Null keys and null or short texts have no pairs; rows that repeat a key count once; equal texts are
     pairs too. A text with more than cfg.expand_limit copies stands in pairs by its smallest key alone
     (its copies being paired with that one), for such lists grow with the square of the copies; no link
-    between different texts is lost. Other columns of df play no part.
+    between different texts is lost. These rows alone do not tell such copies from near texts: near_classes()
+    has the full membership (text_key, n_copies), and putting every key of its text_key in the place of a
+    key here, with all pairs inside a text_key, gives all pairs. Other columns of df play no part.
     """
     texts = stored(prepare(df, key, norm, cfg))
     links = similar_texts(texts, cfg).select("a", "b")
@@ -235,7 +237,7 @@ def components(vertices: DataFrame, links: DataFrame, max_rounds: int = 40) -> D
 
 
 def near_classes(df: DataFrame, key: str, norm, cfg: NearDupConfig) -> DataFrame:
-    """One row a key: key, class_key (the smallest key of its group), n_links (near texts other than its own), n_copies."""
+    """One row a key: key, class_key (the smallest key of its group), n_links (near texts other than its own), n_copies, text_key (the smallest key with the same text)."""
     texts = stored(prepare(df, key, norm, cfg))
     links = similar_texts(texts, cfg).select("a", "b")
     members = texts.select("tid", "key").distinct()
@@ -244,5 +246,5 @@ def near_classes(df: DataFrame, key: str, norm, cfg: NearDupConfig) -> DataFrame
     degree = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("n_links"))
     named = reps.join(comp, "tid").join(degree, "tid", "left")
     first = named.groupBy("class").agg(F.min("least").alias("class_key"))
-    rows = members.join(named.select("tid", "class", "n_links", "n_copies"), "tid").join(first, "class")
-    return rows.select("key", "class_key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+    rows = members.join(named.select("tid", "class", "n_links", "n_copies", F.col("least").alias("text_key")), "tid").join(first, "class")
+    return rows.select("key", "class_key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies", "text_key")
