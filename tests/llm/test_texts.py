@@ -245,3 +245,15 @@ def test_reliabilities_learn_from_agreement():
     assert q[0] > 0.9 and q[1] > 0.9 and q[2] < 0.1 and q[3] < 0.1 and 0.4 < prior < 0.6
     w = pii.train(np.array([[1.0], [0.0]]), np.array([0.9, 0.1]), np.array([5.0, 5.0]))
     assert w[0] > 1 and w[1] < 0
+
+
+def test_numbers_in_brackets_and_beside_others_are_proposed():
+    from trovelle.llm.pii import scan
+
+    found = lambda t: {(k, t[a:b]) for k, a, b, *_ in scan(t) if k in ("id_number", "phone")}
+    assert found("seen (412-55-0199) again") == {("id_number", "412-55-0199")}
+    assert found("seen 412-55-0199 12 times") == {("id_number", "412-55-0199")}
+    assert found("seen/412-55-0199, then") == {("id_number", "412-55-0199")}
+    assert found("ring (020 7946 0825) now") == {("phone", "020 7946 0825")}
+    assert found("412-55-0199 020 7946 0825") == {("id_number", "412-55-0199"), ("phone", "020 7946 0825")}
+    assert ("id_number", "412-55-0199") not in found("no 1412-55-0199-1")
