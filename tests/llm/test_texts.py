@@ -257,3 +257,15 @@ def test_numbers_in_brackets_and_beside_others_are_proposed():
     assert found("ring (020 7946 0825) now") == {("phone", "020 7946 0825")}
     assert found("412-55-0199 020 7946 0825") == {("id_number", "412-55-0199"), ("phone", "020 7946 0825")}
     assert ("id_number", "412-55-0199") not in found("no 1412-55-0199-1")
+
+
+def test_each_model_has_its_own_limit(spark):
+    rows = [("a", 400)] * 12 + [("a", 50 + 7 * i) for i in range(40)] + [("b", 420 + 9 * i) for i in range(40)] + [("b", 800)] * 12
+    rows += [("c", 300)] * 4 + [("c", 20), ("", 90), (None, 95)]
+    got = {(r.model, r.length) for r in P.length_spikes(spark.createDataFrame(rows, "model string, length int")).collect()}
+    assert {("a", 400), ("b", 800), ("c", 300), (None, 800)} == got
+    base = [("a", 400, "The dose was raised in adults")] * 12 + [("a", 50 + 7 * i, "It fell in adults.") for i in range(40)] + [("b", 420 + 9 * i, "It rose in adults.") for i in range(40)] + [("b", 400, "The dose was lowered in adults")]
+    df = spark.createDataFrame([(i, f"q{i}", t, m, n) for i, (m, n, t) in enumerate(base)], "answer_id long, question string, answer string, model string, n int")
+    df = df.selectExpr("*", "named_struct('completion_tokens', n) as usage", "cast(null as timestamp) as logged_at")
+    cut = {r.answer_id for r in P.pair_defects(df).collect() if r.defect == "truncated"}
+    assert cut == set(range(12))

@@ -65,11 +65,16 @@ CITES = r"(?:\s*\[\d{1,3}\])+"
 _ABBREVIATIONS = r"(?:\b(?:vs|e\.g|i\.e|etc|approx|dr|mr|mrs|ms|prof|no|fig|cf|resp|z\.b|p\.ej)\.)$"
 
 
+def _model(answers: DataFrame) -> Column:
+    """The model of each answer; null where it is empty or the table has none."""
+    return F.nullif(F.trim("model"), F.lit("")) if "model" in answers.columns else F.lit(None).cast("string")
+
+
 def latest_answers(answers: DataFrame) -> DataFrame:
     """One row an answer_id: the one logged last, the greater answer among equals; rows without answer_id are left out."""
     order = F.struct(F.coalesce("logged_at", F.expr("timestamp'1970-01-01 00:00:00'")), F.coalesce("answer", F.lit("")))
-    one = answers.where("answer_id is not null").groupBy("answer_id").agg(F.max_by(F.struct("question", "answer", F.col("usage.completion_tokens").alias("length")), order).alias("m"))
-    return one.select("answer_id", F.coalesce("m.question", F.lit("")).alias("question"), F.coalesce("m.answer", F.lit("")).alias("answer"), F.col("m.length").alias("length"))
+    one = answers.where("answer_id is not null").groupBy("answer_id").agg(F.max_by(F.struct("question", "answer", F.col("usage.completion_tokens").alias("length"), _model(answers).alias("model")), order).alias("m"))
+    return one.select("answer_id", F.coalesce("m.question", F.lit("")).alias("question"), F.coalesce("m.answer", F.lit("")).alias("answer"), F.col("m.length").alias("length"), F.col("m.model").alias("model"))
 
 
 def bare(text: Column) -> Column:
@@ -112,15 +117,19 @@ def shortened(texts: DataFrame) -> DataFrame:
 
 
 def length_spikes(answers: DataFrame, factor: float = 8.0, window: int = 20) -> DataFrame:
-    """(length): completion lengths at least `factor` times as frequent as the lengths around them, the larger end of the scale only.
+    """(model, length): completion lengths at least `factor` times as frequent as the lengths around them, the larger end of the scale only.
 
-    The histogram has one row a different length, which the model's context bounds.
+    Each model's answers (model, length) are looked at by themselves, and all together under a null model, which
+    holds for every answer: so answers without a model and models of few answers have evidence too. A spike has
+    four answers at least, for `factor` times half an answer. The histograms have one row a model and different
+    length, which the model's context bounds.
     """
-    counts = answers.where("length > 0").groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    around = Window.orderBy("length").rangeBetween(-window, window)
-    top = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    each = answers.where("length > 0").select("length", F.explode(F.array_distinct(F.array(_model(answers), F.lit(None).cast("string")))).alias("model"))
+    counts = each.groupBy("model", "length").agg(F.count(F.lit(1)).alias("n"))
+    around = Window.partitionBy("model").orderBy("length").rangeBetween(-window, window)
+    top = Window.partitionBy("model").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
     marked = counts.withColumn("near", (F.sum("n").over(around) - F.col("n")) / (2 * window)).withColumn("above", F.coalesce(F.sum("n").over(top), F.lit(0)))
-    return marked.where((F.col("n") >= 5) & (F.col("n") >= factor * F.greatest("near", F.lit(0.5))) & (F.col("above") < F.col("n"))).select("length")
+    return marked.where((F.col("n") >= factor * F.greatest("near", F.lit(0.5))) & (F.col("above") < F.col("n"))).select("model", "length")
 
 
 def final_words(answers: DataFrame) -> DataFrame:
@@ -186,9 +195,10 @@ def pair_defects(answers: DataFrame, final_rate: float = 0.9) -> DataFrame:
     marked = pair_features(one)
     undecided = marked.where("open_word is not null and not copy and not refusal")
     short = shortened(one.where(F.length("answer") >= 8).select(F.col("answer").alias("text")).distinct()).select(F.col("text").alias("answer"), F.lit(True).alias("shorter"))
-    at_limit = length_spikes(one).withColumn("limited", F.lit(True))
+    spikes = length_spikes(one).select(F.col("model").alias("of"), F.col("length").alias("limit"))
+    at_limit = one.join(spikes, (F.col("length") == F.col("limit")) & (F.col("of").isNull() | (F.col("of") == F.col("model")))).select("answer_id", F.lit(True).alias("limited")).distinct()
     words = final_words(one).where((F.col("final_rate") >= final_rate) & (F.col("n") >= 3)).select(F.col("word").alias("open_word"), F.lit(True).alias("may_end"))
-    judged = undecided.join(words, "open_word", "left").join(short, "answer", "left").join(at_limit, "length", "left")
+    judged = undecided.join(words, "open_word", "left").join(short, "answer", "left").join(at_limit, "answer_id", "left")
     cut = judged.where("coalesce(shorter, false) or coalesce(limited, false) or not coalesce(may_end, false)").select("answer_id")
     flags = F.array(*(F.when(F.col(c), F.lit(c)) for c in ("empty", "copy", "refusal", "language")), F.when(F.col("broken") & ~F.col("copy") & ~F.col("refusal"), F.lit("truncated")))
     rules = marked.select("answer_id", F.explode(F.array_compact(flags)).alias("defect"))
