@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import pytest
 
@@ -66,3 +67,18 @@ def test_comparison_has_the_reranked_arm(spark, duck):
     assert best == {a for (a, s), r in got.items() if s == "all" and r.mrr == top}
     pivot = {r["slice"]: r["hybrid+rerank"] for r in search_queries.queries()["b5_all_arms_pivot"](spark, DIR).collect()}
     assert pivot["all"] == got["hybrid+rerank", "all"].mrr
+
+
+def test_judge_has_three_metrics(spark, duck):
+    got = {r.answer_id: r for r in answer_queries.queries()["m13_three_metrics"](spark, DIR).collect()}
+    two = {r.answer_id: r for r in answer_queries.queries()["m13_lexical_judge"](spark, DIR).collect()}
+    assert got.keys() == two.keys() and all((r.support, r.relevance) == (two[i].support, two[i].relevance) for i, r in got.items())
+    word = lambda s: set(re.findall(r"[a-z0-9]+", (s or "").lower()))
+    texts = {r.chunk_id: r.text for r in answer_queries.chunks(spark, DIR).collect()}
+    same = 0
+    for a in answer_queries.logged(spark, DIR).collect():
+        share, known = got[a.answer_id].context_relevance, [texts[c.chunk_id] for c in a.contexts or [] if c.chunk_id in texts]
+        assert share is None or 0 <= share <= 1
+        assert known or share in (None, 0.0)
+        same += share is not None and known != [] and abs(share - len(word(a.question) & word(" ".join(known))) / max(1, len(word(a.question)))) < 0.2
+    assert same > 0 and any(r.context_relevance for r in got.values())

@@ -135,12 +135,22 @@ SELECT answer_id, round(CASE WHEN len(list_distinct({S.tokens('answer')})) > 0 T
 round(CASE WHEN len(list_distinct({S.tokens('question')})) > 0 THEN len(list_intersect(list_distinct({S.tokens('question')}), list_distinct({S.tokens('answer')})))::DOUBLE / len(list_distinct({S.tokens('question')})) END, 6) AS relevance FROM k""")
 def m13(spark, sf):
     """The offline judge: the share of an answer's words that its contexts have, and of the question's that the answer has."""
+    return judged(spark, sf).select("answer_id", "support", "relevance")
+
+
+@add("m13_three_metrics")
+def m13_all(spark, sf):
+    """The offline judge whole: context_relevance is the share of the question's words that the contexts have."""
+    return judged(spark, sf)
+
+
+def judged(spark, sf):
     a = logged(spark, sf).select("answer_id", "question", "answer", "contexts")
     ids = a.select("answer_id", F.explode("contexts.chunk_id").alias("chunk_id")).distinct()
     ctx = ids.join(chunks(spark, sf).select("chunk_id", T.tokenize(F.col("text")).alias("t")), "chunk_id").groupBy("answer_id").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("ctx"))
     x = a.join(ctx, "answer_id", "left").select("answer_id", F.array_distinct(T.tokenize(F.col("answer"))).alias("w"), F.array_distinct(T.tokenize(F.col("question"))).alias("q"), F.coalesce("ctx", F.array().cast("array<string>")).alias("ctx"))
     share = lambda p, o: F.round(F.when(F.size(p) > 0, F.size(F.array_intersect(p, o)) / F.size(p)), 6)
-    return x.select("answer_id", share("w", "ctx").alias("support"), share("q", "w").alias("relevance"))
+    return x.select("answer_id", share("w", "ctx").alias("support"), share("q", "w").alias("relevance"), share("q", "ctx").alias("context_relevance"))
 
 
 @add("m14_latency", f"""WITH {S.ANSWERS}, x AS (SELECT strategy, timings.total_latency AS t, row_number() OVER (PARTITION BY strategy ORDER BY timings.total_latency) - 1 AS i, count(*) OVER (PARTITION BY strategy) AS n FROM a WHERE timings.total_latency IS NOT NULL)
