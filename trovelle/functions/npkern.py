@@ -122,6 +122,14 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * down[: n - k + 1])
 
 
+def runs_of(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words start[i] .. end[i]-1 for each i."""
+    up, down = _powers("gram", len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w successive values, by doubling."""
     if len(x) < w:
