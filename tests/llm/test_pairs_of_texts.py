@@ -123,7 +123,7 @@ def test_runs_match_brute_force(spark, seed, length):
     got = {(x.kind, x.ref, x.first_word, x.last_word) for x in found.where("first_word is not null").collect()}
     assert got == brute_runs(rows, length) and got
     shares = {x.ref: x for x in S.shared_shares(found).collect()}
-    assert set(shares) == {x[1] for x in rows} and all(0 <= x.share <= 1 and x.repeated_words <= x.covered_words for x in shares.values())
+    assert set(shares) == {x[1] for x in rows} and all(0 <= x.share <= 1 for x in shares.values())
 
 
 def test_runs_of_nulls_repeats_and_owners(spark):
@@ -157,8 +157,31 @@ def test_repeats_go_and_the_earliest_stays(spark):
     units = lambda texts: {tuple(w[i : i + 14]) for w in map(str.split, texts) for i in range(len(w) - 13)}
     shared = {u for u in units(before.values()) if len({o for _, _, o, _, t in rows if u in units([t])}) > 1}
     assert shared and shared <= units(x.text for x in got.values())
-    runs = S.shared_runs(df, page_mb=0.002)
-    assert runs.agg(F.sum("repeated")).first()[0] == sum(g.last_word - g.first_word + 1 for x in got.values() for g in x.removed)
+
+
+@pytest.mark.parametrize("swapped", [False, True])
+@pytest.mark.parametrize("ids", [("a", "b"), ("b", "a"), ("doc7", "doc2"), ("x9", "x10"), ("old", "new"), ("q", "p")])
+def test_the_older_of_two_owners_keeps_its_passage(spark, ids, swapped):
+    passage = " ".join(WORDS[:18])
+    texts = {2020: f"first {passage} here", 2024: f"then {passage} there\n{passage}"}
+    rows = [("chunk", f"c-{i}", i, year, texts[year]) for i, year in zip(ids, (2020, 2024))]
+    df = spark.createDataFrame(rows[::-1] if swapped else rows, "kind string, ref string, owner string, rank long, text string")
+    got = {x.ref: x for x in S.without_repeats(df).collect()}
+    assert got[f"c-{ids[0]}"].text == texts[2020] and got[f"c-{ids[0]}"].removed == []
+    assert got[f"c-{ids[1]}"].text == "then there\n"
+
+
+def test_lines_are_taken_out_whole_and_the_earliest_stays_in_its_own_record(spark):
+    line, part = " ".join(WORDS[:20]), " ".join(WORDS[2:18])
+    rows = [("chunk", "c1", "d1", 5, f"a b\n{line}\nc {line}"), ("chunk", "c2", "d1", 6, line), ("chunk", "c3", "d2", 7, line.replace(" ", "  ")), ("chunk", "c4", "d3", 1, f"so {part} on")]
+    df = spark.createDataFrame(rows, "kind string, ref string, owner string, rank long, text string")
+    got = {x.ref: x.text.split() for x in S.without_repeats(df).collect()}
+    assert got["c4"] == f"so {part} on".split()  # the earliest place of the part
+    words = line.split()
+    assert got["c2"] == [] and got["c3"] == []
+    assert got["c1"][:2] == ["a", "b"] and got["c1"][2:4] == words[:2] and "c" in got["c1"]
+    units = {tuple(w[i : i + 14]) for w in got.values() for i in range(len(w) - 13)}
+    assert {tuple(words[i : i + 14]) for i in range(7)} <= units
 
 
 def test_repeated_rows_of_a_key_are_thinned_before_the_shuffle(spark):
@@ -170,9 +193,14 @@ def test_repeated_rows_of_a_key_are_thinned_before_the_shuffle(spark):
     assert got == {"hot", "b"}  # of equal ranks the greater text counts, here the long one
 
 
-def test_a_page_sends_two_rows_a_digest_at_most():
-    d, o = S._extremes(np.array([5, 5, 5, 7], np.uint64), np.array([3, 1, 2, 9], np.uint64))
-    assert sorted(zip(d.tolist(), o.tolist())) == [(5, 1), (5, 3), (7, 9)]
+def test_a_page_sends_one_row_a_digest(spark):
+    import pyarrow as pa
+
+    rows = {"page": [3] * 3, "kind": ["chunk"] * 3, "ref": ["a", "b", "c"], "owner": ["o1", "o2", "o1"], "rank": [5, 2, 9], "tie": [1, 1, 1], "text": [" ".join(WORDS[:14])] * 3}
+    page = S._Page(pa.table(rows), 14)
+    owner = page.owner[page.rec]
+    sent = S._sent(3, page, S._Occurrences(page.units(), owner, owner, page.rec, page.at)).to_pylist()
+    assert len(sent) == 1 and sent[0]["least"] < sent[0]["most"] and (sent[0]["rank"], sent[0]["at"]) == (2, 0)
     assert K.grams(np.zeros(2, np.uint64), 3).tolist() == []
 
 

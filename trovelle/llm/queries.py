@@ -54,7 +54,10 @@ def _runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.without_repeats(_records(spark, sf))
+    kept = spans.without_repeats(_records(spark, sf))
+    words = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last_word"] - r["first_word"] + 1)
+    places = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["first_word"], r["last_word"])), " ")
+    return kept.select("kind", "ref", "text", words.alias("removed_words"), places.alias("removed_places"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,8 +66,9 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
     shares = spans.shared_shares(_runs(spark, sf))
-    asked = _read(spark, sf, "eval_questions").groupBy(F.col("question_id").alias("ref")).agg(F.max_by("lexical_overlap", "created_at").alias("lexical_overlap"))
-    return shares.join(asked.withColumn("kind", F.lit("question")), ["kind", "ref"], "left")
+    latest = F.max(F.struct(F.coalesce("created_at", F.expr("timestamp'1970-01-01 00:00:00'")), F.coalesce("question", F.lit("")), "source_title", "lexical_overlap")).alias("m")
+    asked = _read(spark, sf, "eval_questions").groupBy(F.col("question_id").alias("ref")).agg(latest).select("ref", "m.lexical_overlap", F.lit("question").alias("kind"))
+    return shares.join(asked, ["kind", "ref"], "left").select("kind", "ref", "n_words", "covered_words", F.round("share", 9).alias("share"), "lexical_overlap")
 
 
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,4 +118,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": sql.P1, "p2_found": sql.P2_FOUND, "p2_ratios": sql.P2, "p3_found": sql.P3, "p4_found": sql.P4}
+    return {"p1_found": sql.P1, "p2_found": sql.P2_FOUND, "p2_ratios": sql.P2, "p3_found": sql.P3, "p3_shares": sql.P3_SHARES, "p3_deduplicated": sql.P3_DEDUPLICATED, "p4_found": sql.P4}

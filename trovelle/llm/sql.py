@@ -22,13 +22,29 @@ P1 = (
 )
 
 _BLOCK = r"[^ \t\r\n]+"
-P3 = f"""WITH {S.CHUNKS}, {S.QUESTIONS}, r AS (SELECT 'chunk' AS kind, chunk_id AS ref, coalesce(document_id, 'chunk:' || chunk_id) AS owner, regexp_extract_all(coalesce(text, ''), '{_BLOCK}') AS w FROM c
-UNION ALL SELECT 'question', question_id, 'question:' || question_id, regexp_extract_all(coalesce(question, ''), '{_BLOCK}') FROM q),
-u AS (SELECT kind, ref, owner, i, md5(array_to_string(w[i:i + 13], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 12)) AS i FROM r)),
+_RUNS = f"""WITH {S.CHUNKS}, {S.QUESTIONS}, r AS (SELECT 'chunk' AS kind, chunk_id AS ref, coalesce(document_id, 'chunk:' || chunk_id) AS owner, epoch_us(coalesce(indexed_at, TIMESTAMP '1970-01-01')) AS rank, text, regexp_extract_all(text, '{_BLOCK}') AS w FROM c WHERE text IS NOT NULL
+UNION ALL SELECT 'question', question_id, 'question:' || question_id, epoch_us(coalesce(created_at, TIMESTAMP '1970-01-01')), question, regexp_extract_all(question, '{_BLOCK}') FROM q WHERE question IS NOT NULL),
+u AS (SELECT kind, ref, owner, rank, i, md5(array_to_string(w[i:i + 13], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 12)) AS i FROM r)),
 s AS (SELECT h FROM u GROUP BY 1 HAVING count(DISTINCT owner) > 1),
 p AS (SELECT DISTINCT kind, ref, i + j - 1 AS pos FROM (SELECT kind, ref, i, unnest(range(0, 14)) AS j FROM u SEMI JOIN s USING (h))),
-g AS (SELECT kind, ref, pos, pos - row_number() OVER (PARTITION BY kind, ref ORDER BY pos) AS grp FROM p)
-SELECT kind, ref, min(pos)::BIGINT AS first_word, max(pos)::BIGINT AS last_word FROM g GROUP BY kind, ref, grp"""
+g AS (SELECT kind, ref, pos, pos - row_number() OVER (PARTITION BY kind, ref ORDER BY pos) AS grp FROM p),
+x AS (SELECT kind, ref, min(pos)::BIGINT AS first_word, max(pos)::BIGINT AS last_word FROM g GROUP BY kind, ref, grp)"""
+P3 = f"{_RUNS} SELECT * FROM x"
+P3_SHARES = f"""{_RUNS} SELECT r.kind, r.ref, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS covered_words, round(CASE WHEN len(w) > 0 THEN coalesce(n, 0)::DOUBLE / len(w) ELSE 0 END, 9) AS share, q.lexical_overlap
+FROM r LEFT JOIN (SELECT kind, ref, sum(last_word - first_word + 1) AS n FROM x GROUP BY 1, 2) y USING (kind, ref) LEFT JOIN q ON r.kind = 'question' AND r.ref = q.question_id"""
+_TIE = "('0x' || substr(md5(kind || ':' || ref), 1, 15))::BIGINT"
+# lines (l), the repeats among them (lr), moving lines outside these (v), which of them are originals, and the words taken out (z)
+P3_DEDUPLICATED = f"""{_RUNS}, l0 AS (SELECT kind, ref, owner, rank, unnest(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(x, '{_BLOCK}'))) AS lw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM r),
+l1 AS (SELECT *, coalesce(sum(len(lw)) OVER (PARTITION BY kind, ref ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM l0),
+l AS (SELECT *, md5(array_to_string(lw, ' ')) AS h FROM l1 WHERE len(lw) >= 14),
+lr AS (SELECT kind, ref, st, st + len(lw) AS upto FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY rank, {_TIE}, st) AS n FROM l WHERE h IN (SELECT h FROM l GROUP BY 1 HAVING count(DISTINCT owner) > 1)) WHERE n > 1),
+v AS (SELECT kind, ref, i - 1 AS st, row_number() OVER (PARTITION BY h ORDER BY rank, {_TIE}, i) AS n FROM (SELECT u.* FROM u SEMI JOIN s USING (h) ANTI JOIN lr ON u.kind = lr.kind AND u.ref = lr.ref AND u.i - 1 >= lr.st AND u.i + 13 <= lr.upto)),
+z AS (SELECT DISTINCT kind, ref, pos FROM (SELECT kind, ref, unnest(range(st, upto)) AS pos FROM lr UNION ALL SELECT kind, ref, unnest(range(st, st + 14)) FROM v WHERE n > 1)
+ANTI JOIN (SELECT DISTINCT kind, ref, unnest(range(st, st + 14)) AS pos FROM v WHERE n = 1) USING (kind, ref, pos)),
+zg AS (SELECT kind, ref, min(pos) AS a, max(pos) AS b FROM (SELECT *, pos - row_number() OVER (PARTITION BY kind, ref ORDER BY pos) AS grp FROM z) GROUP BY kind, ref, grp),
+zl AS (SELECT kind, ref, sum(b - a + 1)::BIGINT AS n, string_agg(a || '-' || b, ' ' ORDER BY a) AS places, flatten(list(range(a, b + 1))) AS gone FROM zg GROUP BY 1, 2)
+SELECT r.kind, r.ref, CASE WHEN n IS NULL THEN text ELSE regexp_extract(text, '^[ \t\r\n]*') || array_to_string(list_filter(regexp_extract_all(text, '{_BLOCK}[ \t\r\n]*'), lambda x, i: NOT list_contains(gone, i - 1)), '') END AS text,
+coalesce(n, 0)::BIGINT AS removed_words, coalesce(places, '') AS removed_places FROM r LEFT JOIN zl USING (kind, ref)"""
 
 _TEXTS = f"""WITH {S.CHUNKS}, {S.DOCUMENTS}, {S.BLOCKS}, t AS (SELECT 'chunk' AS kind, chunk_id AS ref, coalesce(text, '') AS text FROM c UNION ALL SELECT 'block', document_id || '#' || block_idx, text FROM b)"""
 P4 = f"{_TEXTS} SELECT kind, ref FROM t WHERE len(regexp_extract_all(text, {S.lit(splitting.TOKEN.replace(chr(92) + 'x1c-' + chr(92) + 'x1f' + chr(92) + 'x85', chr(92) + 'x1c-' + chr(92) + 'x1f'))})) > 500"
