@@ -174,7 +174,7 @@ _DIGESTS = "page int, digest long, least long, most long, rank long, tie long, a
 
 
 def _sent(number: int, page: _Page | None, o: _Occurrences | None, ranked: bool = True) -> pa.Table:
-    """One row a digest: the range of its owners, and its earliest occurrence if wanted."""
+    """One row a digest: the range of its owners (`most` null if there is one), and its earliest occurrence if wanted."""
     names = [c.split(" ")[0] for c in _DIGESTS.split(", ")]
     if page is None or not len(o.digest):
         return pa.table({n: pa.array([], pa.int32() if n == "page" else pa.int64()) for n in names})
@@ -183,8 +183,8 @@ def _sent(number: int, page: _Page | None, o: _Occurrences | None, ranked: bool
     start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
     first = order[start]
     rec = o.rec[first]
-    columns = [d[start], np.minimum.reduceat(o.least[order], start), np.maximum.reduceat(o.most[order], start)]
-    columns = [pa.array(np.full(len(start), number, np.int32)), *(pa.array(x.view(np.int64)) for x in columns)]
+    least, most = np.minimum.reduceat(o.least[order], start), np.maximum.reduceat(o.most[order], start)
+    columns = [pa.array(np.full(len(start), number, np.int32)), pa.array(d[start].view(np.int64)), pa.array(least.view(np.int64)), pa.array(most.view(np.int64), mask=least == most)]
     places = [pa.array(x.astype(np.int64)) for x in (page.rank[rec], page.tie[rec], o.at[first] - page.words.lo[rec])] if ranked else [pa.nulls(len(start), pa.int64())] * 3
     return pa.table([*columns, *places], names=names)
 
@@ -192,11 +192,15 @@ def _sent(number: int, page: _Page | None, o: _Occurrences | None, ranked: bool
 def _shared(digests: DataFrame) -> DataFrame:
     """(page, digest, rank, tie, at): the digests of two owners in all, for each page that holds them, with their earliest occurrence.
 
-    Digests are shuffled once; the fold over a digest and the way back to its pages read the same exchange.
+    Digests are shuffled once: the fold over a digest and the way back to its pages read the same exchange.
+    That takes both to read the same columns, hence a condition that names them and holds for every row.
     """
     by = digests.repartition("digest")
-    one = by.groupBy("digest").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "tie", "at"))).alias("o")).where("lo <> hi")
-    return by.select("page", "digest").join(one.select("digest", "o"), "digest").select("page", "digest", "o.rank", "o.tie", "o.at")
+    first = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "tie", "at"))).alias("first")
+    one = by.groupBy("digest").agg(F.min("least").alias("lo"), F.max(F.coalesce("most", "least")).alias("hi"), F.min("page").alias("p"), first).where("lo <> hi")
+    holds = F.coalesce((F.col("least") >= F.col("lo")) & (F.coalesce("most", "least") <= F.col("hi")) & (F.col("page") >= F.col("p")) & (F.struct("rank", "tie", "at") >= F.col("first")), F.lit(True))
+    rows, one = by.alias("rows"), one.alias("one")
+    return rows.join(one, (F.col("rows.digest") == F.col("one.digest")) & (holds | F.col("rank").isNull())).select("page", "rows.digest", "first.rank", "first.tie", "first.at")
 
 
 def _paged(recs: DataFrame, page_mb: float) -> DataFrame:
