@@ -189,13 +189,13 @@ def _sent(number: int, page: _Page | None, o: _Occurrences | None, ranked: bool
     return pa.table([*columns, *places], names=names)
 
 
-def _shared(digests: DataFrame) -> DataFrame:
+def _shared(digests: DataFrame, parts: int) -> DataFrame:
     """(page, digest, rank, tie, at): the digests of two owners in all, for each page that holds them, with their earliest occurrence.
 
     Digests are shuffled once: the fold over a digest and the way back to its pages read the same exchange.
     That takes both to read the same columns, hence a condition that names them and holds for every row.
     """
-    by = digests.repartition("digest")
+    by = digests.repartition(parts, "digest")
     first = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "tie", "at"))).alias("first")
     one = by.groupBy("digest").agg(F.min("least").alias("lo"), F.max(F.coalesce("most", "least")).alias("hi"), F.min("page").alias("p"), first).where("lo <> hi")
     holds = F.coalesce((F.col("least") >= F.col("lo")) & (F.coalesce("most", "least") <= F.col("hi")) & (F.col("page") >= F.col("p")) & (F.struct("rank", "tie", "at") >= F.col("first")), F.lit(True))
@@ -203,15 +203,16 @@ def _shared(digests: DataFrame) -> DataFrame:
     return rows.join(one, (F.col("rows.digest") == F.col("one.digest")) & (holds | F.col("rank").isNull())).select("page", "rows.digest", "first.rank", "first.tie", "first.at")
 
 
-def _paged(recs: DataFrame, page_mb: float) -> DataFrame:
-    """The records by page, at most 20,000 partitions more than the session's own: beyond that a task has several pages."""
+def _paged(recs: DataFrame, page_mb: float) -> tuple[DataFrame, int]:
+    """The records by page, and in how many partitions: a page each up to 20,000 (or the session's own number), beyond that several."""
     n_pages = pages_for(recs, ["text"], page_mb)
     page = F.pmod(F.xxhash64("kind", "ref"), F.lit(n_pages)).cast("int")
     tie = F.conv(F.substring(F.md5(F.concat_ws(":", "kind", "ref")), 1, 15), 16, 10).cast("long")
-    return thin(recs).withColumn("page", page).withColumn("tie", tie).select("page", "kind", "ref", "owner", "rank", "tie", "text").repartition(max(partitions(recs.sparkSession), min(n_pages, 20_000)), "page")
+    parts = max(partitions(recs.sparkSession), min(n_pages, 20_000))
+    return thin(recs).withColumn("page", page).withColumn("tie", tie).select("page", "kind", "ref", "owner", "rank", "tie", "text").repartition(parts, "page"), parts
 
 
-def _found(paged: DataFrame, length: int, ranked: bool) -> DataFrame:
+def _found(paged: DataFrame, parts: int, length: int, ranked: bool) -> DataFrame:
     """(page, digest, rank, tie, at): the shared lines and moving lines of each page; the ranks of moving lines only if wanted."""
 
     def first_step(table: pa.Table) -> pa.Table:
@@ -238,8 +239,8 @@ def _found(paged: DataFrame, length: int, ranked: bool) -> DataFrame:
         return pa.concat_tables([line, _sent(number, page, moving, ranked)])
 
     once = paged.groupBy("page").applyInArrow(first_step, _DIGESTS)
-    again = paged.groupBy("page").cogroup(_shared(once).groupBy("page")).applyInArrow(second_step, _DIGESTS)
-    return _shared(again)
+    again = paged.groupBy("page").cogroup(_shared(once, parts).groupBy("page")).applyInArrow(second_step, _DIGESTS)
+    return _shared(again, parts)
 
 
 class _Covered:
@@ -276,7 +277,7 @@ def shared_runs(recs: DataFrame, length: int = 14, page_mb: float = 2.0) -> Data
     one with the greater text). Records without runs give one row with null positions, so that shares can be
     taken over all of them. Other columns play no part.
     """
-    paged = _paged(recs, page_mb)
+    paged, parts = _paged(recs, page_mb)
 
     def third_step(table: pa.Table, found: pa.Table) -> pa.Table:
         names = ["kind", "ref", "n_words", "first_word", "last_word"]
@@ -307,7 +308,7 @@ def shared_runs(recs: DataFrame, length: int = 14, page_mb: float = 2.0) -> Data
 
     return (
         paged.groupBy("page")
-        .cogroup(_found(paged, length, False).groupBy("page"))
+        .cogroup(_found(paged, parts, length, False).groupBy("page"))
         .applyInArrow(third_step, "kind string, ref string, n_words long, first_word long, last_word long")
     )
 
@@ -321,7 +322,7 @@ def without_repeats(recs: DataFrame, length: int = 14, page_mb: float = 2.0) ->
     first_byte, end_byte) of the stretches taken out, in the original text; what stands between words
     goes with the word before it. Repeated rows of a key count once; null texts are left out.
     """
-    paged = _paged(recs, page_mb)
+    paged, parts = _paged(recs, page_mb)
     span = pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("first_byte", pa.int64()), ("end_byte", pa.int64())])
 
     def third_step(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -346,7 +347,7 @@ def without_repeats(recs: DataFrame, length: int = 14, page_mb: float = 2.0) ->
 
     return (
         paged.groupBy("page")
-        .cogroup(_found(paged, length, True).groupBy("page"))
+        .cogroup(_found(paged, parts, length, True).groupBy("page"))
         .applyInArrow(third_step, "kind string, ref string, text string, removed array<struct<first_word:long,last_word:long,first_byte:long,end_byte:long>>")
     )
 
