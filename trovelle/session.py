@@ -27,28 +27,54 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_TABLES: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the context is gone; a local folder goes all the same
+        shutil.rmtree(path.removeprefix("file://"), True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in list(_TABLES.items()):
+        _remove(spark, path)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of df from a compressed table in the shared folder, which goes with the process: for rows too wide to checkpoint plain."""
+    """The rows of df from a compressed table in the shared folder, which cuts the lineage; the table goes with the process or by release().
+
+    Once the table is written, the shuffle files of the step are not needed any more and are given back at once.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/trovelle-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def remove() -> None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # the context is gone; a local folder goes all the same
-            shutil.rmtree(path.removeprefix("file://"), True)
-
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    _TABLES[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+cut = stored  # for steps whose rows are narrow
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table behind a DataFrame of stored() that nothing reads any more."""
+    path = getattr(df, "_stored_at", None)
+    if path is not None and _TABLES.pop(path, None) is not None:
+        _remove(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:
