@@ -15,6 +15,14 @@ from trovelle.llm import spans as S
 WORDS = [f"w{i}" for i in range(400)]
 
 
+def source(df, key, norm, cfg):
+    return [N.Source("t", df, key, norm, cfg)]
+
+
+def pairs(df, key, norm, cfg):
+    return {(r.key_a, r.key_b) for r in N.near_pairs(source(df, key, norm, cfg)).collect()}
+
+
 def texts(seed: int, n: int = 60) -> list[str]:
     r = random.Random(seed)
     base = [" ".join(r.choice(WORDS) for _ in range(r.randint(20, 60))) for _ in range(n)]
@@ -35,16 +43,16 @@ def jaccard_pairs(rows, units, k, least, threshold):
 def test_pairs_match_brute_force(spark):
     rows = [(f"k{i:03d}", t) for i, t in enumerate(texts(1))]
     df = spark.createDataFrame(rows, "id string, t string")
-    got = {tuple(r) for r in N.near_pairs(df, "id", N.normal_words(F.col("t")), N.CHUNK).collect()}
+    got = pairs(df, "id", N.normal_words(F.col("t")), N.CHUNK)
     assert got == jaccard_pairs(rows, lambda t: re.findall("[a-z0-9]+", t.lower()), 3, 20, 0.6) and got
-    five = {tuple(r) for r in N.near_pairs(df, "id", N.normal_words(F.col("t")), N.FIVE).collect()}
+    five = pairs(df, "id", N.normal_words(F.col("t")), N.FIVE)
     assert five == jaccard_pairs(rows, str.split, 5, 5, 0.8)
 
 
 def test_titles_match_brute_force(spark):
     rows = [(f"d{i}", t) for i, t in enumerate(["A study of sleep in adults", "A Study  of Sleep in\tadults", "A study of sleep in adult", "Study of asleep adults!", "short", "", None, "Étude du sommeil – adultes", "Étude du sommeil – adulte"])]
     df = spark.createDataFrame(rows, "document_id string, title string")
-    got = {tuple(r) for r in N.near_pairs(df, "document_id", N.normal_title(F.col("title")), N.TITLE).collect()}
+    got = pairs(df, "document_id", N.normal_title(F.col("title")), N.TITLE)
     clean = [(k, re.sub(r"\s+", " ", (t or "").lower()).strip()) for k, t in rows]
     assert got == jaccard_pairs(clean, list, 3, 10, 0.7) and ("d7", "d8") in got
 
@@ -53,19 +61,17 @@ def test_copies_repeats_nulls_and_clashing_names(spark):
     t = texts(2, 6)
     rows = [("a", t[0], 1, 2), ("a", t[0], 1, 2), ("b", t[0].upper() + "!", 1, 2), ("c", t[0], 1, 2), (None, t[0], 1, 2), ("d", None, 1, 2), ("e", "", 1, 2), ("f", t[1], 1, 2)]
     df = spark.createDataFrame(rows, "key string, norm string, tid int, band int")
-    got = {tuple(r) for r in N.near_pairs(df, "key", N.normal_words(F.col("norm")), N.CHUNK).collect()}
+    got = pairs(df, "key", N.normal_words(F.col("norm")), N.CHUNK)
     assert got == {("a", "b"), ("a", "c"), ("b", "c")}
-    star = {tuple(r) for r in N.near_pairs(df, "key", N.normal_words(F.col("norm")), N.NearDupConfig(3, 0.6, 20, 5, 80, expand_limit=2)).collect()}
-    assert star == {("a", "b"), ("a", "c")}
-    assert N.near_pairs(df.where("false"), "key", N.normal_words(F.col("norm")), N.CHUNK).count() == 0
+    assert pairs(df.where("false"), "key", N.normal_words(F.col("norm")), N.CHUNK) == set()
 
 
 def test_many_copies_do_not_multiply_the_bands(spark):
     t = texts(3, 4)
     df = spark.createDataFrame([(f"k{i}", t[0]) for i in range(300)] + [("x", t[1])], "id string, t string")
-    cand = N.candidates(N.classes(N.prepare(df, "id", N.normal_words(F.col("t")), N.CHUNK)), N.CHUNK)
+    cand = N.candidates(N.classes(N.prepare(source(df, "id", N.normal_words(F.col("t")), N.CHUNK))), {"t": N.CHUNK})
     assert cand.count() == 0
-    rows = {r.key: r for r in N.near_classes(df, "id", N.normal_words(F.col("t")), N.CHUNK).collect()}
+    rows = {r.key: r for r in N.near_classes(source(df, "id", N.normal_words(F.col("t")), N.CHUNK)).collect()}
     assert rows["k7"].n_copies == 300 and rows["k7"].n_links == 0 and len({r.class_key for r in rows.values()}) == 2
 
 
@@ -76,14 +82,14 @@ def test_classes_follow_chains(spark):
         chain.append(" ".join(w))
         w[(i * 3) % len(w)] = f"new{i}"
     df = spark.createDataFrame([(f"k{i:02d}", t) for i, t in enumerate(chain)] + [("z", " ".join(WORDS[:30]))], "id string, t string")
-    rows = {r.key: r.class_key for r in N.near_classes(df, "id", N.normal_words(F.col("t")), N.CHUNK).collect()}
+    rows = {r.key: r.class_key for r in N.near_classes(source(df, "id", N.normal_words(F.col("t")), N.CHUNK)).collect()}
     assert {rows[f"k{i:02d}"] for i in range(12)} == {"k00"} and rows["z"] == "z"
 
 
 def test_signatures_are_minima_of_shifted_ranks():
     cfg = N.NearDupConfig(3, 0.6, 3, 2, 3, seed=5)
     col = pa.array(["a b c d e", "a b", "c " * 9000])
-    sig = N.signatures(col, cfg)
+    sig = N.signatures(*N._shingles(col, cfg), cfg)
     ranks = np.random.default_rng(5).permutation(N.UNIVERSE)
     g, n = N._shingles(col, cfg)
     slots = [int((int(x) * 0x2545F491 + 5) % 2**64 % N.UNIVERSE) for x in g[: n[0]]]
@@ -204,15 +210,46 @@ def test_a_page_sends_one_row_a_digest(spark):
     assert K.grams(np.zeros(2, np.uint64), 3).tolist() == []
 
 
-def test_all_pairs_follow_from_the_star_and_the_copy_groups(spark):
+def test_all_pairs_follow_from_links_and_copy_groups(spark):
     base = " ".join(f"word{i}" for i in range(40))
     rows = [(f"c{i}", base) for i in range(4)] + [("n", base + " more"), ("o", " ".join(f"other{i}" for i in range(40)))]
     df = spark.createDataFrame(rows, "key string, norm string")
-    of = lambda limit: {tuple(r) for r in N.near_pairs(df, "key", N.normal_words(F.col("norm")), N.NearDupConfig(3, 0.6, 20, 5, 80, expand_limit=limit)).collect()}
-    star, full = of(2), of(100)
+    own = source(df, "key", N.normal_words(F.col("norm")), N.CHUNK)
+    links = {(r.text_a, r.text_b) for r in N.near_links(own).collect()}
+    assert links == {("c0", "n")}
     copies: dict = {}
-    for r in N.near_classes(df, "key", N.normal_words(F.col("norm")), N.CHUNK).collect():
+    for r in N.near_classes(own).collect():
         copies.setdefault(r.text_key, []).append(r.key)
-    rebuilt = {tuple(sorted((x, y))) for a, b in star for x in copies.get(a, [a]) for y in copies.get(b, [b]) if x != y}
-    rebuilt |= {(x, y) for own in copies.values() for x in own for y in own if x < y}
-    assert star < full and rebuilt == full
+    rebuilt = {tuple(sorted((x, y))) for a, b in links for x in copies[a] for y in copies[b]}
+    rebuilt |= {(x, y) for own_ in copies.values() for x in own_ for y in own_ if x < y}
+    assert rebuilt == pairs(df, "key", N.normal_words(F.col("norm")), N.CHUNK) and len(rebuilt) == 10
+
+
+def test_size_classes_overlap_where_near_duplicates_may_differ():
+    n = np.array([0, 5, int(N.FULL * 0.5), int(N.FULL * 0.9), N.FULL + 1, N.FULL * 2, N.FULL * 15, N.FULL * 10**5])
+    own = [set(c.tolist()) for c in N.size_classes(n, 0.6)]
+    assert own[0] == {0, 1, 2, 3, 4} and {3, 4, 5, 6} <= own[1] and 7 in own[-1]
+    for i, x in enumerate(n):
+        for j, y in enumerate(n):
+            if 0 < min(x, y) >= 0.6 * max(x, y):
+                assert any({i, j} <= c for c in own)
+
+
+def test_huge_texts_agree_only_where_they_are_alike():
+    r = np.random.default_rng(8)
+    word = lambda lo, n: " ".join(f"w{x}" for x in r.integers(lo, lo + 10**7, n))
+    a, other = word(0, 400_000), word(10**8, 400_000)
+    near = a.split()
+    near[1000:9000] = word(2 * 10**8, 8000).split()
+    cfg = N.NearDupConfig(3, 0.6, 20, 5, 8)
+    text, keys = N.band_rows(pa.array([a, other, " ".join(near)]), cfg)
+    assert len(text) == 3  # one class each
+    assert (keys[0] == keys[2]).any() and not (keys[0] == keys[1]).any()
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    nodes = spark.range(61).withColumnRenamed("id", "tid")
+    with pytest.raises(RuntimeError):
+        N.components(nodes, links, max_rounds=1)
+    assert {r["class"] for r in N.components(nodes, links).collect()} == {0}

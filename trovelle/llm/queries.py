@@ -12,16 +12,23 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def _near(spark: SparkSession, sf: str) -> list[neardup.Source]:
+    return [
+        neardup.Source("chunk", _read(spark, sf, "chunks"), "chunk_id", neardup.normal_words(F.col("text")), neardup.CHUNK),
+        neardup.Source("title", _read(spark, sf, "source_documents"), "document_id", neardup.normal_title(F.col("title")), neardup.TITLE),
+    ]
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    chunk = neardup.near_pairs(_read(spark, sf, "chunks"), "chunk_id", neardup.normal_words(F.col("text")), neardup.CHUNK)
-    title = neardup.near_pairs(_read(spark, sf, "source_documents"), "document_id", neardup.normal_title(F.col("title")), neardup.TITLE)
-    return chunk.select(F.lit("chunk").alias("kind"), "key_a", "key_b").union(title.select(F.lit("title").alias("kind"), "key_a", "key_b"))
+    return neardup.near_pairs(_near(spark, sf))
+
+
+def p1_links(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_links(_near(spark, sf)).withColumn("similarity", F.round("similarity", 9))
 
 
 def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
-    chunk = neardup.near_classes(_read(spark, sf, "chunks"), "chunk_id", neardup.normal_words(F.col("text")), neardup.CHUNK)
-    title = neardup.near_classes(_read(spark, sf, "source_documents"), "document_id", neardup.normal_title(F.col("title")), neardup.TITLE)
-    return chunk.select(F.lit("chunk").alias("kind"), "*").union(title.select(F.lit("title").alias("kind"), "*"))
+    return neardup.near_classes(_near(spark, sf))
 
 
 def _common(spark: SparkSession, sf: str) -> list[str]:
@@ -118,4 +125,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": sql.P1, "p2_found": sql.P2_FOUND, "p2_ratios": sql.P2, "p3_found": sql.P3, "p3_shares": sql.P3_SHARES, "p3_deduplicated": sql.P3_DEDUPLICATED, "p4_found": sql.P4}
+    return {"p1_found": sql.P1, "p1_links": sql.P1_LINKS, "p2_found": sql.P2_FOUND, "p2_ratios": sql.P2, "p3_found": sql.P3, "p3_shares": sql.P3_SHARES, "p3_deduplicated": sql.P3_DEDUPLICATED, "p4_found": sql.P4}

@@ -6,20 +6,20 @@ from trovelle.llm import splitting
 from trovelle.plans import sqlparts as S
 
 
-def _pairs(items: str, unit: str, least: int, threshold: float, kind: str) -> str:
+def _pairs(items: str, unit: str, least: int, threshold: float, kind: str, links: bool = False) -> str:
     """items: a query of (key, u), u the list of units of the text."""
     grams = "list_distinct(list_transform(range(1, len(u) - 1), lambda i: " + ("u[i] || ' ' || u[i + 1] || ' ' || u[i + 2]" if unit == "word" else "u[i] || u[i + 1] || u[i + 2]") + "))"
+    names = "key_a AS text_a, key_b AS text_b, round(k::DOUBLE / (n + m - k), 9) AS similarity" if links else "key_a, key_b"
     return f"""(WITH i AS (SELECT key, {grams} AS g FROM ({items}) WHERE len(u) >= {least}), x AS (SELECT key, len(g) AS n, unnest(g) AS s FROM i),
 p AS (SELECT x.key AS key_a, y.key AS key_b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS k FROM x JOIN y ON x.s = y.s AND x.key < y.key GROUP BY 1, 2)
-SELECT '{kind}' AS kind, key_a, key_b FROM p WHERE k::DOUBLE / (n + m - k) >= {threshold} - 1e-12)""".replace("JOIN y ON", "JOIN x y ON")
+SELECT '{kind}' AS kind, {names} FROM p WHERE k::DOUBLE / (n + m - k) >= {threshold} - 1e-12)""".replace("JOIN y ON", "JOIN x y ON")
 
 
-P1 = (
-    f"WITH {S.CHUNKS}, {S.DOCUMENTS} "
-    + _pairs("SELECT chunk_id AS key, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS u FROM c", "word", 20, 0.6, "chunk")
-    + " UNION ALL "
-    + _pairs(f"SELECT document_id AS key, string_split({S.collapse('lower(coalesce(title, ' + chr(39) * 2 + '))')}, '') AS u FROM d", "char", 10, 0.7, "title")
-)
+_PASSAGES = "SELECT chunk_id AS key, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS u FROM c"
+_TITLES = f"SELECT document_id AS key, string_split({S.collapse('lower(coalesce(title, ' + chr(39) * 2 + '))')}, '') AS u FROM d"
+P1 = f"WITH {S.CHUNKS}, {S.DOCUMENTS} " + _pairs(_PASSAGES, "word", 20, 0.6, "chunk") + " UNION ALL " + _pairs(_TITLES, "char", 10, 0.7, "title")
+_ONE = "SELECT min(key) AS key, u FROM ({}) GROUP BY u".format
+P1_LINKS = f"WITH {S.CHUNKS}, {S.DOCUMENTS} " + _pairs(_ONE(_PASSAGES), "word", 20, 0.6, "chunk", True) + " UNION ALL " + _pairs(_ONE(_TITLES), "char", 10, 0.7, "title", True)
 
 _BLOCK = r"[^ \t\r\n]+"
 _RUNS = f"""WITH {S.CHUNKS}, {S.QUESTIONS}, r AS (SELECT 'chunk' AS kind, chunk_id AS ref, coalesce(document_id, 'chunk:' || chunk_id) AS owner, epoch_us(coalesce(indexed_at, TIMESTAMP '1970-01-01')) AS rank, text, regexp_extract_all(text, '{_BLOCK}') AS w FROM c WHERE text IS NOT NULL
