@@ -45,22 +45,24 @@ def _remove_all() -> None:
         _remove(spark, path)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, parts: int = 0) -> DataFrame:
     """The rows of df from a compressed table in the shared folder, which cuts the lineage; the table goes with the process or by release().
 
     Once the table is written, the shuffle files of the step are not needed any more and are given back at once.
+    `parts` raises the shuffle partitions of the step where the session has fewer; adaptive execution still splits and
+    joins them.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/trovelle-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true", "spark.sql.shuffle.partitions": str(max(parts, partitions(spark)))}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _TABLES[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
