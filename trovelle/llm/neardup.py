@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovelle.functions import npkern as K
-from trovelle.session import release, stored
+from trovelle.session import pages_for, release, stored
 
 #: Slots of the first size class, and the most shingles of its texts.
 UNIVERSE = 1 << 20
@@ -274,11 +274,12 @@ class _Links:
     def __init__(self, sources: list[Source]):
         cfgs = {s.kind: s.cfg for s in sources}
         texts = stored(prepare(sources))
-        reps = stored(classes(texts))
+        parts = min(pages_for(texts, ["norm"], 16.0), 20_000)  # where the session has fewer
+        reps = stored(classes(texts), parts)
         self.members = stored(texts.select("tid", "kind", "key").distinct())
         release(texts)
-        found = stored(candidates(reps, cfgs))
-        self.links = stored(verify(found, reps, cfgs))
+        found = stored(candidates(reps, cfgs), parts)
+        self.links = stored(verify(found, reps, cfgs), parts)
         release(found)
         release(reps)
 
