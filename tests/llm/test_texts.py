@@ -181,8 +181,28 @@ def test_latest_row_of_an_answer_counts(spark):
 
 def test_shortened_over_partition_ends(spark):
     texts = [f"{i:03d} common start" for i in range(60)]
-    df = spark.createDataFrame([(t,) for t in texts] + [(t + " and more",) for t in texts[::2]], "text string").repartition(4)
-    assert {r.text for r in P.shortened(df).collect()} == set(texts[::2])
+    df = spark.createDataFrame([(t,) for t in texts] + [(t + " and more",) for t in texts[::2]], "text string").repartition(4).withColumn("h", F.xxhash64("text"))
+    got = {r.text: r.rest for r in P.shortened(df).join(df, "h").collect()}
+    assert got == {t: " and more" for t in texts[::2]}
+
+
+def test_a_version_cut_at_a_sentence_end_is_whole(spark):
+    long = "The level rose to 0.28 in adults [1]. It fell in children, e.g. after meals [2]."
+    cuts = ["The level rose to 0.", "The level rose to 0.28 in adults", "The level rose to 0.28 in adults [1].", "The level rose to 0.28 in adults [1]. It fell in children, e.g."]
+    got = defects(spark, *((ASK, t) for t in [long, *cuts]))
+    assert got == [set(), {"truncated"}, {"truncated"}, set(), {"truncated"}] or got == [set(), {"truncated"}, set(), set(), {"truncated"}]
+
+
+def test_languages_are_learnt_from_the_texts(spark):
+    from trovelle.llm import language as L
+
+    english = [f"What does pelomide{i} do in the kidney when it is given with food?" for i in range(20)]
+    german = [f"Welche Wirkung hat pelomide{i} in der Niere und wann wird es mit Nahrung gegeben?" for i in range(20)]
+    df = spark.createDataFrame([(e, g) for e, g in zip(english, german)], "a string, b string")
+    profile = L.learn(df)
+    told = L.languages(pa.array(["The kidney was given food when it was in the", "Wann wird die Niere mit Nahrung", "", None, "x7Gq/9+Zk QQzx"]), profile)
+    assert [L.NAMES[i] if i >= 0 else None for i in told] == ["en", "de", None, None, None]
+    assert L.languages(pa.array([], pa.string()), profile).tolist() == []
 
 
 def test_spikes(spark):

@@ -1,27 +1,24 @@
 """Problem 6: defects of prompt and response pairs.
 
-Truncation is judged on three kinds of evidence. Responses are sorted by text, so that a shortened
-version stands directly before a longer one that starts with it. Completion lengths are counted, and
-a length far more frequent than those around it is a limit that responses ran into. The ending tells
-the rest: an open bracket, a list marker, a comma or a word that hardly ever ends a sentence in the
-corpus is broken off; a word that usually does is a missing full stop unless other evidence says more.
-Empty, copied, refusing and foreign responses follow from rules in column expressions.
+Truncation is judged on three kinds of evidence, for every response. Responses are sorted by text, so that a
+shortened version stands directly before a longer one that starts with it; it is broken off if the longer
+one goes on within the sentence. Completion lengths are counted, and a length far more frequent than those
+around it is a limit that responses ran into; a response at the limit is broken off unless it ends with
+a stop or a citation. The ending tells the rest: an open bracket, a list marker, a comma or a word
+that hardly ever ends a sentence in the corpus is broken off; a word that usually does is a missing
+full stop unless other evidence says more. Empty, copied and refusing responses follow from rules in column
+expressions, foreign ones from profiles of character trigrams (language.py).
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Common words that tell a language, all of them unlikely in the others.
-LANGUAGE_WORDS = {
-    "en": "the of and was were with for that by at be should is are not which from after when what how does in on has had than this may to a an no why who must more often",
-    "de": "der die das und in von bei zu mit eine wurde auf nach für unter nicht ist den dem sollte werden wann welche welcher waren wird zur oder hat nur wenige jedoch dieser einer",
-    "fr": "le la les de des et en par chez pour est dans sous après été du doit une un quelle quelles quels quel quand sont aux il ne pas ce cette avec être cas faut en d l a",
-    "es": "el la los las de y en con por para se es del al fue debe más una un qué cuándo son tiene cuál cuáles no sobre caso su",
-    "it": "il la gli le e di in un del della dei sono stati nei con per è deve una dopo stato più che pochi non nel caso come",
-}
+from trovelle.llm import language
+from trovelle.session import stored
 
 # What a response that answers nothing says, by language, and what may stand beside it.
 REFUSALS = [
@@ -88,32 +85,33 @@ def letters(text: Column) -> Column:
 
 
 def shortened(texts: DataFrame) -> DataFrame:
-    """(text): the texts directly before which, in sorted order, nothing stands between them and a longer text that starts with them.
+    """(h, rest): the texts after which, in sorted order, a longer text that starts with them comes next, and the first 40 characters it goes on with.
 
-    `texts` has different texts in its column `text`. They are ranged over partitions by the text, and only
-    the first and last text of each partition meet again, in a table of at most two rows a partition.
+    `texts` has different texts in its column `text`, with their hash h. They are ranged over partitions by the
+    text, and only the first and last text of each partition meet again, in a table of at most two rows a partition.
     """
-    ranged = texts.select("text").repartitionByRange("text").sortWithinPartitions("text")
+    ranged = texts.select("text", "h").repartitionByRange("text").sortWithinPartitions("text")
+    names = ["h", "rest", "part", "last", "first"]
 
     def neighbours(batches):
         from pyspark import TaskContext
 
-        part, first, last = TaskContext.get().partitionId(), None, None
-        out: list[str] = []
+        part, first, last, of = TaskContext.get().partitionId(), None, None, None
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            found = []
+            for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 first = t if first is None else first
                 if last is not None and t.startswith(last):
-                    out.append(last)
-                last = t
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.string())], names=["text", "part", "first"])
-            out = []
+                    found.append((of, t[len(last) : len(last) + 40]))
+                last, of = t, h
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([r for _, r in found], pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names=names)
         if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([part], pa.int32()), pa.array([first])], names=["text", "part", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.nulls(1, pa.string()), pa.array([part], pa.int32()), pa.array([last]), pa.array([first])], names=names)
 
-    seen = ranged.mapInArrow(neighbours, "text string, part int, first string")
-    edges = seen.where("part is not null").withColumn("next", F.lead("first").over(Window.orderBy("part")))
-    return seen.where("part is null").select("text").union(edges.where(F.col("next").startswith(F.col("text"))).select("text"))
+    seen = ranged.mapInArrow(neighbours, "h long, rest string, part int, last string, first string")
+    edges = seen.where("part is not null").withColumn("next", F.lead("first").over(Window.orderBy("part"))).where(F.col("next").startswith(F.col("last")))
+    return seen.where("part is null").select("h", "rest").union(edges.select("h", F.expr("substring(next, length(last) + 1, 40)").alias("rest")))
 
 
 def length_spikes(answers: DataFrame, factor: float = 8.0, window: int = 20) -> DataFrame:
@@ -137,69 +135,88 @@ def final_words(answers: DataFrame) -> DataFrame:
 
     A last word without a stop is in question itself and does not count.
     """
-    answers = answers.select(F.regexp_replace("answer", r"[\p{L}]+\)*\s*$", "").alias("answer"))
-    words = answers.select(F.explode(F.regexp_extract_all(F.lower("answer"), F.lit(r"[\p{L}]+\)*(?:[.!?](?=\s|$)|(?=\s*\[\d))?"), F.lit(0))).alias("w"))
-    ends = answers.select(F.explode(F.regexp_extract_all(F.lower("answer"), F.lit(r"([\p{L}]+)\)*(?=[.!?](?:\s|$)|\s*\[\d{1,3}\])"), F.lit(1))).alias("w"))
-    total = words.groupBy(F.regexp_extract("w", r"^[\p{L}]+", 0).alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    final = ends.groupBy(F.col("w").alias("word")).agg(F.count(F.lit(1)).alias("f"))
-    return total.join(final, "word", "left").select("word", (F.coalesce("f", F.lit(0)) / F.col("n")).alias("final_rate"), "n")
+    text = F.lower(F.regexp_replace("answer", r"[\p{L}]+\)*\s*$", ""))
+    words = answers.select(F.explode(F.regexp_extract_all(text, F.lit(r"[\p{L}]+(?:\)*(?:[.!?](?=\s|$)|\s*\[(?=\d{1,3}\])))?"), F.lit(0))).alias("w"))
+    final = F.right("w", F.lit(1)).isin(".", "!", "?", "[")
+    return words.groupBy(F.regexp_extract("w", r"^[\p{L}]+", 0).alias("word")).agg(F.avg(final.cast("double")).alias("final_rate"), F.count(F.lit(1)).alias("n"))
 
 
-def _language_hits(text: Column) -> dict[str, Column]:
-    return {k: F.regexp_count(text, F.lit(rf"(?iU)\b(?:{'|'.join(v.split())})\b")) for k, v in LANGUAGE_WORDS.items()}
+def is_refusal(text: Column) -> Column:
+    """All sentences say that there is no answer, or stand beside such a one; a first sentence that does neither settles it."""
+    sentences = F.filter(F.split(F.lower(text), r"(?<=[.!?;])\s+"), lambda s: F.length(letters(s)) > 0)
+    says = lambda s: s.rlike("|".join(REFUSALS))
+    return (F.size(sentences) > 0) & F.forall(sentences, lambda s: says(s) | s.rlike("|".join(BESIDE))) & F.exists(sentences, says)
 
 
-def language_of(text: Column, least: int = 1) -> Column:
-    """The language with the most hits among its common words, null if fewer than `least` or a tie."""
-    hits = _language_hits(text)
-    best = F.greatest(*hits.values())
-    ties = sum((F.when(h == best, 1).otherwise(0) for h in hits.values()), F.lit(0))
-    pick = F.coalesce(*(F.when(h == best, F.lit(k)) for k, h in hits.items()))
-    return F.when((best >= least) & (ties == 1), pick)
+_STOP = r"[.!?…。][\"')\]”’»*]*$"
+#: A longer text that goes on so had the sentence complete: citations and a stop alone.
+_ONLY_STOP = r"^\s*(?:\[\d{1,3}\]\s*)*[.!?…](?:\s|$|\[)"
+_QUOTED = "[“„\"«][^”“\"»]{0,80}[”“\"»]"
 
 
-def is_refusal(text: Column) -> Column:
-    """All sentences say that there is no answer, or stand beside such a one."""
-    sentences = F.filter(F.split(text, r"(?<=[.!?;])\s+"), lambda s: F.length(letters(s)) > 0)
-    says = lambda s: F.lower(s).rlike("(?iU)" + "|".join(REFUSALS))
-    beside = lambda s: F.lower(s).rlike("(?iU)" + "|".join(BESIDE))
-    return (F.size(sentences) > 0) & F.exists(sentences, says) & F.forall(sentences, lambda s: says(s) | beside(s))
+def _with_languages(rows: DataFrame, profile: np.ndarray) -> DataFrame:
+    """answer_id and whether the languages of `asked_text` and `said_text` are both known and differ."""
+
+    def run(batches):
+        for batch in batches:
+            ours, theirs = (language.languages(batch.column(i), profile) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((ours >= 0) & (theirs >= 0) & (ours != theirs))], names=["answer_id", "language"])
+
+    return rows.select("answer_id", "asked_text", "said_text").mapInArrow(run, "answer_id long, language boolean")
 
 
 def pair_features(answers: DataFrame) -> DataFrame:
-    """answer_id and the flags empty, copy, refusal, language, and of the ending: broken, open_word (the last word, where no stop follows)."""
+    """One row a row of latest_answers(): answer_id, h, model, length, the flags empty, copy, refusal, closed, broken, the last word where
+    nothing closes the text (open_word), and the texts whose languages are compared."""
     a = answers.withColumn("said", bare(F.col("answer"))).withColumn("core", letters(F.col("said"))).withColumn("asked", letters(F.col("question")))
     rest = F.when(F.length("asked") > 0, F.replace(F.col("core"), F.col("asked"), F.lit(""))).otherwise(F.col("core"))
     a = a.withColumn("empty", F.col("core").isin(NOTHING))
     a = a.withColumn("copy", ~F.col("empty") & (F.length("asked") > 0) & (rest != F.col("core")) & rest.isin(NOTHING))
     a = a.withColumn("refusal", ~F.col("empty") & ~F.col("copy") & is_refusal(F.col("said")))
-    without = F.regexp_replace(F.col("said"), "[“„\"«][^”“\"»]{0,80}[”“\"»]", " ")
-    theirs, ours = language_of(without, 2), language_of(F.col("question"))
-    a = a.withColumn("language", F.coalesce(~F.col("empty") & ~F.col("copy") & (theirs != ours), F.lit(False)))
-    end = F.regexp_replace(F.col("answer"), r"(?U)[\s\x{200b}\x{feff}]+$", "")
-    cited = end.rlike(r"\[\d{1,3}\]$")
-    stop = end.rlike(r"[.!?…。][\"')\]”’»*]*$") & ~F.lower(end).rlike(_ABBREVIATIONS)
-    marker = end.rlike(r"(?:^|\n)\s*(?:\d{1,3}[.)]|[-*•–]|\(\w\))$")
-    opened = end.rlike(r"\[\d{0,3}$|[(,;:\-–„“«]$")
+    end = F.regexp_replace(F.col("answer"), r"[\s\x{a0}\x{200b}\x{feff}]+$", "")
+    a = a.withColumn("end", F.right(end, F.lit(60)))  # longer than all endings looked for
+    cited = F.col("end").rlike(r"\[\d{1,3}\]$")
+    stop = F.col("end").rlike(_STOP) & ~F.lower("end").rlike(_ABBREVIATIONS)
+    marker = F.col("end").rlike(r"(?:^|\n)\s*(?:\d{1,3}[.)]|[-*•–]|\(\w\))$")
+    opened = F.col("end").rlike(r"\[\d{0,3}$|[(,;:\-–„“«]$")
     a = a.withColumn("broken", ~F.col("empty") & (marker | (opened & ~cited)))
-    a = a.withColumn("open_word", F.when(~F.col("empty") & ~F.col("broken") & ~stop & ~cited, F.coalesce(F.nullif(F.lower(F.regexp_extract(end, r"([\p{L}]+)[^\p{L}]*$", 1)), F.lit("")), F.lit("#"))))
-    return a.select("answer_id", "answer", "length", "empty", "copy", "refusal", "language", "broken", "open_word")
+    a = a.withColumn("closed", (stop | cited) & ~F.col("broken"))
+    word = F.coalesce(F.nullif(F.lower(F.regexp_extract("end", r"([\p{L}]+)[^\p{L}]*$", 1)), F.lit("")), F.lit("#"))
+    a = a.withColumn("open_word", F.when(~F.col("empty") & ~F.col("broken") & ~F.col("closed"), word))
+    skip = F.col("empty") | F.col("copy")
+    return a.select(
+        "answer_id", "h", "model", "length", "empty", "copy", "refusal", "broken", "closed", "open_word",
+        F.when(~skip, F.col("question")).alias("asked_text"), F.when(~skip, F.regexp_replace("said", _QUOTED, " ")).alias("said_text"),
+    )
+
+
+def pair_evidence(answers: DataFrame, final_rate: float = 0.9) -> DataFrame:
+    """(answer_id, evidence): everything that speaks for a defect of a pair.
+
+    empty, copy, refusal and language are defects themselves; shortened (a longer response goes on within the
+    sentence), limit (at a length limit and not closed), broken (ends in a list marker, open bracket or comma) and
+    open_word (ends in a word that seldom ends a sentence) are evidence of truncation. Null and blank answers are
+    empty and nothing else; a copy or refusal is not looked at for truncation. Null questions have no copies and no
+    language. Rows of one answer_id count once, the one logged last.
+    """
+    one = stored(latest_answers(answers).withColumn("h", F.xxhash64("answer")))
+    rows = stored(pair_features(one))
+    foreign = _with_languages(rows, language.learn(rows.select("asked_text", "said_text"))).where("language").select("answer_id", F.lit("language").alias("evidence"))
+    texts = one.where(F.length("answer") >= 8).select("h", F.col("answer").alias("text")).dropDuplicates(["h"])
+    open_ = rows.where("not empty and not copy and not refusal")
+    complete = F.col("rest").rlike(_ONLY_STOP) | (F.col("closed") & F.col("rest").rlike(r"^(?:\s|\[|$)"))
+    short = open_.join(shortened(texts), "h").where(~complete).select("answer_id", F.lit("shortened").alias("evidence"))
+    spikes = length_spikes(one).select(F.col("model").alias("of"), F.col("length").alias("limit"))
+    at = (F.col("length") == F.col("limit")) & (F.col("of").isNull() | (F.col("of") == F.col("model")))
+    limited = open_.where("open_word is not null or broken").join(spikes, at, "left_semi").select("answer_id", F.lit("limit").alias("evidence"))
+    may_end = final_words(one).where((F.col("final_rate") >= final_rate) & (F.col("n") >= 3)).select(F.col("word").alias("open_word"))
+    worded = open_.where("open_word is not null").join(may_end, "open_word", "left_anti").select("answer_id", F.lit("open_word").alias("evidence"))
+    flags = F.array(*(F.when(F.col(c), F.lit(c)) for c in ("empty", "copy", "refusal")), F.when(F.col("broken") & ~F.col("copy") & ~F.col("refusal"), F.lit("broken")))
+    rules = rows.select("answer_id", F.explode(F.array_compact(flags)).alias("evidence"))
+    return rules.union(foreign).union(short).union(limited).union(worded)
 
 
 def pair_defects(answers: DataFrame, final_rate: float = 0.9) -> DataFrame:
-    """(answer_id, defect): every defect of each pair, of empty, truncated, refusal, copy, language.
-
-    Null and blank answers are empty and nothing else. Null questions have no copies and no language.
-    """
-    one = latest_answers(answers)
-    marked = pair_features(one)
-    undecided = marked.where("open_word is not null and not copy and not refusal")
-    short = shortened(one.where(F.length("answer") >= 8).select(F.col("answer").alias("text")).distinct()).select(F.col("text").alias("answer"), F.lit(True).alias("shorter"))
-    spikes = length_spikes(one).select(F.col("model").alias("of"), F.col("length").alias("limit"))
-    at_limit = one.join(spikes, (F.col("length") == F.col("limit")) & (F.col("of").isNull() | (F.col("of") == F.col("model")))).select("answer_id", F.lit(True).alias("limited")).distinct()
-    words = final_words(one).where((F.col("final_rate") >= final_rate) & (F.col("n") >= 3)).select(F.col("word").alias("open_word"), F.lit(True).alias("may_end"))
-    judged = undecided.join(words, "open_word", "left").join(short, "answer", "left").join(at_limit, "answer_id", "left")
-    cut = judged.where("coalesce(shorter, false) or coalesce(limited, false) or not coalesce(may_end, false)").select("answer_id")
-    flags = F.array(*(F.when(F.col(c), F.lit(c)) for c in ("empty", "copy", "refusal", "language")), F.when(F.col("broken") & ~F.col("copy") & ~F.col("refusal"), F.lit("truncated")))
-    rules = marked.select("answer_id", F.explode(F.array_compact(flags)).alias("defect"))
-    return rules.union(cut.select("answer_id", F.lit("truncated").alias("defect"))).distinct()
+    """(answer_id, defect): every defect of each pair, of empty, truncated, refusal, copy, language; see pair_evidence()."""
+    truncated = F.col("evidence").isin("shortened", "limit", "broken", "open_word")
+    return pair_evidence(answers, final_rate).select("answer_id", F.when(truncated, F.lit("truncated")).otherwise(F.col("evidence")).alias("defect")).distinct()

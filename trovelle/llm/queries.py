@@ -92,6 +92,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.pair_defects(_read(spark, sf, "answers"))
 
 
+def p6_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.pair_evidence(_read(spark, sf, "answers"))
+
+
 def p7_placements(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_read(spark, sf, "documents"), _read(spark, sf, "containers"))
 
