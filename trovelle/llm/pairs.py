@@ -54,6 +54,12 @@ BESIDE = [
     r"\bbitte (?:formulieren|stellen)\b|\bveuillez\b|\bpor favor\b|\bper favore\b|\bes tut mir leid\b|\bdésolé|\blo siento\b|\bmi dispiace\b",
 ]
 
+# One of these words is in every sentence that REFUSALS or BESIDE match; most sentences have none.
+CUES = (
+    r"\b(?:can|cannot|could|couldn|unable|not|won|no|nothing|none|silent|would|don|deals?|insufficient|sufficient|little|rather|keine|nicht|ne|aucune|impossible|impossibile|ninguna|"
+    r"non|i|please|sorry|unfortunately|regrettably|bitte|leid|veuillez|por|per|désolé|siento|dispiace)\b|['’]d rather"
+)
+
 # Introductions that say nothing, and responses that are no words of their own.
 LEADS = r"^(?:\W*(?:you asked|your question|the question (?:was|is)|question|answer|the answer is|antwort|frage|réponse|respuesta|pregunta|risposta)\s*[:：]\s*)+"
 NOTHING = ["", "na", "null", "none", "nil", "nan", "answer", "noanswer", "tbd", "empty", "undefined", "antwort", "réponse", "respuesta", "risposta"]
@@ -76,8 +82,8 @@ def latest_answers(answers: DataFrame) -> DataFrame:
 
 def bare(text: Column) -> Column:
     """Without citations, invisible characters, outer white space and introductions."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x{200b}-\x{200f}\x{feff}\x{2060}\x{ad}]", ""), r"\[\d{1,3}\]", " "))
-    return F.regexp_replace(F.regexp_replace(plain, r"(?U)^\s+|\s+$", ""), "(?iU)" + LEADS, "")
+    plain = F.regexp_replace(F.regexp_replace(text, r"[\x{200b}-\x{200f}\x{feff}\x{2060}\x{ad}]++", ""), r"\[\d{1,3}\]", " ")
+    return F.regexp_replace(F.regexp_replace(plain, r"^[\s\p{Z}]+|(?<![\s\p{Z}])[\s\p{Z}]+$", ""), "(?iU)" + LEADS, "")
 
 
 def letters(text: Column) -> Column:
@@ -143,9 +149,10 @@ def final_words(answers: DataFrame) -> DataFrame:
 
 def is_refusal(text: Column) -> Column:
     """All sentences say that there is no answer, or stand beside such a one; a first sentence that does neither settles it."""
-    sentences = F.filter(F.split(F.lower(text), r"(?<=[.!?;])\s+"), lambda s: F.length(letters(s)) > 0)
+    sentences = F.filter(F.split(F.lower(text), r"(?<=[.!?;])\s+"), lambda s: s.rlike(r"[\p{L}\p{N}]"))
     says = lambda s: s.rlike("|".join(REFUSALS))
-    return (F.size(sentences) > 0) & F.forall(sentences, lambda s: says(s) | s.rlike("|".join(BESIDE))) & F.exists(sentences, says)
+    every = F.forall(sentences, lambda s: s.rlike(CUES) & (says(s) | s.rlike("|".join(BESIDE))))
+    return every & F.exists(sentences, says)
 
 
 _STOP = r"[.!?…。][\"')\]”’»*]*$"
