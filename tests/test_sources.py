@@ -14,11 +14,12 @@ from trovelle.streaming import rolling
 PROSE = "Patients who took the tablet every morning slept better and walked further than those who did not take it at all during the year. "
 
 ARTICLE = f"""<article><front><journal-meta><journal-title-group><journal-title>Journal of Sleep</journal-title></journal-title-group></journal-meta>
-<article-meta><article-id pub-id-type="pmc">77</article-id><title-group><article-title>Walking and <i>sleep</i></article-title></title-group>
-<contrib-group><contrib><name><surname>Vance</surname><given-names>Ada</given-names></name></contrib></contrib-group>
+<article-meta><article-id pub-id-type="pmcid">PMC77</article-id><article-id pub-id-type="doi">10.1/x</article-id><title-group><article-title>Walking and <i>sleep</i></article-title></title-group>
+<contrib-group><contrib contrib-type="editor"><name><surname>Other</surname><given-names>Ed</given-names></name></contrib><contrib contrib-type="author"><name><surname>Vance</surname><given-names>Ada</given-names></name></contrib></contrib-group>
 <pub-date><year>2021</year></pub-date><abstract><p>{PROSE}</p></abstract></article-meta></front>
 <body><sec><title>Methods</title><p>{PROSE}[12]</p><sec><title>Setting</title><p>{PROSE}</p></sec></sec>
-<sec><title>Funding</title><p>{PROSE}</p><sec><title>Inner</title><p>{PROSE}</p></sec></sec><p>{PROSE}</p></body></article>"""
+<sec><p>{PROSE}</p><sec><title>Methods</title><p>{PROSE}</p><sec><p>{PROSE} ½ ﬁne</p></sec></sec></sec>
+<sec><title>Our references</title><p>{PROSE}</p></sec><sec><title>Funding</title><p>{PROSE}</p><sec><title>Inner</title><p>{PROSE}</p></sec></sec><p>{PROSE}</p></body></article>"""
 
 
 def test_files_become_documents_and_bad_ones_error_rows(spark, tmp_path):
@@ -31,20 +32,24 @@ def test_files_become_documents_and_bad_ones_error_rows(spark, tmp_path):
     (tmp_path / "f.csv").write_text("a,b")
     (tmp_path / "g.pdf").write_bytes(b"%PDF")
     got = {r.document_id: r for r in L.read_documents(spark, str(tmp_path)).collect()}
-    assert set(got) == {"pmc_77", "fda_pelomide", "c"}
-    a = got["pmc_77"]
+    assert set(got) == {"PMC77", "fda_pelomide", "c"}
+    a = got["PMC77"]
     assert a.title == "Walking and sleep" and a.authors == ["Ada Vance"] and a.published == "2021" and a.publisher == "Journal of Sleep"
-    assert [b.section for b in a.blocks] == ["Abstract", "Methods", "Methods > Setting", "Body"] and "[12]" not in a.blocks[1].text
+    assert [b.section for b in a.blocks] == ["Abstract", "Methods", "Methods > Setting", "Body", "Body > Methods", "Body > Methods", "Body"] and "[12]" not in a.blocks[1].text
+    assert a.url.endswith("/PMC77/") and a.extra == {"doi": "10.1/x", "pmid": None, "page_model": "synthetic"} and a.source == "a.xml" and "1⁄2 fine" in a.blocks[5].text
     b = got["fda_pelomide"]
     assert b.title.startswith("Pelomide (Sano)") and [x.section for x in b.blocks] == ["Warnings"] and "[3]" in b.blocks[0].text and b.published == "2020"
+    assert b.publisher.startswith("U.S. Food") and b.license.startswith("Public domain") and b.url and b.extra["brand_name"] == "Sano" and b.blocks[0].text.count("\n\n") == 1
     assert {r.source for r in L.read_errors(spark, str(tmp_path)).collect()} == {"d.xml", "e.md", "g.pdf"}
 
 
-def test_pages_lose_running_lines_and_keep_sections():
+def test_pages_lose_running_lines_and_keep_sections(spark):
     pages = [f"Sleep Journal 2024\n{'1. Methods' if i == 1 else ''}\n{PROSE}\n{PROSE}\nfoot line here" for i in range(4)]
-    row = L.paged(pages, "x_y.pdf")
-    assert [b["section"] for b in row["blocks"]] == ["Body", "1. Methods", "1. Methods", "1. Methods"]
-    assert [b["page"] for b in row["blocks"]] == [1, 2, 3, 4] and all("Sleep Journal" not in b["text"] for b in row["blocks"])
+    schema = "path string, document_id string, title string, parts array<struct<section:string,text:string>>"
+    raw = spark.createDataFrame([("f/x_y.pdf", "x_y", None, [(str(i), p) for i, p in enumerate(pages, 1)]), ("f/z.pdf", "z", "Z", [("1", "short")])], schema)
+    row, none = L.page_blocks(raw).orderBy("path").collect()
+    assert [b.section for b in row.blocks] == ["Body", "1. Methods", "1. Methods", "1. Methods"] and row.title == "X Y"
+    assert [b.page for b in row.blocks] == [1, 2, 3, 4] and all("Sleep Journal" not in b.text for b in row.blocks) and none.blocks is None
 
 
 def test_json_lines_and_new_records(spark, tmp_path):

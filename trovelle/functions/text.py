@@ -92,11 +92,12 @@ BOILERPLATE = [
     r"^\s*issn[: ].*$",
 ]
 
+# Patterns of what cleaning takes out, and where sentences end.
 WORD = r"[\p{L}\p{N}_]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 HYPHEN_WRAP = rf"({WORD})-\n({WORD})"
 URL = r"https?://\S+"
-EMAIL = rf"{WORD}[\p{{L}}\p{{N}}_.+-]*@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]*{WORD}"
+EMAIL = rf"{WORD}[\p{{L}}\p{{N}}_.+-]*+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]*{WORD}"
 CITATION = r"\[\s*[0-9]+(?:\s*[-–,]\s*[0-9]+)*\s*\]"
 FIGURE = r"(?i)\((?:see\s+)?(?:fig(?:ure)?|table)\.?\s*[0-9]+[a-z]?\)"
 EDGES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -124,7 +125,7 @@ def fix_ligatures(text: Column) -> Column:
 
 
 def normalize_whitespace(text: Column) -> Column:
-    """Line ends to \\n, runs of blanks to one, three or more line ends to two, trimmed; NFKC is apart (nfkc())."""
+    """Line ends to \\n, runs of blanks to one, three or more line ends to two, trimmed; clean_text() takes the compatibility form (nfkc()) first."""
     text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     return strip(F.regexp_replace(F.regexp_replace(text, r"[ \t\x{a0}]+", " "), r"\n{3,}", "\n\n"))
 
@@ -140,14 +141,17 @@ def drop_references(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, CITATION, " "), FIGURE, " ")
 
 
-def clean_text(text: Column, drop_citations: bool = True) -> Column:
-    """Control characters, ligatures, wrapped words, links, addresses, references, lines, white space, in this order. Null gives the empty text."""
+def before_nfkc(text: Column, drop_citations: bool = True) -> Column:
+    """The steps of clean_text() that come before the compatibility form."""
     text = fix_ligatures(F.regexp_replace(F.coalesce(text, F.lit("")), CONTROL, " "))
     text = F.regexp_replace(text, HYPHEN_WRAP, "$1$2")
     text = F.regexp_replace(F.regexp_replace(text, URL, " "), EMAIL, " ")
-    if drop_citations:
-        text = drop_references(text)
-    return normalize_whitespace(keep_lines(text))
+    return keep_lines(drop_references(text) if drop_citations else text)
+
+
+def clean_text(text: Column, drop_citations: bool = True) -> Column:
+    """Control characters, ligatures, wrapped words, links, addresses, references, lines, compatibility form, white space, in this order. Null gives the empty text."""
+    return normalize_whitespace(nfkc(before_nfkc(text, drop_citations)))
 
 
 def nfkc(text: Column) -> Column:
@@ -160,6 +164,18 @@ def nfkc(text: Column) -> Column:
     return run(text)
 
 
+def nfkc_each(texts: Column) -> Column:
+    """The same for each text of an array."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return s.map(lambda a: None if a is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in a])
+
+    return run(texts)
+
+
 def is_meaningful(text: Column, least_chars: int = 120, least_letters: float = 0.6, least_words: int = 20) -> Column:
     letters = F.length(F.regexp_replace(text, r"[^\p{L}\s\p{Z}]", ""))
     return F.coalesce((F.length(text) >= least_chars) & (letters / F.greatest(F.length(text), F.lit(1)) >= least_letters) & (F.size(words(text)) >= least_words), F.lit(False))

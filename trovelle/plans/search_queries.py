@@ -50,7 +50,7 @@ def bm25_sql(k: int) -> str:
     return f"""WITH {S.CHUNKS}, {S.QUESTIONS}, {TOK}, {POSTINGS}, {STATS}, {TERMS}, {QTERMS},
 sc AS (SELECT query_id, chunk_id, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) * (count(*)::DOUBLE / any_value(nt)) AS score
   FROM qt JOIN post USING (term) JOIN ts USING (term), st GROUP BY 1, 2),
-bm AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc QUALIFY rank <= {k})"""
+bm AS MATERIALIZED (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc QUALIFY rank <= {k})"""
 
 
 VEC = f"""vt AS (SELECT key, term, count(*)::DOUBLE AS n FROM (SELECT chunk_id AS key, unnest({S.tokens("concat(coalesce(title, ''), chr(10), coalesce(section, ''), chr(10) || chr(10), coalesce(text, ''))")}) AS term FROM c) GROUP BY 1, 2),
@@ -63,7 +63,7 @@ qn AS (SELECT query_id, sqrt(sum(n * n)) AS norm FROM qe GROUP BY 1)"""
 def vector_sql(k: int) -> str:
     """The dense arm after bm25_sql()."""
     return f"""{VEC}, dv AS (SELECT query_id, key AS chunk_id, sum(qe.n * ve.n) / (any_value(qn.norm) * any_value(vn.norm)) AS score FROM qe JOIN ve USING (i) JOIN vn USING (key) JOIN qn USING (query_id) GROUP BY 1, 2),
-dn AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dv QUALIFY rank <= {k})"""
+dn AS MATERIALIZED (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dv QUALIFY rank <= {k})"""
 
 
 def lexical(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from trovelle.functions import text as T
 
 STOP = "[" + ",".join(f"'{w}'" for w in T.STOPWORDS) + "]"
@@ -42,6 +44,24 @@ def whitespace(expr: str) -> str:
     return strip(re_sub(re_sub(expr, r"[ \t\x{a0}]+", "' '"), r"\n{3,}", "chr(10) || chr(10)"))
 
 
+def _compatible() -> dict[str, str]:
+    """Compatibility forms of the Latin, punctuation, letterlike, ligature and full-width ranges, by the Unicode tables."""
+    ranges = [(0xA0, 0xFF), (0x2000, 0x218F), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)]
+    chars = [chr(i) for lo, hi in ranges for i in range(lo, hi + 1)]
+    return {c: n for c in chars if (n := unicodedata.normalize("NFKC", c)) != c}
+
+
+def nfkc(expr: str) -> str:
+    """NFKC in those ranges; elsewhere the composed form."""
+    table = _compatible()
+    one = {c: n for c, n in table.items() if len(n) == 1}
+    expr = f"translate({expr}, '{''.join(one)}', {lit(''.join(one.values()))})"
+    for c, n in table.items():
+        if len(n) != 1:
+            expr = f"replace({expr}, '{c}', {lit(n)})"
+    return f"nfc_normalize({expr})"
+
+
 def keep_lines(expr: str) -> str:
     drop = "(?i)" + "|".join([T.PAGE_NUMBER, *T.BOILERPLATE])
     return f"array_to_string(list_filter(list_transform(string_split({expr}, chr(10)), lambda x: {strip('x')}), lambda x: x = '' OR NOT regexp_matches(x, {lit(drop)})), chr(10))"
@@ -56,11 +76,11 @@ def wrapped(expr: str) -> str:
 
 
 def links(expr: str) -> str:
-    return re_sub(re_sub(expr, T.URL, "' '"), T.EMAIL, "' '")
+    return re_sub(re_sub(expr, T.URL, "' '"), T.EMAIL.replace("*+", "*"), "' '")
 
 
 def clean(expr: str) -> str:
-    return whitespace(keep_lines(references(links(wrapped(ligatures(re_sub(f"coalesce({expr}, '')", T.CONTROL, "' '")))))))
+    return whitespace(nfkc(keep_lines(references(links(wrapped(ligatures(re_sub(f"coalesce({expr}, '')", T.CONTROL, "' '"))))))))
 
 
 def tokens(expr: str, stop: bool = True) -> str:

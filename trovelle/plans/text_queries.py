@@ -51,6 +51,7 @@ def c7_nfkc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["c7_nfkc"] = c7_nfkc
+SQL["c7_nfkc"] = f"SELECT doc_id, md5({S.whitespace(S.nfkc(_t))}) AS digest FROM documents"
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,6 +176,14 @@ def ch_paginate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["ch1_paginate"] = ch_paginate
+# paragraphs (p) one after another: page and what is used of it before the next paragraph (f), blocks as parts of a page
+SQL["ch1_paginate"] = f"""WITH RECURSIVE {S.DOCUMENTS}, p0 AS (SELECT document_id, part, section, unnest(ps) AS t, generate_subscripts(ps, 1) AS k, len(ps) AS n FROM
+(SELECT document_id, i AS part, blocks[i].section AS section, list_filter(string_split(coalesce(blocks[i].text, ''), chr(10) || chr(10)), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}]')) AS ps FROM (SELECT document_id, blocks, unnest(range(1, len(blocks) + 1)) AS i FROM d))),
+p AS MATERIALIZED (SELECT document_id, part, section, length(t) AS l, k = n AS last, row_number() OVER (PARTITION BY document_id ORDER BY part, k) AS i FROM p0),
+f AS (SELECT document_id, i, part, section, l, 1 AS page, CASE WHEN last AND l > {int(chunking.CHARS_A_PAGE * chunking.FULL_PAGE)} THEN 2 ELSE 1 END AS next_page, CASE WHEN last AND l > {int(chunking.CHARS_A_PAGE * chunking.FULL_PAGE)} THEN 0 ELSE l END AS used FROM p WHERE i = 1
+UNION ALL SELECT document_id, i, part, section, l, page, CASE WHEN full_ THEN page + 1 ELSE page END, CASE WHEN full_ THEN 0 ELSE u + l END FROM (SELECT *, last AND u + l > {int(chunking.CHARS_A_PAGE * chunking.FULL_PAGE)} AS full_ FROM
+(SELECT p.*, CASE WHEN turn THEN next_page + 1 ELSE next_page END AS page, CASE WHEN turn THEN 0 ELSE used END AS u FROM (SELECT f.*, f.part AS own, f.page AS mine FROM f) f JOIN p ON p.document_id = f.document_id AND p.i = f.i + 1, LATERAL (SELECT used + p.l > {chunking.CHARS_A_PAGE} AND own = p.part AND mine = next_page AS turn))))
+SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY part, page) - 1)::INT AS block_idx, page, any_value(section) AS section, (sum(l) + 2 * count(*) - 2)::INT AS n_chars FROM f GROUP BY document_id, part, page"""
 
 
 def ch_chunks(spark: SparkSession, sf: str) -> DataFrame:
