@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,39 @@ def test_sweep_of_sizes_retrieves_and_measures(spark, tmp_path):
         assert (r.n_questions, r.recall_1, r.recall_20, r.mrr) == (2, 0.75, 1.0, 1.0)
         assert 0 < r.precision_5 <= 1 and 0 < r.ndcg_5 <= 1 and r.recall_1 <= r.recall_5 <= r.recall_20
     assert got[300].overlap == 45
+
+
+def test_postings_and_blocks_give_the_same_rows(spark, tmp_path):
+    from trovelle.plans.pipeline import AskConfig, Index, compare, search
+    from trovelle.sources import store
+
+    r = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(60)]
+    rows = [(f"c{i:03d}", f"d{i % 7}", "title", "part", 1, " ".join(r.choice(vocabulary[: 10 + i % 50]) for _ in range(30)), 30, 0) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, title string, section string, page int, text string, token_count int, char_start int")
+    asked = spark.createDataFrame([(f"q{i}", " ".join(r.choice(vocabulary) for _ in range(5)) + " unseen") for i in range(6)] + [("none", "nothing"), (None, "word1")], "query_id string, question string")
+    store.save_index(chunks, str(tmp_path / "ix"))
+    tables = store.load_index(spark, str(tmp_path / "ix"))
+    few = retrieve.bm25_of_tables(tables, asked, 5)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "postings" in plan and "ix/chunks" not in plan
+    without = {k: v for k, v in tables.items() if k != "postings"}
+    shown = lambda df: sorted((x.query_id, x["rank"], x.chunk_id, round(x.score, 8)) for x in df.collect())
+    assert shown(few) == shown(retrieve.bm25_of_tables(without, asked, 5)) == shown(retrieve.bm25(chunks, asked, 5)) and len(shown(few)) == 30
+    two = lambda i: sorted((x.query_id, x["rank"], x.chunk_id) for x in search(i, asked, AskConfig("hybrid", True, 10, 5)).collect())
+    assert two(Index(tables)) == two(chunks)
+    q = asked.where("query_id is not null").selectExpr("query_id as question_id", "question", "array('d1') as relevant_document_ids", "array('c001') as relevant_chunk_ids")
+    assert {x.arm for x in compare(Index(tables), q).collect()} == {"vector", "bm25", "hybrid", "hybrid+rerank"}
+
+
+def test_best_keeps_ties_by_item_over_blocks():
+    import numpy as np
+    import pyarrow as pa
+
+    best = retrieve.Best(2, 3)
+    best.limit = 4
+    for block in range(5):
+        items = pa.array([f"i{9 - block}{c}" for c in range(4)])
+        best.block(0, np.array([[1.0, 1.0, 0.0, 2.0 * (block == 3)], [0.0, 0.0, 0.0, float(block)]]), items, 0.0)
+    got = [(r["query_id"], r["item"], r["score"]) for b in best.rows(["x", "y"], ["query_id", "item", "score"], None) for r in b.to_pylist()]
+    assert got == [("x", "i63", 2.0), ("x", "i50", 1.0), ("x", "i51", 1.0), ("y", "i53", 4.0), ("y", "i63", 3.0), ("y", "i73", 2.0)]

@@ -1,8 +1,10 @@
-"""Retrieval: lexical and vector top-k over blocks of the corpus, and fusion of ranked lists.
+"""Retrieval: lexical and vector top-k from the tables of an index, and fusion of ranked lists.
 
-Questions are a stated set that runs against all passages. They go out in batches of bounded size;
-passages stay where they are: each batch of them is scored as a block and gives up only its own best
-k a question, so what is shuffled grows with questions times blocks, not with matches.
+Questions are a stated set that runs against all passages. They go out in batches of bounded size, as
+a broadcast variable; passages stay where they are: a task scores them block by block, keeps the best k a
+question over all its blocks, and gives these up at its end. So what is shuffled grows with questions
+times tasks, not with matches or blocks. A few questions at a time go another way to the same rows: they read the
+postings of their own words alone.
 """
 
 from __future__ import annotations
@@ -11,19 +13,25 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovelle.functions import text as T
 from trovelle.operators import index
+from trovelle.session import stored
 
 QUESTIONS_A_BATCH = 20_000
+#: Bytes of question vectors that a batch sends to each worker at most.
+BATCH_BYTES = 64_000_000
+#: So many questions or fewer read the postings of their words.
+FEW = 16
 
 
-def _batches(questions: DataFrame, key: str) -> list[DataFrame]:
+def _batches(questions: DataFrame, key: str, at_most: int = QUESTIONS_A_BATCH) -> list[DataFrame]:
     """Parts of bounded size, by the hash of the key."""
     n = questions.count()
-    parts = (n + QUESTIONS_A_BATCH - 1) // QUESTIONS_A_BATCH or 1
+    parts = (n + at_most - 1) // at_most or 1
     return [questions if parts == 1 else questions.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 
@@ -34,12 +42,49 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _block_top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k best of each row and all that tie with them, above 0."""
-    if scores.shape[1] > k:
-        bar = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k][:, None]
-        return np.nonzero((scores >= bar) & (scores > 0))
-    return np.nonzero(scores > 0)
+class Best:
+    """The k best items of each question so far: by score to nine places, then by item."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.bar = k, np.full(questions, -np.inf)
+        self.held: pa.Table | None = None
+        self.new: list[pa.Table] = []
+        self.waiting, self.limit = 0, max(4 * questions * k, 100_000)
+
+    def block(self, first: int, scores: np.ndarray, items: pa.Array, above: float) -> None:
+        """Scores of the questions from `first` on (rows) for a block of items (columns); those not over `above` do not count."""
+        bar = self.bar[first : first + len(scores)]
+        if scores.shape[1] > self.k:
+            bar = np.maximum(bar, np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k])
+        q, c = np.nonzero((scores >= bar[:, None] - 1e-9) & (scores > above))
+        if len(q):
+            self.new.append(pa.table([pa.array(q + first), pa.array(scores[q, c]), items.take(pa.array(c))], names=["q", "s", "item"]))
+            self.waiting += len(q)
+            if self.waiting > self.limit:
+                self.settle()
+
+    def settle(self) -> pa.Table | None:
+        parts = [*([self.held] if self.held is not None else []), *self.new]
+        if parts:
+            t = pa.concat_tables(parts)
+            t = t.append_column("r", pa.array(-np.round(t["s"].to_numpy(), 9)))
+            t = t.take(pc.sort_indices(t, [("q", "ascending"), ("r", "ascending"), ("item", "ascending")])).drop_columns(["r"])
+            q = t["q"].to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+            place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+            self.held = t.filter(pa.array(place < self.k)).combine_chunks()
+            full = np.flatnonzero(place == self.k - 1)
+            self.bar[q[full]] = t["s"].to_numpy()[full]
+            self.new, self.waiting = [], 0
+        return self.held
+
+    def rows(self, ids: list, names: list[str], kind: pa.DataType, size: int = 10_000):
+        """Record batches of (question, item, score)."""
+        t = self.settle()
+        for at in range(0, len(t) if t is not None else 0, size):
+            part = t.slice(at, size)
+            own = pa.array([ids[i] for i in part["q"].to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([own, part["item"].combine_chunks(), part["s"].combine_chunks()], names=names)
 
 
 def top_k(hits: DataFrame, k: int, group: str = "query_id", item: str = "chunk_id") -> DataFrame:
@@ -48,57 +93,91 @@ def top_k(hits: DataFrame, k: int, group: str = "query_id", item: str = "chunk_i
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _asked(questions: DataFrame, expand: bool) -> DataFrame:
+    text = T.expand_query(F.col("question")) if expand else F.col("question")
+    return questions.where("query_id is not null").select("query_id", F.array_distinct(T.tokenize(text)).alias("terms")).where(F.size("terms") > 0)
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 20, expand: bool = True, k1: float = 1.5, b: float = 0.75, lam: float = 1.0) -> DataFrame:
-    """(query_id, chunk_id, score, rank) for questions (query_id, question) over passages (chunk_id, title, section, text).
+    """bm25_of_tables() over passages (chunk_id, title, section, text) that have no index yet: their words are taken once, for this search."""
+    forward = stored(index.forward(index.tokens(chunks)))
+    tables = {"forward": forward, "term_stats": None, "corpus_stats": index.corpus_stats(forward)}
+    return bm25_of_tables(tables, questions, k, expand, k1, b, lam)
+
+
+def bm25_of_tables(tables: dict, questions: DataFrame, k: int = 20, expand: bool = True, k1: float = 1.5, b: float = 0.75, lam: float = 1.0) -> DataFrame:
+    """(query_id, chunk_id, score, rank) for questions (query_id, question) over the tables forward, term_stats and corpus_stats, and postings if there.
 
     Scores are BM25 sums over the different query words times the matched share of them to the power lam;
     words that no passage has count in the share. Questions without matches, null ones among them, have no rows.
+    The texts of passages are not read.
     """
-    tok = index.tokens(chunks)
-    stats = index.corpus_stats(tok).first()
+    spark = questions.sparkSession
+    stats = tables["corpus_stats"].first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    text = T.expand_query(F.col("question")) if expand else F.col("question")
-    asked = questions.where("query_id is not null").select("query_id", F.array_distinct(T.tokenize(text)).alias("terms")).where(F.size("terms") > 0)
+    asked = _asked(questions, expand)
+    kind = dict(asked.dtypes)["query_id"]
     found = []
     for part in _batches(asked, "query_id"):
         rows = part.collect()  # at most QUESTIONS_A_BATCH
         wanted = sorted({t for r in rows for t in r["terms"]})
-        spark = chunks.sparkSession
-        terms = spark.createDataFrame([(t,) for t in wanted], "term string")
-        df = tok.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(terms), "term").groupBy("term").count().collect()
-        counts = {r[0]: r[1] for r in df}
-        place = {t: i for i, t in enumerate(t for t in wanted if t in counts)}
-        idf = np.array([np.log(1 + (n - counts[t] + 0.5) / (counts[t] + 0.5)) for t in place])
+        terms = spark.createDataFrame([(t,) for t in wanted], "term string").withColumn("id", F.xxhash64("term"))
+        if tables.get("term_stats") is not None:
+            known = tables["term_stats"].select("term", "df").join(F.broadcast(terms), "term").select("term", "id", "df").collect()
+        else:
+            known = tables["forward"].select(F.explode("terms").alias("id")).join(F.broadcast(terms), "id").groupBy("term", "id").agg(F.count(F.lit(1)).alias("df")).collect()
+        if not known:
+            continue
+        if len(rows) <= FEW and tables.get("postings") is not None:
+            found.append(_from_postings(tables["postings"], part, known, n, avgdl, k1, b, lam))
+            continue
+        known.sort(key=lambda r: r["id"])
+        place = {r["term"]: i for i, r in enumerate(known)}
+        idf = np.log(1 + (n - np.array([r["df"] for r in known]) + 0.5) / (np.array([r["df"] for r in known]) + 0.5))
         held = [(r["query_id"], np.array(sorted(place[t] for t in r["terms"] if t in place), np.int64), len(r["terms"])) for r in rows]
-        held = [h for h in held if len(h[1])]
-        if held:
-            found.append(tok.mapInArrow(_lexical_block(place, idf, held, avgdl, k, k1, b, lam), f"query_id {dict(asked.dtypes)['query_id']}, chunk_id string, score double"))
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in known], np.int64), idf, [h for h in held if len(h[1])]))
+        found.append(tables["forward"].select("chunk_id", "dl", "terms", "tf").mapInArrow(_lexical_block(shared, avgdl, k, k1, b, lam), f"query_id {kind}, chunk_id string, score double"))
     if not found:
-        return chunks.sparkSession.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, chunk_id string, score double, rank int")
+        return spark.createDataFrame([], f"query_id {kind}, chunk_id string, score double, rank int")
     return top_k(_union(found), k)
 
 
-def _lexical_block(place: dict[str, int], idf: np.ndarray, held: list, avgdl: float, k: int, k1: float, b: float, lam: float) -> Callable:
+def _from_postings(postings: DataFrame, asked: DataFrame, known: list, n: int, avgdl: float, k1: float, b: float, lam: float) -> DataFrame:
+    """Scores from the postings of the asked words, which lie together by term, so that little else is read."""
+    spark = asked.sparkSession
+    idf = [(r["term"], float(np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5)))) for r in known]
+    words = asked.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("size")).join(F.broadcast(spark.createDataFrame(idf, "term string, idf double")), "term")
+    own = postings.where(F.col("term").isin([t for t, _ in idf])).join(F.broadcast(words), "term")  # the words of FEW questions
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    summed = own.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("m"), F.first("size").alias("size"))
+    return summed.select("query_id", "chunk_id", F.round(F.col("w") * F.pow(F.col("m") / F.col("size"), F.lit(lam)), 12).alias("score"))
+
+
+def _lexical_block(shared, avgdl: float, k: int, k1: float, b: float, lam: float) -> Callable:
     """Scores blocks of 1024 passages by groups of 256 questions; only words that a block has take up room."""
 
     def run(batches):
+        ids, idf, held = shared.value
         groups = [held[i : i + 256] for i in range(0, len(held), 256)]
         flat = [(np.concatenate([h[1] for h in g]), np.repeat(np.arange(len(g)), [len(h[1]) for h in g]), np.array([h[2] for h in g])) for g in groups]
+        best = Best(len(held), k)
         for big in batches:
             for at in range(0, len(big), 1024):
                 batch = big.slice(at, 1024)
-                dl = batch.column(2).to_numpy().astype(float)
-                col = batch.column(1)
-                owner = np.repeat(np.arange(len(batch)), col.value_lengths().to_numpy(zero_copy_only=False))
-                row = np.fromiter((place.get(t, -1) for t in col.flatten().to_pylist()), np.int64, len(owner))
-                owner, row = owner[row >= 0], row[row >= 0]
+                dl = batch.column(1).to_numpy().astype(float)
+                owner = np.repeat(np.arange(len(batch)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+                term, tf = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy().astype(float)
+                row = np.minimum(np.searchsorted(ids, term), len(ids) - 1)
+                known = ids[row] == term
+                owner, row, tf = owner[known], row[known], tf[known]
                 terms, row = np.unique(row, return_inverse=True)
                 if not len(terms):
                     continue
-                tf = np.bincount(row * len(batch) + owner, minlength=len(terms) * len(batch)).reshape(len(terms), len(batch)).astype(float)
-                weight = idf[terms][:, None] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[None, :] / avgdl))
-                hit = (tf > 0).astype(np.int32)
-                for g, (rows, question, size) in zip(groups, flat):
+                count = np.zeros((len(terms), len(batch)))
+                count[row, owner] = tf
+                weight = idf[terms][:, None] * count * (k1 + 1) / (count + k1 * (1 - b + b * dl[None, :] / avgdl))
+                hit = (count > 0).astype(np.int32)
+                for i, (rows, question, size) in enumerate(flat):
                     where = np.minimum(np.searchsorted(terms, rows), len(terms) - 1)
                     some = terms[where] == rows
                     where, question = where[some], question[some]
@@ -106,9 +185,10 @@ def _lexical_block(place: dict[str, int], idf: np.ndarray, held: list, avgdl: fl
                         continue
                     asked, first = np.unique(question, return_index=True)
                     share = (np.add.reduceat(hit[where], first, axis=0) / size[asked][:, None]) ** lam
-                    scores = np.round(np.add.reduceat(weight[where], first, axis=0) * share, 12)
-                    q, c = _block_top(scores, k)
-                    yield pa.RecordBatch.from_arrays([pa.array([g[i][0] for i in asked[q].tolist()]), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", "chunk_id", "score"])
+                    scores = np.zeros((len(groups[i]), len(batch)))
+                    scores[asked] = np.round(np.add.reduceat(weight[where], first, axis=0) * share, 12)
+                    best.block(i * 256, scores, batch.column(0), 0.0)
+        yield from best.rows([h[0] for h in held], ["query_id", "chunk_id", "score"], None)
 
     return run
 
@@ -123,33 +203,34 @@ def vector(items: DataFrame, item: str, embedding: str, queries: DataFrame, quer
     schema = f"query_id {qkind}, {item} {kind}, score double"
     good = items.where(F.col(item).isNotNull() & (F.size(embedding) == (dim_of or -1))).select(item, F.col(embedding).cast("array<double>").alias("v"))
     found = []
-    for part in _batches(queries.where(F.col(query).isNotNull() & (F.size(query_embedding) == (dim_of or -1))).select(F.col(query).alias("q"), F.col(query_embedding).cast("array<double>").alias("v")), "q"):
-        rows = part.collect()  # at most QUESTIONS_A_BATCH vectors
+    own = queries.where(F.col(query).isNotNull() & (F.size(query_embedding) == (dim_of or -1))).select(F.col(query).alias("q"), F.col(query_embedding).cast("array<double>").alias("v"))
+    for part in _batches(own, "q", max(1, min(QUESTIONS_A_BATCH, BATCH_BYTES // (8 * (dim_of or 1))))):
+        rows = part.collect()  # at most QUESTIONS_A_BATCH vectors and BATCH_BYTES
         if rows:
-            ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows])
-            found.append(good.mapInArrow(_vector_block(ids, matrix, k, keep_self, item), schema))
+            shared = items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows])))
+            found.append(good.mapInArrow(_vector_block(shared, k, keep_self, item), schema))
     if not found:
         return items.sparkSession.createDataFrame([], schema + ", rank int")
     return top_k(_union(found), k, "query_id", item)
 
 
-def _vector_block(ids: list, matrix: np.ndarray, k: int, keep_self: bool, item: str) -> Callable:
+def _vector_block(shared, k: int, keep_self: bool, item: str) -> Callable:
     """Scores blocks of 4096 items by groups of 1024 queries."""
 
     def run(batches):
+        ids, matrix = shared.value
+        best = Best(len(ids), k)
         for big in batches:
             for at in range(0, len(big), 4096):
                 batch = big.slice(at, 4096)
                 v = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
-                names = batch.column(0).to_numpy(zero_copy_only=False)
+                names = None if keep_self else batch.column(0).to_numpy(zero_copy_only=False)
                 for lo in range(0, len(ids), 1024):
-                    own = ids[lo : lo + 1024]
                     scores = matrix[lo : lo + 1024] @ v.T
-                    shifted = np.round(scores + 2.0, 9)  # inner products of unit vectors are above -2
-                    if not keep_self:
-                        shifted[np.array(own)[:, None] == names[None, :]] = 0.0
-                    q, c = _block_top(shifted, k)
-                    yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in q.tolist()]), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", item, "score"])
+                    if names is not None:
+                        scores[np.array(ids[lo : lo + 1024])[:, None] == names[None, :]] = -np.inf
+                    best.block(lo, scores, batch.column(0), -np.inf)
+        yield from best.rows(ids, ["query_id", item, "score"], None)
 
     return run
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovelle.operators import corpus, evalset, index, metrics, models, rerank, retrieve
 from trovelle.plans import sqlparts as S
-from trovelle.session import cut
+from trovelle.plans.pipeline import Index
+from trovelle.session import checkpoint_dir, cut, remove_at_exit
+from trovelle.sources import store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -66,13 +70,27 @@ def vector_sql(k: int) -> str:
 dn AS MATERIALIZED (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dv QUALIFY rank <= {k})"""
 
 
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def index_of(spark: SparkSession, sf: str) -> Index:
+    """The index over the passages of a folder, written to the shared folder by the first search of a session and read by all others, as a server loads its index once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        c = chunks(spark, sf)
+        path = f"{checkpoint_dir(spark).rstrip('/')}/trovelle-index-{uuid.uuid4().hex}"
+        store.save_index(c, path)
+        remove_at_exit(spark, path)
+        _INDEXES[key] = Index(store.load_index(spark, path))
+    return _INDEXES[key]
+
+
 def lexical(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    return retrieve.bm25(chunks(spark, sf), asked(spark, sf), k)
+    return index_of(spark, sf).lexical(asked(spark, sf), k)
 
 
 def dense(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    items = index.hashed_vectors(chunks(spark, sf), "chunk_id", index.contextual_text())
-    return retrieve.vector(items, "chunk_id", "v", index.hashed_vectors(asked(spark, sf), "query_id", F.col("question")), "query_id", "v", k)
+    return index_of(spark, sf).dense(asked(spark, sf), k)
 
 
 def shown(hits: DataFrame) -> DataFrame:

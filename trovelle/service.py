@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trovelle.operators import corpus
 from trovelle.operators.chunking import ChunkConfig, chunk_documents
-from trovelle.plans.pipeline import AskConfig, ask, compare, search
+from trovelle.plans.pipeline import AskConfig, Index, ask, compare, search
 from trovelle.session import ship
 from trovelle.sources import loaders, store
 
@@ -33,6 +33,7 @@ class Service:
 
     def reload(self) -> None:
         self.tables = store.load_index(self.spark, self.path)
+        self.index = Index(self.tables)
 
     def health(self) -> dict:
         return {k: v for k, v in self.tables["manifest"].first().asDict().items() if k != "built_at"}
@@ -43,10 +44,10 @@ class Service:
         return self.spark.createDataFrame([("q", question)], "query_id string, question string")
 
     def query(self, question: str, cfg: AskConfig = AskConfig()) -> DataFrame:
-        return ask(self.tables["chunks"], self._asked(question), cfg)
+        return ask(self.index, self._asked(question), cfg)
 
     def retrieve(self, question: str, cfg: AskConfig = AskConfig()) -> DataFrame:
-        hits = search(self.tables["chunks"], self._asked(question), cfg)
+        hits = search(self.index, self._asked(question), cfg)
         return hits.select("rank", "chunk_id", "document_id", "title", "page", "section", F.substring("text", 1, 600).alias("preview"), F.round("score", 4).alias("score")).orderBy("rank")
 
     def documents(self, source_type: str | None = None, limit: int = 50, offset: int = 0) -> tuple[int, DataFrame]:
@@ -93,7 +94,7 @@ def main(args: list[str] | None = None) -> None:
         service.query(a.question, AskConfig(a.strategy)).select("answer", "confidence", "grounded").show(truncate=False)
     else:
         q = spark.read.schema("question_id string, question string, relevant_document_ids array<string>, relevant_chunk_ids array<string>").json(a.questions)
-        compare(service.tables["chunks"], q).show(truncate=False)
+        compare(service.index, q).show(truncate=False)
 
 
 if __name__ == "__main__":

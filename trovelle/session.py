@@ -45,6 +45,11 @@ def _remove_all() -> None:
         _remove(spark, path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Marks a folder of the shared folder as one that goes with the process."""
+    _TABLES[path] = spark
+
+
 def stored(df: DataFrame, parts: int = 0) -> DataFrame:
     """The rows of df from a compressed table in the shared folder, which cuts the lineage; the table goes with the process or by release().
 

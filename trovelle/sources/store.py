@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trovelle.operators import corpus, index
 
-TABLES = ("chunks", "postings", "term_stats", "corpus_stats", "vectors", "manifest")
+TABLES = ("chunks", "forward", "postings", "term_stats", "corpus_stats", "vectors", "manifest")
 
 
 class IndexMissing(FileNotFoundError):
@@ -19,7 +19,7 @@ class IndexMissing(FileNotFoundError):
 
 
 def save_index(chunks: DataFrame, path: str, config: object | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Writes passages, postings (clustered by term), statistics, vectors and the manifest, last of all.
+    """Writes passages, their words (forward), postings (clustered by term), statistics, vectors and the manifest, last of all.
 
     The manifest holds the whole configuration, so that an index is never taken for one of another configuration.
     """
@@ -27,6 +27,7 @@ def save_index(chunks: DataFrame, path: str, config: object | None = None, embed
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     held = spark.read.parquet(f"{path}/chunks")
     tok = index.tokens(held)
+    index.forward(tok).write.mode("overwrite").parquet(f"{path}/forward")
     stats = index.corpus_stats(tok)
     index.postings(tok).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
