@@ -15,7 +15,7 @@ def test_paths_parents_and_ordinals():
         "other": {"notes": {"mark": "*"}},
         "authors": "none",
     }
-    got = {r[0]: r[1] for r in N.shred(value)}
+    got = {r[2]: r[3] for r in N.shred(value)}
     assert got == {
         "$.blocks[0]": "$",
         "$.blocks[2]": "$",
@@ -32,9 +32,9 @@ def test_paths_parents_and_ordinals():
 
 def test_equal_subtrees_have_equal_hashes_whatever_their_order():
     a = N.shred({"blocks": [{"page": 1, "notes": [{"m": 1, "t": "x"}]}, {"notes": [{"t": "x", "m": 1}], "page": 1}]})
-    h = {r[0]: r[5] for r in a}
+    h = {r[2]: r[7] for r in a}
     assert h["$.blocks[0]"] == h["$.blocks[1]"] and h["$.blocks[0].notes[0]"] == h["$.blocks[1].notes[0]"]
-    b = {r[0]: r[5] for r in N.shred({"blocks": [{"page": 1, "notes": [{"m": 2, "t": "x"}]}]})}
+    b = {r[2]: r[7] for r in N.shred({"blocks": [{"page": 1, "notes": [{"m": 2, "t": "x"}]}]})}
     assert b["$.blocks[0]"] != h["$.blocks[0]"]
 
 
@@ -60,7 +60,7 @@ def test_objects_are_stored_once_and_bridges_keep_each_place(spark):
     rows = N.bridge(spark.createDataFrame([(1, same), (2, same)], "id long, payload string"), "id", "payload")
     (o,) = N.objects(rows).collect()
     assert o.occurrences == 4 and rows.count() == 4
-    flat = N.flat_table(rows, "notes", {"m": "$.m"})
+    flat = N.Shredded(spark.createDataFrame([(1, same), (2, same)], "id long, payload string"), "id", "payload").flat_table("notes", {"m": "$.m"})
     assert [(r.key, r.ordinal, r.m) for r in flat.orderBy("key", "ordinal").collect()] == [("1", 0, "1"), ("1", 1, "1"), ("2", 0, "1"), ("2", 1, "1")]
 
 
@@ -93,7 +93,7 @@ def test_every_value_has_a_row_with_its_parent():
         "$.extra.label.aliases": ("$", "aliases", 0, "array", "[]"),
         "$.extra.n": ("$", "n", 0, "number", "2"),
     }
-    parents = {r[0] for r in N.shred(value)} | {"$"}
+    parents = {r[2] for r in N.shred(value)} | {"$"}
     assert {p for p, *_ in got.values()} <= parents
 
 
@@ -111,3 +111,23 @@ def test_source_documents_and_records_stand_in_flat_tables(spark, tmp_path):
     assert sorted((r.record_id, r.key, r.path, r.value) for r in run("p5_extra").collect()) == [(1, "label", "$.extra.label.maker.name", "m"), (1, "page_model", "$.extra.page_model", "synthetic")]
     held = {(r.field, json.loads(r.content).get("text")): r.occurrences for r in run("p5_objects").collect()}
     assert held == {("blocks", "x"): 2, ("blocks", "y"): 1, ("trials", None): 1}
+
+
+def test_equal_paths_have_occurrences_of_their_own(spark):
+    payload = json.dumps({"x": [{"rows": [{"a": 1}]}, {"rows": [{"a": 2, "notes": {"m": 1}}]}]})
+    rows = N.bridge(spark.createDataFrame([(1, payload)], "id long, payload string"), "id", "payload").collect()
+    assert [r.node_path for r in rows].count("$.x.rows[0]") == 2 and len({r.occurrence for r in rows}) == 3
+    note = next(r for r in rows if r.field == "notes")
+    (parent,) = [r for r in rows if r.occurrence == note.parent_occurrence]
+    assert '"a":2' in parent.content and parent.node_hash == note.parent_hash
+
+
+def test_plain_depth_and_unread_payloads(spark):
+    value: list = []
+    for _ in range(5000):
+        value = [value]
+    deep = {"blocks": [{"page": 1, "plain": value}]}
+    assert N._resolve(N._list([value], "$", []), []) is not None
+    rows = [("a", "{"), ("b", None), ("c", "[1]"), ("d", '{"blocks": []}'), ("e", "[" * 200_000)]
+    got = {(r.key, r.reason) for r in N.unread(spark.createDataFrame(rows, "id string, p string"), "id", "p").collect()}
+    assert {("a", "no JSON"), ("b", "null"), ("c", "no object")} <= got and "d" not in {k for k, _ in got} and deep

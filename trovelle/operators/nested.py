@@ -3,8 +3,9 @@
 Every object in one of the listed fields is a node. Objects are canonicalised and hashed bottom-up: an
 object's hash covers its own fields and the hashes of the nodes inside it, so equal subtrees have
 equal hashes wherever they stand. An object is stored once by its hash; each of its occurrences is a
-bridge row with its record, path, parent and ordinal. A flat table of one kind is the bridge rows of
-that field joined with the stored objects.
+bridge row with its record, path, parent and ordinal, numbered within the record (`occurrence`; the parent's
+number links to it, 0 being the record itself), for a path alone need not be unique. A flat table of one kind is
+the bridge rows of that field joined with the stored objects by their hash.
 
 The walk keeps its own stack, so depth is bounded by memory and not by recursion.
 """
@@ -18,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trovelle.session import release, stored
+
 # The fields whose objects are nodes.
 NODE_FIELDS = ["blocks", "tables", "rows", "notes", "trials", "arms", "outcomes", "authors", "affiliations", "identifiers"]
 
 #: Every single value of a record, for what is no field of a listed object.
 VALUES = "key string, path string, parent_path string, fields array<string>, ordinal long, type string, value string"
 
-BRIDGE = "key string, node_path string, parent_path string, field string, ordinal long, depth int, node_hash string, parent_hash string, content string"
+BRIDGE = "key string, occurrence long, parent_occurrence long, node_path string, parent_path string, field string, ordinal long, depth int, node_hash string, parent_hash string, content string"
 
 
 def _refuse(token: str):
@@ -96,34 +99,46 @@ def shred(value, fields: frozenset[str] = frozenset(NODE_FIELDS), text_fields: f
     for node in reversed(nodes):  # children come after their parents, so this is bottom-up
         node["hash"] = hashlib.sha256(canonical(_resolve(node["own"], nodes)).encode("utf-8", "surrogatepass")).hexdigest()[:32]
     return [
-        (n["path"], nodes[n["parent"]]["path"], n["field"], n["ordinal"], n["depth"], n["hash"], nodes[n["parent"]]["hash"], canonical(_resolve(n["own"], nodes)))
-        for n in nodes[1:]
+        (i, n["parent"], n["path"], nodes[n["parent"]]["path"], n["field"], n["ordinal"], n["depth"], n["hash"], nodes[n["parent"]]["hash"], canonical(_resolve(n["own"], nodes)))
+        for i, n in enumerate(nodes[1:], 1)
     ]
 
 
 def _list(values: list, path: str, work: list) -> list:
-    """A list in a plain field: its objects are looked through at the path of the field."""
-    out = []
-    for v in values:
-        if isinstance(v, dict):
-            out.append({})
-            work.append((v, path, out[-1]))
-        elif isinstance(v, list):
-            out.append(_list(v, path, work))
-        else:
-            out.append(v)
+    """A list in a plain field: its objects are looked through at the path of the field. Lists inside lists wait on a stack of their own."""
+    out: list = []
+    waiting = [(values, out)]
+    while waiting:
+        own, to = waiting.pop()
+        for v in own:
+            if isinstance(v, dict):
+                to.append({})
+                work.append((v, path, to[-1]))
+            elif isinstance(v, list):
+                to.append([])
+                waiting.append((v, to[-1]))
+            else:
+                to.append(v)
     return out
 
 
 def _resolve(own, nodes: list[dict]):
-    """The object with its nodes replaced by their hashes."""
-    if isinstance(own, _Ref):
-        return "node:" + nodes[own.node]["hash"]
-    if isinstance(own, dict):
-        return {k: _resolve(v, nodes) for k, v in own.items()}
-    if isinstance(own, list):
-        return [_resolve(v, nodes) for v in own]
-    return own
+    """The object with its nodes replaced by their hashes, in a copy."""
+    out: list = [None]
+    waiting = [(own, out, 0)]
+    while waiting:
+        v, to, at = waiting.pop()
+        if isinstance(v, _Ref):
+            to[at] = "node:" + nodes[v.node]["hash"]
+        elif isinstance(v, dict):
+            to[at] = dict.fromkeys(v)
+            waiting += [(x, to[at], k) for k, x in v.items()]
+        elif isinstance(v, list):
+            to[at] = [None] * len(v)
+            waiting += [(x, to[at], i) for i, x in enumerate(v)]
+        else:
+            to[at] = v
+    return out[0]
 
 
 def leaves(value, fields: frozenset[str] = frozenset(NODE_FIELDS), text_fields: frozenset[str] = frozenset(["extra"])) -> list[tuple]:
@@ -204,12 +219,12 @@ def bridge(df: DataFrame, key: str, payload: str, fields: list[str] = NODE_FIELD
     """BRIDGE rows of the JSON column `payload`, for each row with a key.
 
     Null keys, null payloads and payloads that are not valid JSON objects give no rows, nor do those nested
-    deeper than the JSON reader goes. Rows are not deduplicated: see latest_rows(). Other columns play
+    deeper than the JSON reader goes: unread() names them. Rows are not deduplicated: see latest_rows(). Other columns play
     no part, whatever their names.
     """
     listed = frozenset(fields)
     names = [c.split(" ")[0] for c in BRIDGE.split(", ")]
-    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
     def walk(batches):
         for batch in batches:
@@ -236,15 +251,50 @@ def latest_rows(df: DataFrame, key: str, order: str, payload: str) -> DataFrame:
     return one.select("key", F.col("m.p").alias("payload"))
 
 
+def unread(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, reason) of the rows that give no bridge rows because of their payload: null, no JSON, no object, too deep."""
+
+    def walk(batches):
+        for batch in batches:
+            rows = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                reason = None
+                try:
+                    value = None if text is None else json.loads(text, parse_constant=_refuse)
+                    reason = "null" if text is None else None if isinstance(value, dict) else "no object"
+                    if reason is None:
+                        shred(value)
+                except RecursionError:
+                    reason = "too deep"
+                except ValueError:
+                    reason = "no JSON"
+                if reason:
+                    rows.append((k, reason))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["key", "reason"])
+
+    return df.select(F.col(key).cast("string").alias("key"), F.col(payload).cast("string").alias("payload")).where("key is not null").mapInArrow(walk, "key string, reason string")
+
+
 def objects(rows: DataFrame) -> DataFrame:
     """(node_hash, field, content, occurrences): each different object once."""
     return rows.groupBy("node_hash", "field").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("occurrences"))
 
 
-def flat_table(rows: DataFrame, field: str, columns: dict[str, str]) -> DataFrame:
-    """The flat table of one kind of object: key, node_path, parent_path, ordinal and `columns` (name -> JSON path in the object)."""
-    own = rows.where(F.col("field") == field)
-    return own.select("key", "node_path", "parent_path", "ordinal", "node_hash", *(F.get_json_object("content", p).alias(n) for n, p in columns.items()))
+class Shredded:
+    """The two tables of a JSON column, from one walk over it: `bridge` (BRIDGE without content) and `objects`."""
+
+    def __init__(self, df: DataFrame, key: str, payload: str, fields: list[str] = NODE_FIELDS):
+        rows = stored(bridge(df, key, payload, fields))
+        self.objects = stored(objects(rows))
+        self.bridge = stored(rows.drop("content"))
+        release(rows)
+
+    def flat_table(self, field: str, columns: dict[str, str]) -> DataFrame:
+        """The flat table of one kind of object: key, occurrence, parent_occurrence, node_path, parent_path, ordinal, node_hash and `columns` (name -> JSON path in the object)."""
+        own = self.objects.where(F.col("field") == field).select("node_hash", *(F.get_json_object("content", p).alias(n) for n, p in columns.items()))
+        places = self.bridge.where(F.col("field") == field).select("key", "occurrence", "parent_occurrence", "node_path", "parent_path", "ordinal", "node_hash")
+        return places.join(own, "node_hash").select(*places.columns, *columns)
 
 
 def source_payload(documents: DataFrame) -> DataFrame:
