@@ -205,6 +205,14 @@ def test_languages_are_learnt_from_the_texts(spark):
     assert L.languages(pa.array([], pa.string()), profile).tolist() == []
 
 
+def test_a_token_of_any_length_is_cut_by_characters(spark):
+    text = "start. " + "x" * 900_500 + " " + "word, " * 300 + "-" * 5000
+    df = spark.createDataFrame([("c", "0", text), ("d", "0", "y" * 9_000_000)], "ref string, stamp string, text string")
+    rows = L.split_texts(df, ["ref"], 500, 75).orderBy("ref", "piece").collect()
+    assert {r.ref for r in rows} == {"c"} and "".join(text[r.char_start : r.char_end][0 if i == 0 else rows[i - 1].char_end - r.char_start :] for i, r in enumerate(rows)) == text
+    assert all(len(r.text) <= 500 * L.LONGEST and r.token_count <= 500 for r in rows) and len(rows) > 3
+
+
 def test_spikes(spark):
     rows = [(i, i % 90 + 10) for i in range(600)] + [(1000 + i, 800) for i in range(60)]
     df = spark.createDataFrame(rows, "answer_id long, length int")

@@ -2,8 +2,10 @@
 
 One pattern consumes a text piece by piece. Its alternatives run from the strongest boundary to the
 weakest; each takes as many tokens as fit and gives tokens back until the boundary stands behind it,
-but never fewer than the overlap. The last alternative takes any token boundary. Tokens are consumed
-whole with the white space after them, so that pieces give the whole text and token counts add up.
+but never fewer than the overlap. The last alternative takes any token boundary, and a token of more than
+LONGEST characters is no unit any more: it is taken by so many characters at a time, each part counting
+against the limit, so that no piece outgrows limit * LONGEST characters. Other tokens are consumed whole with
+the white space after them, so that pieces give the whole text and token counts add up.
 The overlap is looked back for in the tokens of the piece before. All of it is SQL array functions.
 """
 
@@ -17,7 +19,9 @@ _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 _WORD = r"[\p{L}\p{N}_]"
 _OTHER = r"[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x85]"
 TOKEN = f"{_WORD}+|{_OTHER}+"
-_ATOM = f"(?:{_WORD}++|{_OTHER}++){_SPACE}*+"
+#: The most characters that are taken as one token when a text is cut.
+LONGEST = 1000
+_ATOM = f"(?:{_WORD}{{1,{LONGEST}}}+|{_OTHER}{{1,{LONGEST}}}+){_SPACE}*+"
 
 # Boundaries behind a piece, the strongest first: paragraph, sentence, line, clause, word.
 _BOUNDARIES = [
