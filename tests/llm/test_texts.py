@@ -219,6 +219,8 @@ def test_spikes(spark):
     assert [r.length for r in P.length_spikes(df).collect()] == [800]
 
 
+NONE = pii.Contexts(set(), set())
+
 LETTERS = (
     "Dear Mrs Vance, please call Tobor van Kestmark on +1 202 555 0143 after the visit. Patient: Ivor QUENDLEY, SSN 900-12-3456. "
     "Home address: Flat 3, 12b Harrow Lane, Wexcombe ZZ1 6QT. Results were sent to ivor.quendley@post.example on request. "
@@ -256,9 +258,9 @@ def test_a_long_text_is_scanned_in_proportion():
     took = []
     for n in (40, 400):
         began = time.time()
-        found = pii.scan(one * n)
+        found = pii.scan(one * n, NONE)
         took.append(time.time() - began)
-        assert len({(k, b - a) for k, a, b, *_ in found}) == len({(k, b - a) for k, a, b, *_ in pii.scan(one * 3)})
+        assert len({(k, b - a) for k, a, b, *_ in found}) == len({(k, b - a) for k, a, b, *_ in pii.scan(one * 3, NONE)})
     assert took[1] < 30 * took[0] + 0.5
 
 
@@ -278,7 +280,7 @@ def test_reliabilities_learn_from_agreement():
 def test_numbers_in_brackets_and_beside_others_are_proposed():
     from trovelle.llm.pii import scan
 
-    found = lambda t: {(k, t[a:b]) for k, a, b, *_ in scan(t) if k in ("id_number", "phone")}
+    found = lambda t: {(k, t[a:b]) for k, a, b, *_ in scan(t, NONE) if k in ("id_number", "phone")}
     assert found("seen (412-55-0199) again") == {("id_number", "412-55-0199")}
     assert found("seen 412-55-0199 12 times") == {("id_number", "412-55-0199")}
     assert found("seen/412-55-0199, then") == {("id_number", "412-55-0199")}
