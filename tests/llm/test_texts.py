@@ -232,7 +232,7 @@ LETTERS = (
 
 def test_spans_are_found_with_their_kind(spark):
     more = [
-        f"Spoke with {a} {b} about the plan. Dr. {b} reviewed the chart. Please call {a} {b} on 020 7946 0{100 + i} after the visit. The {b} score was {i}. Lot {i}0-1234-5 was recalled. The {c} Street clinic supplied 9 records. Samples were taken @ {i} p.m."
+        f"Spoke with {a} {b} about the plan. Dr. {b} reviewed the chart. Please call {a} {b} on 020 7946 0{100 + i} after the visit. The {b} score was {i}. Lot {i}0-1234-5 was recalled. The {c} Street clinic supplied 9 records. Samples were taken @ {i} p.m. My name is {a} {b}. {b}, {a}, wohnhaft Gorsestraße {i + 10}, 99579 Tarnby. Reference range 2{10 + i}.715.9262 is obsolete. Mr {b} came in."
         for i, (a, b, c) in enumerate([("Ada", "Vance", "Mill"), ("Ivor", "Quendley", "Hill"), ("Tobor", "Kestmark", "Rowan"), ("Aniel", "Holmark", "Gorse"), ("Tamo", "Brellick", "Dale")] * 8)
     ]
     df = spark.createDataFrame([(0, LETTERS, "a", 1)] + [(i + 1, t, "a", 1) for i, t in enumerate(more)] + [(900, None, "a", 1), (901, "", "a", 1), (None, LETTERS, "a", 1)], "doc_id long, text string, word string, start int")
