@@ -114,3 +114,11 @@ def test_assembling_a_question_set(spark):
     own = spark.createDataFrame([(0, "Is aspirin safe?", False), (1, "Who won the cup?", True)], "position int, question string, unanswerable boolean")
     got = {r.question_id: r for r in E.assemble(made, c, own).collect()}
     assert set(got) == {"syn_0000", "cur_0000", "cur_0001"} and got["syn_0000"].relevant_document_ids == ["d"] and got["cur_0001"].unanswerable
+
+
+def test_actual_use_counts_when_it_is_more():
+    from trovelle.operators.answers import admit
+
+    assert admit([(0.0, 400.0), (1.0, 400.0), (2.0, 400.0)], 1000, 10) == [0.0, 1.0, 60.0]
+    assert admit([(0.0, 400.0, 700.0), (1.0, 400.0)], 1000, 10) == [0.0, 60.0]
+    assert admit([(0.0, 400.0, 100.0), (1.0, 500.0, 100.0), (2.0, 200.0)], 1000, 10) == [0.0, 1.0, 60.0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,21 +109,20 @@ def rolling_usage(events: DataFrame, time: str, amount: str, seconds: int = 60,
     return summed.where("own__").drop("t__", "b__", "own__")
 
 
-def admit(arrivals: list[tuple[float, float]], tokens: float, requests: int, window: float = 60.0) -> list[float]:
-    """When each (arrival, estimate) is let through by a limiter of `tokens` and `requests` a rolling window: the live schedule, a fold.
+def admit(arrivals: list[tuple], tokens: float, requests: int, window: float = 60.0) -> list[float]:
+    """When each (arrival, estimate) or (arrival, estimate, actual) is let through by a limiter of `tokens` and `requests` a rolling window: the live schedule, a fold.
 
-    An estimate above the budget passes when the window is empty.
+    An estimate above the budget passes when the window is empty. Once the actual use is known it counts in the window in the
+    place of the estimate, if it is more: providers count by tokenizers of their own.
     """
-    let: list[tuple[float, float]] = []
-    now = 0.0
-    out = []
-    for at, amount in arrivals:
-        now = max(now, at)
-        while True:
-            live = [x for x in let if now - x[0] < window]
-            if not live or (sum(x[1] for x in live) + amount <= tokens and len(live) + 1 <= requests):
-                break
-            now = min(x[0] for x in live) + window
-        let = live + [(now, amount)]
-        out.append(now)
+    held: deque[tuple[float, float]] = deque()
+    clock, out = 0.0, []
+    for at, estimate, *actual in arrivals:
+        clock = max(clock, at)
+        while held and clock - held[0][0] >= window:
+            held.popleft()
+        while held and (sum(n for _, n in held) + estimate > tokens or len(held) >= requests):
+            clock = max(clock, held.popleft()[0] + window)
+        held.append((clock, max([estimate, *actual])))
+        out.append(clock)
     return out

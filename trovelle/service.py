@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trovelle.operators import corpus
 from trovelle.operators.chunking import ChunkConfig, chunk_documents
-from trovelle.plans.pipeline import AskConfig, Index, ask, compare, search
+from trovelle.plans.pipeline import AskConfig, Index, ask, compare, evaluate, search
 from trovelle.session import ship
 from trovelle.sources import loaders, store
 
@@ -63,19 +63,28 @@ class Service:
         return own.orderBy("char_start", "chunk_id")
 
 
+def ingest(spark: SparkSession, source: str, path: str) -> None:
+    """Files to a table of documents."""
+    ship(spark)
+    loaders.read_documents(spark, source).write.mode("overwrite").parquet(path)
+
+
+def process(spark: SparkSession, documents: DataFrame, path: str, cfg: ChunkConfig = ChunkConfig()) -> None:
+    """Documents to index: passages, tables."""
+    held = documents.select("document_id", "title", "source", "source_type", "url")
+    store.save_index(chunk_documents(documents, cfg).join(held, "document_id"), path, cfg)
+
+
 def build(spark: SparkSession, source: str, path: str, cfg: ChunkConfig = ChunkConfig()) -> None:
     """Files to index: documents, passages, tables."""
     ship(spark)
-    docs = loaders.read_documents(spark, source)
-    held = docs.select("document_id", "title", "source", "source_type", "url")
-    chunks = chunk_documents(docs, cfg).join(held, "document_id")
-    store.save_index(chunks, path, cfg)
+    process(spark, loaders.read_documents(spark, source), path, cfg)
 
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="trovelle")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, more in (("index", ("source", "path")), ("ask", ("path", "question")), ("info", ("path",)), ("compare", ("path", "questions"))):
+    for name, more in (("index", ("source", "path")), ("ingest", ("source", "path")), ("process", ("documents", "path")), ("evaluate", ("path", "questions")), ("ask", ("path", "question")), ("info", ("path",)), ("compare", ("path", "questions"))):
         s = sub.add_parser(name)
         for m in more:
             s.add_argument(m)
@@ -87,6 +96,12 @@ def main(args: list[str] | None = None) -> None:
     if a.command == "index":
         build(spark, a.source, a.path, ChunkConfig(a.chunk_tokens, a.overlap))
         return
+    if a.command == "ingest":
+        ingest(spark, a.source, a.path)
+        return
+    if a.command == "process":
+        process(spark, spark.read.parquet(a.documents), a.path, ChunkConfig(a.chunk_tokens, a.overlap))
+        return
     service = Service(spark, a.path)
     if a.command == "info":
         print(json.dumps(service.health()))
@@ -94,7 +109,7 @@ def main(args: list[str] | None = None) -> None:
         service.query(a.question, AskConfig(a.strategy)).select("answer", "confidence", "grounded").show(truncate=False)
     else:
         q = spark.read.schema("question_id string, question string, relevant_document_ids array<string>, relevant_chunk_ids array<string>").json(a.questions)
-        compare(service.index, q).show(truncate=False)
+        (compare(service.index, q) if a.command == "compare" else evaluate(service.index, q, AskConfig(a.strategy))).show(truncate=False)
 
 
 if __name__ == "__main__":
