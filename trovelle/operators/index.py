@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,26 +27,63 @@ def tokens(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", T.tokenize(indexed_text()).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
-def forward(tok: DataFrame) -> DataFrame:
-    """(chunk_id, dl, terms, tf): the different words of each passage as sorted 64-bit hashes, and how often it has each: what scoring reads in the place of texts."""
-    import numpy as np
-    import pyarrow as pa
+def word_id(word: str) -> int:
+    """The first 64 bits of the word's sha1, signed."""
+    return int.from_bytes(hashlib.sha1(word.encode()).digest()[:8], "big", signed=True)
+
+
+def forward(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, dl, terms, tf): the different words of each passage as sorted 64-bit hashes (word_id()), and how often it has each: what scoring reads in the place of texts.
 
-    hashed = tok.select("chunk_id", "dl", F.transform("tokens", lambda t: F.xxhash64(t)).alias("ids"))
+    Words are those of tokens(), taken in one pass over the texts.
+    """
 
     def run(batches):
+        known: dict[str, int] = {}
+        inside = np.zeros(256, bool)
+        inside[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+        stop = pa.array(T.STOPWORDS, pa.large_string())
         for batch in batches:
-            ids = batch.column(2).flatten().to_numpy()
-            owner = np.repeat(np.arange(len(batch)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
-            order = np.lexsort((ids, owner))
-            ids, owner = ids[order], owner[order]
-            start = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (owner[1:] != owner[:-1])])) if len(ids) else np.zeros(0, int)
-            offsets = pa.array(np.searchsorted(owner[start], np.arange(len(batch) + 1)), pa.int32())
-            tf = np.diff(np.append(start, len(ids))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[start], tf)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["chunk_id", "dl", "terms", "tf"])
+            texts = [t.lower().encode() for t in batch.column(1).to_pylist()]
+            raw = np.frombuffer(b"\0".join([b"", *texts, b""]), np.uint8)
+            letter = inside[raw]
+            edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+            starts, ends = edges[::2], edges[1::2]
+            owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts)
+            offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+            words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw[letter])).dictionary_encode()
+            different = words.dictionary.to_pylist()
+            for w in different:
+                if w not in known:
+                    known[w] = word_id(w)
+            ids, flat = np.array([known[w] for w in different], np.int64), words.indices.to_numpy().astype(np.int64)
+            kept = ~pc.is_in(words.dictionary, stop).to_numpy(zero_copy_only=False)[flat]
+            owner, flat = owner[kept], flat[kept]
+            order = np.argsort(ids)
+            place = np.empty(len(ids), np.int64)
+            place[order] = np.arange(len(ids))
+            pairs, tf = np.unique(owner * len(ids) + place[flat], return_counts=True)
+            lengths = pa.array(np.searchsorted(pairs, np.arange(len(texts) + 1) * len(ids)), pa.int32())
+            terms = ids[order][pairs % max(1, len(ids))]
+            lists = [pa.ListArray.from_arrays(lengths, pa.array(x)) for x in (terms, tf.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, minlength=len(texts)).astype(np.int32)), *lists], names=["chunk_id", "dl", "terms", "tf"])
+
+    return chunks.select("chunk_id", indexed_text().alias("text")).mapInArrow(run, "chunk_id string, dl int, terms array<long>, tf array<int>")
+
+
+def forward_vectors(forward: DataFrame, dim: int = 64) -> DataFrame:
+    """hashed_vectors() of the passages of a forward table: the words of contextual_text() are those of indexed_text(), and the hash of a word begins with its cell."""
 
-    return hashed.mapInArrow(run, "chunk_id string, dl int, terms array<long>, tf array<int>")
+    def run(batches):
+        for batch in batches:
+            owner = np.repeat(np.arange(len(batch)), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            cell = ((batch.column(1).flatten().to_numpy() >> 40) & 0xFFFFFF) % dim
+            v = np.bincount(owner * dim + cell, batch.column(2).flatten().to_numpy(), minlength=len(batch) * dim).reshape(len(batch), dim)
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            v = v / np.where(norm > 0, norm, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim), pa.int32()), pa.array(v.ravel()))], names=["chunk_id", "v"])
+
+    return forward.select("chunk_id", "terms", "tf").mapInArrow(run, "chunk_id string, v array<double>")
 
 
 def postings(tok: DataFrame) -> DataFrame:
@@ -69,11 +111,6 @@ def check_vectors(items: DataFrame, vectors: DataFrame, key: str, column: str =
 
 def hashed_vectors(df: DataFrame, key: str, text: Column, dim: int = 64) -> DataFrame:
     """(key, v): the same embedding as dense unit vectors; a text without words has the zero vector. Words are hashed once a worker."""
-    import hashlib
-
-    import numpy as np
-    import pyarrow as pa
-
     tok = df.where(F.col(key).isNotNull()).select(F.col(key), T.tokenize(text).alias("t"))
 
     def run(batches):

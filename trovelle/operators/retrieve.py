@@ -1,9 +1,9 @@
 """Retrieval: lexical and vector top-k from the tables of an index, and fusion of ranked lists.
 
 Questions are a stated set that runs against all passages. They go out in batches of bounded size, as
-a broadcast variable; passages stay where they are: a task scores them block by block, keeps the best k a
-question over all its blocks, and gives these up at its end. So what is shuffled grows with questions
-times tasks, not with matches or blocks. A few questions at a time go another way to the same rows: they read the
+a broadcast variable; passages stay where they are: a task scores them by segments, in single precision against
+the k-th best score that it knows of each question, scores exactly what may reach that, and gives up the best k a question and segment. So what is shuffled grows with questions
+times segments, not with matches. A few questions at a time go another way to the same rows: they read the
 postings of their own words alone.
 """
 
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from trovelle.functions import text as T
 from trovelle.operators import index
-from trovelle.session import stored
+from trovelle.session import partitions, stored
 
-QUESTIONS_A_BATCH = 20_000
+QUESTIONS_A_BATCH = 100_000
+#: Items that a task holds at a time.
+SEGMENT = 131_072
 #: Bytes of question vectors that a batch sends to each worker at most.
 BATCH_BYTES = 64_000_000
 #: So many questions or fewer read the postings of their words.
@@ -100,7 +102,7 @@ def _asked(questions: DataFrame, expand: bool) -> DataFrame:
 
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 20, expand: bool = True, k1: float = 1.5, b: float = 0.75, lam: float = 1.0) -> DataFrame:
     """bm25_of_tables() over passages (chunk_id, title, section, text) that have no index yet: their words are taken once, for this search."""
-    forward = stored(index.forward(index.tokens(chunks)))
+    forward = stored(index.forward(chunks))
     tables = {"forward": forward, "term_stats": None, "corpus_stats": index.corpus_stats(forward)}
     return bm25_of_tables(tables, questions, k, expand, k1, b, lam)
 
@@ -119,27 +121,90 @@ def bm25_of_tables(tables: dict, questions: DataFrame, k: int = 20, expand: bool
     kind = dict(asked.dtypes)["query_id"]
     found = []
     for part in _batches(asked, "query_id"):
-        rows = part.collect()  # at most QUESTIONS_A_BATCH
-        wanted = sorted({t for r in rows for t in r["terms"]})
-        terms = spark.createDataFrame([(t,) for t in wanted], "term string").withColumn("id", F.xxhash64("term"))
-        if tables.get("term_stats") is not None:
-            known = tables["term_stats"].select("term", "df").join(F.broadcast(terms), "term").select("term", "id", "df").collect()
-        else:
-            known = tables["forward"].select(F.explode("terms").alias("id")).join(F.broadcast(terms), "id").groupBy("term", "id").agg(F.count(F.lit(1)).alias("df")).collect()
-        if not known:
+        rows = part.toArrow().combine_chunks()  # at most QUESTIONS_A_BATCH
+        if not len(rows):
             continue
-        if len(rows) <= FEW and tables.get("postings") is not None:
-            found.append(_from_postings(tables["postings"], part, known, n, avgdl, k1, b, lam))
+        words = rows["terms"].combine_chunks().flatten().dictionary_encode()
+        ids = np.array([index.word_id(w) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
+        few = len(rows) <= FEW and tables.get("postings") is not None
+        wanted = np.unique(ids)
+        if tables.get("term_stats") is not None and few:
+            terms = spark.createDataFrame([(t,) for t in words.dictionary.to_pylist()], "term string")
+            known = tables["term_stats"].select("term", "df").join(F.broadcast(terms), "term").collect()
+            found += [_from_postings(tables["postings"], part, known, n, avgdl, k1, b, lam)] if known else []
             continue
-        known.sort(key=lambda r: r["id"])
-        place = {r["term"]: i for i, r in enumerate(known)}
-        idf = np.log(1 + (n - np.array([r["df"] for r in known]) + 0.5) / (np.array([r["df"] for r in known]) + 0.5))
-        held = [(r["query_id"], np.array(sorted(place[t] for t in r["terms"] if t in place), np.int64), len(r["terms"])) for r in rows]
-        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in known], np.int64), idf, [h for h in held if len(h[1])]))
-        found.append(tables["forward"].select("chunk_id", "dl", "terms", "tf").mapInArrow(_lexical_block(shared, avgdl, k, k1, b, lam), f"query_id {kind}, chunk_id string, score double"))
-    if not found:
+        df = _documents_of(tables["forward"], wanted)
+        wanted, df = wanted[df > 0], df[df > 0]
+        if not len(wanted):
+            continue
+        size = rows["terms"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(rows)), size)
+        place = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
+        owner, place = owner[wanted[place] == ids], place[wanted[place] == ids]
+        order = np.lexsort((place, owner))
+        held = [(q, t, s) for q, t, s in zip(rows["query_id"].to_pylist(), np.split(place[order], np.searchsorted(owner, np.arange(1, len(rows)))), size.tolist()) if len(t)]
+        shared = spark.sparkContext.broadcast((wanted, np.log(1 + (n - df + 0.5) / (df + 0.5)), held))
+        read = _together(tables["forward"].select("chunk_id", "dl", "terms", "tf"), n)
+        best = read.mapInArrow(_lexical_block(shared, avgdl, k, k1, b, lam), f"query_id {kind}, items array<string>, scores array<double>")
+        found.append(_merged(best, len(held), k, "chunk_id", n))
+    ranked = [f for f in found if "rank" in f.columns] + [top_k(f, k) for f in found if "rank" not in f.columns]
+    if not ranked:
         return spark.createDataFrame([], f"query_id {kind}, chunk_id string, score double, rank int")
-    return top_k(_union(found), k)
+    return _union(ranked)
+
+
+def _flat(lists: pa.ChunkedArray) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _together(items: DataFrame, n: int) -> DataFrame:
+    """As few tasks as there are cores, or as many as keep a task at some SEGMENTs: what a task gives does not grow with its items."""
+    return items.coalesce(max(items.sparkSession.sparkContext.defaultParallelism, n // (4 * SEGMENT)))
+
+
+def _documents_of(forward: DataFrame, ids: np.ndarray) -> np.ndarray:
+    """How many passages have each of the hashed words (sorted)."""
+    shared = forward.sparkSession.sparkContext.broadcast(ids)
+
+    def run(batches):
+        ids = shared.value
+        count = np.zeros(len(ids), np.int64)
+        for batch in batches:
+            own = batch.column(0).flatten().to_numpy()
+            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            count += np.bincount(at[ids[at] == own], minlength=len(ids))
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["at", "n"])
+
+    found = forward.select("terms").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(ids), np.int64)
+    df[found["at"].to_numpy()] = found["n"].to_numpy()
+    return df
+
+
+def _merged(lists: DataFrame, questions: int, k: int, item: str, n: int) -> DataFrame:
+    """(query_id, item, score, rank): the k best of the lists (query_id, items, scores) that tasks give for each question."""
+    kind, qkind = dict(lists.dtypes)["items"][6:-1], dict(lists.dtypes)["query_id"]
+    spark = lists.sparkSession
+    parts = max(partitions(spark), questions * k * (1 + n // SEGMENT) // 2_000_000)
+
+    def run(batches):
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).combine_chunks()
+        ids = t["query_id"].combine_chunks().dictionary_encode()
+        best = Best(len(ids.dictionary), k)
+        length = t["items"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        own = np.repeat(ids.indices.to_numpy(), length)
+        best.new.append(pa.table([pa.array(own.astype(np.int64)), t["scores"].combine_chunks().flatten(), t["items"].combine_chunks().flatten()], names=["q", "s", "item"]))
+        t = best.settle()
+        q = t["q"].to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        done = pa.table([ids.dictionary.take(pa.array(q)), t["item"], t["s"], pa.array(place.astype(np.int32))], names=["query_id", item, "score", "rank"])
+        yield from done.combine_chunks().to_batches(max_chunksize=10_000)
+
+    return lists.repartition(parts, "query_id").mapInArrow(run, f"query_id {qkind}, {item} {kind}, score double, rank int")
 
 
 def _from_postings(postings: DataFrame, asked: DataFrame, known: list, n: int, avgdl: float, k1: float, b: float, lam: float) -> DataFrame:
@@ -153,84 +218,239 @@ def _from_postings(postings: DataFrame, asked: DataFrame, known: list, n: int, a
     return summed.select("query_id", "chunk_id", F.round(F.col("w") * F.pow(F.col("m") / F.col("size"), F.lit(lam)), 12).alias("score"))
 
 
+def _segments(batches):
+    """Tables of about SEGMENT rows."""
+    held, rows = [], 0
+    for batch in batches:
+        for at in range(0, len(batch), SEGMENT):
+            held.append(batch.slice(at, SEGMENT))
+            rows += len(held[-1])
+            if rows >= SEGMENT:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _places(items: pa.Array) -> np.ndarray:
+    """The place of each item in their order, which settles ties."""
+    place = np.empty(len(items), np.int64)
+    place[pc.sort_indices(items).to_numpy()] = np.arange(len(items))
+    return place
+
+
+def _first(scores: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The k best, by score to nine places, then place."""
+    own = np.arange(len(scores))
+    if len(scores) > k:
+        own = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 2e-9)
+    return own[np.lexsort((place[own], -np.round(scores[own], 9)))[:k]]
+
+
+def _given(ids: list, kind, rows: list[tuple[int, np.ndarray, np.ndarray]], items: pa.Array, size: int = 1000):
+    """Record batches of (question, items, scores) from (question, rows of items, scores)."""
+    for at in range(0, len(rows), size):
+        part = rows[at : at + size]
+        offsets = pa.array(np.cumsum([0, *(len(r[1]) for r in part)]), pa.int32())
+        lists = [items.take(pa.array(np.concatenate([r[1] for r in part]))), pa.array(np.concatenate([r[2] for r in part]))]
+        yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in part], kind), *(pa.ListArray.from_arrays(offsets, x) for x in lists)], names=["query_id", "items", "scores"])
+
+
+class _Words:
+    """The asked words of a segment of passages, by word: passages, counts and weights; frequent words also as rows over all passages."""
+
+    #: What a matched word adds to the sum of weights that candidates are found by, and the share of passages from which a word is frequent.
+    EACH, FREQUENT, ROWS = 2.0, 1 / 20, 256
+
+    def __init__(self, table: pa.Table, ids: np.ndarray, idf: np.ndarray, avgdl: float, k1: float, b: float):
+        self.n, self.idf, self.k1 = len(table), idf, k1
+        lists, counts = table["terms"].combine_chunks(), table["tf"].combine_chunks()
+        self.norm = k1 * (1 - b + b * table["dl"].combine_chunks().to_numpy().astype(float) / avgdl)
+        term, tf = lists.flatten().to_numpy(), counts.flatten().to_numpy()
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+        row = np.minimum(np.searchsorted(ids, term), len(ids) - 1).astype(np.int32)
+        known = ids[row] == term
+        owner, row, tf = owner[known], row[known], tf[known].astype(float)
+        order = np.argsort(row, kind="stable")
+        self.owner, row, self.tf = owner[order].astype(np.int64), row[order], tf[order]
+        self.start = np.searchsorted(row, np.arange(len(ids) + 1))
+        weight = idf[row] * self.tf * (k1 + 1) / (self.tf + self.norm[self.owner])
+        self.weight = (weight + self.EACH).astype(np.float32)
+        df = np.diff(self.start)
+        self.top = np.zeros(len(ids))
+        some = np.flatnonzero(df)
+        if len(some):
+            self.top[some] = np.maximum.reduceat(weight, self.start[some])
+        often = np.flatnonzero(df > max(64, self.n * self.FREQUENT))
+        often = often[np.argsort(-df[often], kind="stable")[: self.ROWS]]
+        self.row = np.full(len(ids), -1)
+        self.row[often] = np.arange(len(often))
+        self.sums = np.zeros((len(often), self.n), np.float32)
+        self.counts = np.zeros((len(often), self.n), np.int32 if len(self.tf) and self.tf.max() > 65_535 else np.uint16)
+        for i, t in enumerate(often):
+            own = slice(self.start[t], self.start[t + 1])
+            self.sums[i, self.owner[own]] = self.weight[own]
+            self.counts[i, self.owner[own]] = self.tf[own]
+        self.found, self.scratch = np.empty(self.n, np.float32), np.zeros(self.n)
+
+    def approximate(self, terms: np.ndarray) -> np.ndarray:
+        """Weights of the matched words and EACH for every one of them, by passage, to single precision."""
+        rows = self.row[terms]
+        dense = rows[rows >= 0].tolist()
+        found = self.found
+        if len(dense) > 1:
+            np.add(self.sums[dense[0]], self.sums[dense[1]], out=found)
+        elif dense:
+            np.copyto(found, self.sums[dense[0]])
+        else:
+            found.fill(0)
+        for i in dense[2:]:
+            found += self.sums[i]
+        for t in terms[rows < 0].tolist():
+            own = slice(self.start[t], self.start[t + 1])
+            found[self.owner[own]] += self.weight[own]
+        return found
+
+    def exact(self, terms: np.ndarray, own: np.ndarray, size: int, lam: float) -> np.ndarray:
+        """Scores of some passages."""
+        tf = np.empty((len(terms), len(own)))
+        rows = self.row[terms]
+        often = np.flatnonzero(rows >= 0)
+        tf[often] = self.counts[rows[often][:, None], own]
+        for i in np.flatnonzero(rows < 0).tolist():
+            at = slice(self.start[terms[i]], self.start[terms[i] + 1])
+            self.scratch[self.owner[at]] = self.tf[at]
+            tf[i] = self.scratch[own]
+            self.scratch[self.owner[at]] = 0
+        weight = self.idf[terms][:, None] * tf * (self.k1 + 1) / (tf + self.norm[own])
+        return np.round(weight.sum(axis=0) * (np.count_nonzero(tf, axis=0) / size) ** lam, 12)
+
+
 def _lexical_block(shared, avgdl: float, k: int, k1: float, b: float, lam: float) -> Callable:
-    """Scores blocks of 1024 passages by groups of 256 questions; only words that a block has take up room."""
+    """Scores segments of passages question by question.
+
+    A passage with m of a question's `size` words and the sum w of their weights scores w (m / size) ** lam. Where that reaches
+    the k-th best score so far (the bar), w + EACH m is at least the least of bar (size / m) ** lam + EACH m over all m. The left side is a
+    sum of rows in single precision; only passages that reach the right side, less the possible error, are scored exactly.
+    """
 
     def run(batches):
         ids, idf, held = shared.value
-        groups = [held[i : i + 256] for i in range(0, len(held), 256)]
-        flat = [(np.concatenate([h[1] for h in g]), np.repeat(np.arange(len(g)), [len(h[1]) for h in g]), np.array([h[2] for h in g])) for g in groups]
-        best = Best(len(held), k)
-        for big in batches:
-            for at in range(0, len(big), 1024):
-                batch = big.slice(at, 1024)
-                dl = batch.column(1).to_numpy().astype(float)
-                owner = np.repeat(np.arange(len(batch)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
-                term, tf = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy().astype(float)
-                row = np.minimum(np.searchsorted(ids, term), len(ids) - 1)
-                known = ids[row] == term
-                owner, row, tf = owner[known], row[known], tf[known]
-                terms, row = np.unique(row, return_inverse=True)
+        bars = np.zeros(len(held))
+        for table in _segments(batches):
+            words, items = _Words(table, ids, idf, avgdl, k1, b), table["chunk_id"].combine_chunks()
+            place, rows = _places(items), []
+            for q, (_, asked, size) in enumerate(held):
+                terms = asked[words.start[asked + 1] > words.start[asked]]
                 if not len(terms):
                     continue
-                count = np.zeros((len(terms), len(batch)))
-                count[row, owner] = tf
-                weight = idf[terms][:, None] * count * (k1 + 1) / (count + k1 * (1 - b + b * dl[None, :] / avgdl))
-                hit = (count > 0).astype(np.int32)
-                for i, (rows, question, size) in enumerate(flat):
-                    where = np.minimum(np.searchsorted(terms, rows), len(terms) - 1)
-                    some = terms[where] == rows
-                    where, question = where[some], question[some]
-                    if not len(where):
-                        continue
-                    asked, first = np.unique(question, return_index=True)
-                    share = (np.add.reduceat(hit[where], first, axis=0) / size[asked][:, None]) ** lam
-                    scores = np.zeros((len(groups[i]), len(batch)))
-                    scores[asked] = np.round(np.add.reduceat(weight[where], first, axis=0) * share, 12)
-                    best.block(i * 256, scores, batch.column(0), 0.0)
-        yield from best.rows([h[0] for h in held], ["query_id", "chunk_id", "score"], None)
+                found, bar, m = words.approximate(terms), bars[q], np.arange(1, len(terms) + 1)
+                if not bar and words.n > k:
+                    head = found[:8192]
+                    own = np.argpartition(head, len(head) - k)[len(head) - k :] if len(head) > k else np.arange(len(head))
+                    bar = words.exact(terms, own, size, lam).min() if len(own) == k else 0.0
+                error = 1e-6 * len(terms) * (words.top[terms].sum() + words.EACH * len(terms))
+                least = ((bar - 2e-9) * (size / m) ** lam + words.EACH * m).min() - error - 1e-6 if bar > 0 else words.EACH / 2
+                own = np.flatnonzero(found >= np.float32(least))
+                if not len(own):
+                    continue
+                scores = words.exact(terms, own, size, lam)
+                some = np.flatnonzero((scores >= bar - 2e-9) & (scores > 0))
+                own, scores = own[some], scores[some]
+                some = _first(scores, place[own], k)
+                own, scores = own[some], scores[some]
+                if len(own):
+                    rows.append((q, own, scores))
+                if len(own) == k:
+                    bars[q] = max(bars[q], scores.min())
+            yield from _given([h[0] for h in held], None, rows, items)
 
     return run
 
 
-def vector(items: DataFrame, item: str, embedding: str, queries: DataFrame, query: str, query_embedding: str, k: int = 20, keep_self: bool = True) -> DataFrame:
+def vector(items: DataFrame, item: str, embedding: str, queries: DataFrame, query: str, query_embedding: str, k: int = 20, keep_self: bool = True, n: int | None = None) -> DataFrame:
     """(query_id, item, score, rank): exact top-k by inner product over unit vectors; nulls and vectors of another length have no rows.
 
-    Filters on items go before the call, so that they narrow what is ranked.
+    Filters on items go before the call, so that they narrow what is ranked. `n` is how many items there are, if known.
     """
     dim_of = queries.where(F.col(query_embedding).isNotNull()).select(F.max(F.size(query_embedding))).first()[0]
     kind, qkind = dict(items.dtypes)[item], dict(queries.dtypes)[query]
-    schema = f"query_id {qkind}, {item} {kind}, score double"
     good = items.where(F.col(item).isNotNull() & (F.size(embedding) == (dim_of or -1))).select(item, F.col(embedding).cast("array<double>").alias("v"))
     found = []
     own = queries.where(F.col(query).isNotNull() & (F.size(query_embedding) == (dim_of or -1))).select(F.col(query).alias("q"), F.col(query_embedding).cast("array<double>").alias("v"))
     for part in _batches(own, "q", max(1, min(QUESTIONS_A_BATCH, BATCH_BYTES // (8 * (dim_of or 1))))):
-        rows = part.collect()  # at most QUESTIONS_A_BATCH vectors and BATCH_BYTES
-        if rows:
-            shared = items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows])))
-            found.append(good.mapInArrow(_vector_block(shared, k, keep_self, item), schema))
+        rows = part.toArrow()  # at most QUESTIONS_A_BATCH vectors and BATCH_BYTES
+        if len(rows):
+            n = items.count() if n is None else n
+            shared = items.sparkSession.sparkContext.broadcast((rows["q"].to_pylist(), _flat(rows["v"]).astype(float).reshape(len(rows), -1)))
+            best = _together(good, n).mapInArrow(_vector_block(shared, k, keep_self, item), f"query_id {qkind}, items array<{kind}>, scores array<double>")
+            found.append(_merged(best, len(rows), k, item, n))
     if not found:
-        return items.sparkSession.createDataFrame([], schema + ", rank int")
-    return top_k(_union(found), k, "query_id", item)
+        return items.sparkSession.createDataFrame([], f"query_id {qkind}, {item} {kind}, score double, rank int")
+    return _union(found)
 
 
 def _vector_block(shared, k: int, keep_self: bool, item: str) -> Callable:
-    """Scores blocks of 4096 items by groups of 1024 queries."""
+    """Scores segments of items by groups of 128 queries: in single precision to find candidates, and these again exactly.
+
+    The k-th best of some items is a bar for all others; it rises as more are seen.
+    """
 
     def run(batches):
         ids, matrix = shared.value
-        best = Best(len(ids), k)
-        for big in batches:
-            for at in range(0, len(big), 4096):
-                batch = big.slice(at, 4096)
-                v = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
-                names = None if keep_self else batch.column(0).to_numpy(zero_copy_only=False)
-                for lo in range(0, len(ids), 1024):
-                    scores = matrix[lo : lo + 1024] @ v.T
-                    if names is not None:
-                        scores[np.array(ids[lo : lo + 1024])[:, None] == names[None, :]] = -np.inf
-                    best.block(lo, scores, batch.column(0), -np.inf)
-        yield from best.rows(ids, ["query_id", item, "score"], None)
+        single, norms, dim = matrix.astype(np.float32), np.sqrt((matrix * matrix).sum(axis=1)), matrix.shape[1]
+        bars = np.full(len(ids), -np.inf)
+        for table in _segments(batches):
+            items = table[item].combine_chunks()
+            v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+            fine = np.isfinite(v).all(axis=1)
+            if not fine.all():
+                items, v = items.filter(pa.array(fine)), v[fine]
+            turned = [np.ascontiguousarray(v[at : at + 2048].T, dtype=np.float32) for at in range(0, len(v), 2048)]
+            most, place, rows = np.sqrt((v * v).sum(axis=1).max(initial=0.0)), _places(items), []
+            names = None if keep_self else items.to_numpy(zero_copy_only=False)
+            for lo in range(0, len(ids), 128):
+                part, group = single[lo : lo + 128], matrix[lo : lo + 128]
+                mine = None if names is None else np.array(ids[lo : lo + 128], dtype=object)
+                slack = dim * 2.4e-7 * norms[lo : lo + 128] * most + 2e-9
+                bar, kept, new = bars[lo : lo + 128].copy(), np.zeros((3, 0)), []
+
+                def settle(kept, new, bar):
+                    """The k best of each query so far: query, item, score."""
+                    q, c = (np.concatenate([x[i] for x in new]) for i in (0, 1))
+                    s = np.einsum("ij,ij->i", group[q], v[c])
+                    if mine is not None:
+                        other = mine[q] != names[c]
+                        q, c, s = q[other], c[other], s[other]
+                    all_of = np.concatenate([kept, np.stack([q, c, s])], axis=1)
+                    q, c, s = all_of[0].astype(np.int64), all_of[1].astype(np.int64), all_of[2]
+                    order = np.lexsort((place[c], -np.round(s, 9), q))
+                    q = q[order]
+                    at = np.arange(len(q)) - np.searchsorted(q, q)
+                    all_of = all_of[:, order[at < k]]
+                    full = np.flatnonzero(at[at < k] == k - 1)
+                    who = all_of[0, full].astype(np.int64)
+                    bar[who] = np.maximum(bar[who], all_of[2, full])
+                    return all_of
+
+                waiting, limit = 0, 64 * k * len(part)
+                for i, block in enumerate(turned):
+                    scores = part @ block
+                    least = bar - slack
+                    if mine is None and scores.shape[1] > k and not np.isfinite(least).all():
+                        least = np.maximum(least, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] - 2 * slack)
+                    hit = np.flatnonzero(scores >= least[:, None].astype(np.float32))
+                    if len(hit):
+                        new.append((hit // scores.shape[1], hit % scores.shape[1] + i * 2048))
+                        waiting += len(hit)
+                    if new and (waiting > limit or i in (0, 3, 15) or i == len(turned) - 1):
+                        kept, new, waiting = settle(kept, new, bar), [], 0
+                bars[lo : lo + 128] = bar
+                if kept.shape[1]:
+                    q = kept[0].astype(np.int64)
+                    cuts = np.flatnonzero(np.diff(q)) + 1
+                    rows += [(lo + a[0], c, s) for a, c, s in zip(np.split(q, cuts), np.split(kept[1].astype(np.int64), cuts), np.split(kept[2], cuts))]
+            yield from _given(ids, None, rows, items)
 
     return run
 

@@ -41,6 +41,23 @@ class AskConfig:
 Embedder = Callable[[DataFrame, str, Column], DataFrame]
 
 
+class _Made(dict):
+    """The tables of an index over passages, each written when a search first asks for it."""
+
+    def __init__(self, chunks: DataFrame, embed: Embedder):
+        super().__init__(chunks=chunks)
+        self.embed = embed
+
+    def __missing__(self, name: str) -> DataFrame:
+        make = {
+            "forward": lambda: stored(index.forward(self["chunks"])),
+            "corpus_stats": lambda: index.corpus_stats(self["forward"]),
+            "vectors": lambda: index.forward_vectors(self["forward"]) if self.embed is index.hashed_vectors else stored(self.embed(self["chunks"], "chunk_id", index.contextual_text())),
+        }
+        self[name] = make[name]()
+        return self[name]
+
+
 class Index:
     """What a search reads: passages, their words with statistics, their vectors."""
 
@@ -50,17 +67,13 @@ class Index:
     @classmethod
     def of(cls, chunks: "DataFrame | Index", embed: Embedder = index.hashed_vectors) -> "Index":
         """The index of passages that have none, made for as long as the process runs; an index is taken as it is."""
-        if isinstance(chunks, Index):
-            return chunks
-        forward = stored(index.forward(index.tokens(chunks)))
-        vectors = stored(embed(chunks, "chunk_id", index.contextual_text()))
-        return cls({"chunks": chunks, "forward": forward, "corpus_stats": index.corpus_stats(forward), "vectors": vectors}, embed)
+        return chunks if isinstance(chunks, Index) else cls(_Made(chunks, embed), embed)
 
     def lexical(self, questions: DataFrame, k: int) -> DataFrame:
         return retrieve.bm25_of_tables(self.tables, questions, k)
 
     def dense(self, questions: DataFrame, k: int) -> DataFrame:
-        return retrieve.vector(self.tables["vectors"], "chunk_id", "v", self.embed(questions, "query_id", F.col("question")), "query_id", "v", k)
+        return retrieve.vector(self.tables["vectors"], "chunk_id", "v", self.embed(questions, "query_id", F.col("question")), "query_id", "v", k, n=self.tables["corpus_stats"].first()["n"])
 
 
 class _Lists:

@@ -27,7 +27,7 @@ def save_index(chunks: DataFrame, path: str, config: object | None = None, embed
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     held = spark.read.parquet(f"{path}/chunks")
     tok = index.tokens(held)
-    index.forward(tok).write.mode("overwrite").parquet(f"{path}/forward")
+    index.forward(held).write.mode("overwrite").parquet(f"{path}/forward")
     stats = index.corpus_stats(tok)
     index.postings(tok).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
