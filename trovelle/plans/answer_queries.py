@@ -244,16 +244,17 @@ def g3(spark, sf):
 def g14(spark, sf):
     """Questions to cited answers in one plan, with the extractive answerer."""
     from trovelle.plans.pipeline import AskConfig, ask
-    from trovelle.plans.search_queries import asked
+    from trovelle.plans.search_queries import asked, index_of
 
-    return ask(chunks(spark, sf), asked(spark, sf), AskConfig("bm25"))
+    return ask(index_of(spark, sf), asked(spark, sf), AskConfig("bm25"))
 
 
 @add("b1_evaluate")
 def b1(spark, sf):
     from trovelle.plans.pipeline import AskConfig, evaluate
+    from trovelle.plans.search_queries import index_of
 
-    return evaluate(chunks(spark, sf), questions(spark, sf), AskConfig("hybrid", True))
+    return evaluate(index_of(spark, sf), questions(spark, sf), AskConfig("hybrid", True))
 
 
 def queries() -> dict:
