@@ -83,3 +83,36 @@ def test_lexical_search_makes_no_vectors_and_no_postings(spark):
     assert own.lexical(asked, 3).count() == 1
     assert set(own.tables) == {"chunks", "forward", "corpus_stats"}
     assert own.dense(asked, 3).count() == 1
+
+
+def test_questions_with_the_same_words_are_scored_once(spark, monkeypatch):
+    seen = []
+    merged = retrieve._merged
+    monkeypatch.setattr(retrieve, "_merged", lambda lists, questions, *rest: seen.append(questions) or merged(lists, questions, *rest))
+    chunks = spark.createDataFrame([(f"c{i}", "d", None, None, 1, f"urate gout word{i % 7}") for i in range(40)], "chunk_id string, document_id string, title string, section string, page int, text string")
+    asked = spark.createDataFrame([(f"q{i}", ["Urate in gout?", "gout: the urate", "word3"][i % 3]) for i in range(60)], "query_id string, question string")
+    held = Index.of(chunks)
+    for ranked in (held.lexical(asked, 5), held.dense(asked, 5)):
+        rows: dict = {}
+        for r in ranked.collect():
+            rows.setdefault(r.query_id, []).append((r["rank"], r.chunk_id, r.score))
+        assert len(rows) == 60 and all(len(x) == 5 for x in rows.values())
+        assert all(sorted(rows[f"q{i}"]) == sorted(rows[f"q{2 * (i % 3 == 2)}"]) for i in range(60))
+    assert seen == [2, 2]
+
+
+def test_long_questions_have_wider_sums():
+    r = np.random.default_rng(8)
+    ids, idf = np.arange(600) - 50, r.uniform(0.05, 9, 600)
+    docs = [np.flatnonzero(r.random(600) < 0.3) for _ in range(900)]
+    asked = [(i, np.sort(r.choice(600, 3, replace=False)), 3) for i in range(300)] + [(300, np.arange(600), 600)]
+    batch = table([f"c{i:03d}" for i in range(900)], [len(d) for d in docs], [ids[d].tolist() for d in docs], [[1] * len(d) for d in docs])
+    got = {row["query_id"]: row for b in retrieve._lexical_block(Shared((ids, idf, asked)), 180.0, 5, 1.5, 0.75, 1.0)(iter([batch])) for row in b.to_pylist()}
+    for q, terms, size in asked[-3:]:
+        have = np.zeros((900, 600), bool)
+        for i, d in enumerate(docs):
+            have[i, d] = True
+        own = have[:, terms]
+        norm = np.array([1.5 * (0.25 + 0.75 * len(d) / 180.0) for d in docs])
+        s = (own * idf[terms]).sum(axis=1) * 2.5 / (1 + norm) * own.sum(axis=1) / size
+        assert got[q]["items"] == [f"c{i:03d}" for i in sorted(range(900), key=lambda i: (-round(s[i], 9), i))[:5]]

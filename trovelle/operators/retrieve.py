@@ -1,7 +1,7 @@
 """Retrieval: lexical and vector top-k from the tables of an index, and fusion of ranked lists.
 
 Questions are a stated set that runs against all passages. They go out in batches of bounded size, as
-a broadcast variable; passages stay where they are: a task scores them by segments, in single precision against
+a broadcast variable, those with the same words or vector as one; passages stay where they are: a task scores them by segments, in single precision against
 the k-th best score that it knows of each question, scores exactly what may reach that, and gives up the best k a question and segment. So what is shuffled grows with questions
 times segments, not with matches. A few questions at a time go another way to the same rows: they read the
 postings of their own words alone.
@@ -142,17 +142,27 @@ def bm25_of_tables(tables: dict, questions: DataFrame, k: int = 20, expand: bool
         place = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
         owner, place = owner[wanted[place] == ids], place[wanted[place] == ids]
         order = np.lexsort((place, owner))
-        held = [(q, t, s) for q, t, s in zip(rows["query_id"].to_pylist(), np.split(place[order], np.searchsorted(owner, np.arange(1, len(rows)))), size.tolist()) if len(t)]
+        own = np.split(place[order], np.searchsorted(owner, np.arange(1, len(rows))))
+        group: dict[tuple[bytes, int], int] = {}  # questions with the same words are scored once
+        of = [(group.setdefault((t.tobytes(), m), len(group)), q) for q, t, m in zip(rows["query_id"].to_pylist(), own, size.tolist()) if len(t)]
+        held = [(i, np.frombuffer(t, place.dtype), m) for (t, m), i in group.items()]
         shared = spark.sparkContext.broadcast((wanted, np.log(1 + (n - df + 0.5) / (df + 0.5)), held))
         read = _together(tables["forward"].select("chunk_id", "dl", "terms", "tf"), n)
-        best = read.mapInArrow(_lexical_block(shared, avgdl, k, k1, b, lam), f"query_id {kind}, items array<string>, scores array<double>")
-        found.append(_merged(best, len(held), k, "chunk_id", n))
+        best = _merged(read.mapInArrow(_lexical_block(shared, avgdl, k, k1, b, lam), "query_id long, items array<string>, scores array<double>"), len(held), k, "chunk_id", n)
+        found.append(_named(best, of, rows.schema.field("query_id").type, kind))
     ranked = [f for f in found if "rank" in f.columns] + [top_k(f, k) for f in found if "rank" not in f.columns]
     if not ranked:
         return spark.createDataFrame([], f"query_id {kind}, chunk_id string, score double, rank int")
     return _union(ranked)
 
 
+def _named(ranked: DataFrame, of: list[tuple], own: pa.DataType, kind: str) -> DataFrame:
+    """The rows of numbered groups of questions for each question of theirs, from (group, question) of one batch of questions."""
+    spark = ranked.sparkSession
+    named = spark.createDataFrame(pa.table([pa.array([g for g, _ in of], pa.int64()), pa.array([q for _, q in of], own)], names=["g__", "own__"]))
+    return ranked.join(F.broadcast(named), F.col("query_id") == F.col("g__")).select(F.col("own__").cast(kind).alias("query_id"), *ranked.columns[1:])
+
+
 def _flat(lists: pa.ChunkedArray) -> np.ndarray:
     return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
@@ -257,113 +267,166 @@ def _given(ids: list, kind, rows: list[tuple[int, np.ndarray, np.ndarray]], item
 
 
 class _Words:
-    """The asked words of a segment of passages, by word: passages, counts and weights; frequent words also as rows over all passages."""
+    """The asked words of a segment of passages, by word: passages, counts and weights; frequent words also as rows over all passages.
+
+    Weights are whole numbers here, rounded up, in units of 1 / scale and with EACH added for every word: what sums of
+    them cannot reach is not reached. Sums of whole numbers are the same in any order and can be taken back, so questions
+    that share frequent words share the sums of these.
+    """
 
     #: What a matched word adds to the sum of weights that candidates are found by, and the share of passages from which a word is frequent.
-    EACH, FREQUENT, ROWS = 2.0, 1 / 20, 256
+    EACH, FREQUENT, ROWS = 2.0, 1 / 20, 512
+    #: Passages are laid out in a grid, whose columns have so many, and these are laid out so again.
+    DEPTH = 8
 
-    def __init__(self, table: pa.Table, ids: np.ndarray, idf: np.ndarray, avgdl: float, k1: float, b: float):
+    def __init__(self, table: pa.Table, ids: np.ndarray, idf: np.ndarray, avgdl: float, k1: float, b: float, asked: np.ndarray, offsets: np.ndarray):
         self.n, self.idf, self.k1 = len(table), idf, k1
+        self.columns = -(-self.n // self.DEPTH**2) * self.DEPTH
         lists, counts = table["terms"].combine_chunks(), table["tf"].combine_chunks()
         self.norm = k1 * (1 - b + b * table["dl"].combine_chunks().to_numpy().astype(float) / avgdl)
         term, tf = lists.flatten().to_numpy(), counts.flatten().to_numpy()
         owner = np.repeat(np.arange(self.n, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
-        row = np.minimum(np.searchsorted(ids, term), len(ids) - 1).astype(np.int32)
+        row = np.minimum(np.searchsorted(ids, term), len(ids) - 1).astype(np.uint32)
         known = ids[row] == term
-        owner, row, tf = owner[known], row[known], tf[known].astype(float)
-        order = np.argsort(row, kind="stable")
-        self.owner, row, self.tf = owner[order].astype(np.int64), row[order], tf[order]
+        owner, row, tf = owner[known], row[known], tf[known]
+        order = np.argsort(row.astype(np.uint16), kind="stable")  # numbers of 16 bits are sorted in time that grows with their count
+        if len(ids) > 1 << 16:
+            order = order[np.argsort((row[order] >> 16).astype(np.uint16), kind="stable")]
+        self.owner, row, tf = owner[order], row[order], tf[order]
+        del order, owner, term, known
         self.start = np.searchsorted(row, np.arange(len(ids) + 1))
-        weight = idf[row] * self.tf * (k1 + 1) / (self.tf + self.norm[self.owner])
-        self.weight = (weight + self.EACH).astype(np.float32)
+        self.tf = tf.astype(np.uint8 if not len(tf) or tf.max() <= 255 else np.int32)
+        weight = idf[row] * tf * (k1 + 1) / (tf + self.norm[self.owner])
         df = np.diff(self.start)
         self.top = np.zeros(len(ids))
         some = np.flatnonzero(df)
         if len(some):
             self.top[some] = np.maximum.reduceat(weight, self.start[some])
+        highest = np.where(df > 0, self.top + self.EACH, 0)[asked]
+        total = np.add.reduceat(highest, offsets[:-1])
+        words = np.diff(offsets)
+        self.scale = 60_000 / max(np.quantile(total, 0.99), highest.max(initial=0), 1.0)
+        self.narrow = total * self.scale + words <= 65_535  # these have sums of 16 bits, others of 32
+        self.weight = np.ceil((weight + self.EACH) * self.scale).astype(np.uint16)
         often = np.flatnonzero(df > max(64, self.n * self.FREQUENT))
         often = often[np.argsort(-df[often], kind="stable")[: self.ROWS]]
         self.row = np.full(len(ids), -1)
         self.row[often] = np.arange(len(often))
-        self.sums = np.zeros((len(often), self.n), np.float32)
-        self.counts = np.zeros((len(often), self.n), np.int32 if len(self.tf) and self.tf.max() > 65_535 else np.uint16)
+        self.sums = np.zeros((len(often), self.columns * self.DEPTH), np.uint16)
+        self.counts = np.zeros((len(often), self.n), self.tf.dtype)
         for i, t in enumerate(often):
             own = slice(self.start[t], self.start[t + 1])
             self.sums[i, self.owner[own]] = self.weight[own]
             self.counts[i, self.owner[own]] = self.tf[own]
-        self.found, self.scratch = np.empty(self.n, np.float32), np.zeros(self.n)
+        self.stack, self.path = [np.zeros(self.columns * self.DEPTH, np.uint16)], []
 
-    def approximate(self, terms: np.ndarray) -> np.ndarray:
-        """Weights of the matched words and EACH for every one of them, by passage, to single precision."""
+    def frequent(self, terms: np.ndarray) -> tuple[int, ...]:
+        """The rows of the frequent ones of a question's words, the most frequent first."""
         rows = self.row[terms]
-        dense = rows[rows >= 0].tolist()
-        found = self.found
-        if len(dense) > 1:
-            np.add(self.sums[dense[0]], self.sums[dense[1]], out=found)
-        elif dense:
-            np.copyto(found, self.sums[dense[0]])
-        else:
-            found.fill(0)
-        for i in dense[2:]:
-            found += self.sums[i]
-        for t in terms[rows < 0].tolist():
-            own = slice(self.start[t], self.start[t + 1])
-            found[self.owner[own]] += self.weight[own]
-        return found
+        return tuple(np.sort(rows[rows >= 0]).tolist())
+
+    def summed(self, rows: tuple[int, ...], narrow: bool) -> np.ndarray:
+        """The sums of some rows; those that the last question began with are there already."""
+        if not narrow:
+            found = np.zeros(self.columns * self.DEPTH, np.uint32)
+            for i in rows:
+                found += self.sums[i]
+            return found
+        depth = 0
+        while depth < min(len(rows), len(self.path)) and rows[depth] == self.path[depth]:
+            depth += 1
+        for i in range(depth, len(rows)):
+            if i + 1 == len(self.stack):
+                self.stack.append(np.empty_like(self.stack[0]))
+            np.add(self.stack[i], self.sums[rows[i]], out=self.stack[i + 1])
+        self.path = rows
+        return self.stack[len(rows)]
 
     def exact(self, terms: np.ndarray, own: np.ndarray, size: int, lam: float) -> np.ndarray:
         """Scores of some passages."""
-        tf = np.empty((len(terms), len(own)))
         rows = self.row[terms]
-        often = np.flatnonzero(rows >= 0)
-        tf[often] = self.counts[rows[often][:, None], own]
-        for i in np.flatnonzero(rows < 0).tolist():
-            at = slice(self.start[terms[i]], self.start[terms[i] + 1])
-            self.scratch[self.owner[at]] = self.tf[at]
-            tf[i] = self.scratch[own]
-            self.scratch[self.owner[at]] = 0
+        if (rows >= 0).all():
+            tf = self.counts[rows[:, None], own].astype(float)
+        else:
+            tf, often = np.zeros((len(terms), len(own))), np.flatnonzero(rows >= 0)
+            tf[often] = self.counts[rows[often][:, None], own]
+            for i in np.flatnonzero(rows < 0).tolist():
+                lo, hi = self.start[terms[i]], self.start[terms[i] + 1]
+                at = np.minimum(self.owner[lo:hi].searchsorted(own), hi - lo - 1) + lo
+                tf[i] = self.tf[at] * (self.owner[at] == own)
         weight = self.idf[terms][:, None] * tf * (self.k1 + 1) / (tf + self.norm[own])
-        return np.round(weight.sum(axis=0) * (np.count_nonzero(tf, axis=0) / size) ** lam, 12)
+        share = (tf > 0).sum(axis=0) / size
+        return np.round(weight.sum(axis=0) * (share if lam == 1 else share**lam), 12)
+
+    def best(self, terms: np.ndarray, rows: tuple[int, ...], narrow: bool, size: int, lam: float, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
+        """Passages that may be among the k best or reach the bar, all that do among them, and their scores.
+
+        A passage with m of a question's `size` words and the sum w of their weights scores w (m / size) ** lam. Where that
+        reaches the bar, w + EACH m is at least the least of bar (size / m) ** lam + EACH m over all m.
+        """
+        found = self.summed(rows, narrow)
+        rare = [slice(self.start[t], self.start[t + 1]) for t in terms[self.row[terms] < 0].tolist()]
+        for own in rare:
+            found[self.owner[own]] += self.weight[own]
+        grid = found.reshape(self.DEPTH, self.columns)
+        highest = grid.max(axis=0)
+        m = np.arange(1, len(terms) + 1)
+
+        def over(least: int) -> np.ndarray:
+            at = (highest >= least).nonzero()[0]
+            hit = (grid.take(at, axis=1) >= least).ravel().nonzero()[0]
+            return hit // len(at) * self.columns + at[hit % len(at)] if len(at) else at
+
+        def least_for(bar: float) -> int:
+            return max(1, int(((bar - 2e-9) * (size / m) ** lam + self.EACH * m).min() * self.scale * (1 - 1e-9)) - 1) if bar > 0 else 1
+
+        def raised(own: np.ndarray) -> float:
+            """The bar after some passages were scored, the most promising ones."""
+            if len(own) > 2 * k:
+                own = own[np.argpartition(found[own], len(own) - 2 * k)[len(own) - 2 * k :]]
+            return max(bar, np.partition(self.exact(terms, own, size, lam), len(own) - k)[len(own) - k]) if len(own) >= k else bar
+
+        if self.columns > k and not bar > 0:
+            few = highest.reshape(self.DEPTH, -1).max(axis=0)
+            few = few if len(few) > 4 * k else highest
+            bar = raised(over(max(1, int(np.partition(few, len(few) - k)[len(few) - k]))))
+        own = over(least_for(bar))
+        if len(own) > 6 * k:
+            bar = raised(own)
+            own = own[found[own] >= least_for(bar)]
+        for at in rare:
+            found[self.owner[at]] -= self.weight[at]
+        scores = self.exact(terms, own, size, lam) if len(own) else np.zeros(0)
+        some = np.flatnonzero((scores >= bar - 2e-9) & (scores > 0))
+        return own[some], scores[some]
 
 
 def _lexical_block(shared, avgdl: float, k: int, k1: float, b: float, lam: float) -> Callable:
-    """Scores segments of passages question by question.
-
-    A passage with m of a question's `size` words and the sum w of their weights scores w (m / size) ** lam. Where that reaches
-    the k-th best score so far (the bar), w + EACH m is at least the least of bar (size / m) ** lam + EACH m over all m. The left side is a
-    sum of rows in single precision; only passages that reach the right side, less the possible error, are scored exactly.
-    """
+    """Scores segments of passages question by question, those with the same frequent words after one another."""
 
     def run(batches):
-        ids, idf, held = shared.value
-        bars = np.zeros(len(held))
+        ids, idf, questions = shared.value
+        asked, sizes = np.concatenate([t for _, t, _ in questions]), [m for _, _, m in questions]
+        offsets = np.cumsum([0, *(len(t) for _, t, _ in questions)])
+        bars = np.zeros(len(questions))
         for table in _segments(batches):
-            words, items = _Words(table, ids, idf, avgdl, k1, b), table["chunk_id"].combine_chunks()
-            place, rows = _places(items), []
-            for q, (_, asked, size) in enumerate(held):
-                terms = asked[words.start[asked + 1] > words.start[asked]]
-                if not len(terms):
-                    continue
-                found, bar, m = words.approximate(terms), bars[q], np.arange(1, len(terms) + 1)
-                if not bar and words.n > k:
-                    head = found[:8192]
-                    own = np.argpartition(head, len(head) - k)[len(head) - k :] if len(head) > k else np.arange(len(head))
-                    bar = words.exact(terms, own, size, lam).min() if len(own) == k else 0.0
-                error = 1e-6 * len(terms) * (words.top[terms].sum() + words.EACH * len(terms))
-                least = ((bar - 2e-9) * (size / m) ** lam + words.EACH * m).min() - error - 1e-6 if bar > 0 else words.EACH / 2
-                own = np.flatnonzero(found >= np.float32(least))
-                if not len(own):
-                    continue
-                scores = words.exact(terms, own, size, lam)
-                some = np.flatnonzero((scores >= bar - 2e-9) & (scores > 0))
-                own, scores = own[some], scores[some]
+            words, items = _Words(table, ids, idf, avgdl, k1, b, asked, offsets), table["chunk_id"].combine_chunks()
+            place, rows, there = _places(items), [], np.diff(words.start) > 0
+            held = []
+            for q, (_, terms, _) in enumerate(questions):
+                terms = terms[there[terms]]
+                if len(terms):
+                    held.append((words.frequent(terms), q, terms))
+            held.sort(key=lambda h: h[:2])
+            for often, q, terms in held:
+                own, scores = words.best(terms, often, bool(words.narrow[q]), sizes[q], lam, k, bars[q])
                 some = _first(scores, place[own], k)
                 own, scores = own[some], scores[some]
                 if len(own):
                     rows.append((q, own, scores))
                 if len(own) == k:
                     bars[q] = max(bars[q], scores.min())
-            yield from _given([h[0] for h in held], None, rows, items)
+            yield from _given([q for q, _, _ in questions], None, rows, items)
 
     return run
 
@@ -382,9 +445,17 @@ def vector(items: DataFrame, item: str, embedding: str, queries: DataFrame, quer
         rows = part.toArrow()  # at most QUESTIONS_A_BATCH vectors and BATCH_BYTES
         if len(rows):
             n = items.count() if n is None else n
-            shared = items.sparkSession.sparkContext.broadcast((rows["q"].to_pylist(), _flat(rows["v"]).astype(float).reshape(len(rows), -1)))
-            best = _together(good, n).mapInArrow(_vector_block(shared, k, keep_self, item), f"query_id {qkind}, items array<{kind}>, scores array<double>")
-            found.append(_merged(best, len(rows), k, item, n))
+            ids, matrix = rows["q"].to_pylist(), _flat(rows["v"]).astype(float).reshape(len(rows), -1)
+            group: dict[bytes, int] = {}
+            if keep_self:  # queries with the same vector are scored once
+                of = [(group.setdefault(v.tobytes(), len(group)), q) for q, v in zip(ids, matrix)]
+                held = (list(range(len(group))), np.frombuffer(b"".join(group)).reshape(len(group), -1))
+            else:
+                held = (ids, matrix)
+            shared = items.sparkSession.sparkContext.broadcast(held)
+            best = _together(good, n).mapInArrow(_vector_block(shared, k, keep_self, item), f"query_id {'long' if keep_self else qkind}, items array<{kind}>, scores array<double>")
+            best = _merged(best, len(held[0]), k, item, n)
+            found.append(_named(best, of, rows.schema.field("q").type, qkind) if keep_self else best)
     if not found:
         return items.sparkSession.createDataFrame([], f"query_id {qkind}, {item} {kind}, score double, rank int")
     return _union(found)
