@@ -116,3 +116,16 @@ def test_long_questions_have_wider_sums():
         norm = np.array([1.5 * (0.25 + 0.75 * len(d) / 180.0) for d in docs])
         s = (own * idf[terms]).sum(axis=1) * 2.5 / (1 + norm) * own.sum(axis=1) / size
         assert got[q]["items"] == [f"c{i:03d}" for i in sorted(range(900), key=lambda i: (-round(s[i], 9), i))[:5]]
+
+
+def test_reranking_goes_by_words_of_the_index(spark):
+    from trovelle.operators import rerank
+
+    rows = [("c0", "d0", "Gout", None, 1, "Urate in gout, urate."), ("c1", "d0", None, "Body", 1, "The asthma"), ("c2", "d1", None, None, 1, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, title string, section string, page int, text string")
+    asked = spark.createDataFrame([("q0", "What lowers urate in gout of adults?"), ("q1", "the"), ("q2", None), ("q3", "Asthma body zebra")], "query_id string, question string")
+    hits = asked.select("query_id").crossJoin(chunks.select("chunk_id"))
+    got = rerank.with_forward_score(hits, index.forward(chunks), asked)
+    want = hits.join(chunks, "chunk_id").join(asked, "query_id").withColumn("pair_score", rerank.lexical_pair_score())
+    shown = lambda df: sorted((r.query_id, r.chunk_id, r.pair_score) for r in df.select("query_id", "chunk_id", "pair_score").collect())
+    assert shown(got) == shown(want) and ("q0", "c0", 0.5) in shown(got) and "text" not in got.columns

@@ -22,6 +22,16 @@ def lexical_pair_score() -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, p)) / F.size(q)).otherwise(F.lit(0.0))
 
 
+def with_forward_score(hits: DataFrame, forward: DataFrame, questions: DataFrame) -> DataFrame:
+    """hits with pair_score, the value of lexical_pair_score() from the words of a forward table: no text is read."""
+    words = F.array_distinct(T.tokenize(F.col("question")))
+    ids = F.transform(words, lambda w: F.conv(F.substring(F.sha1(w.cast("binary")), 1, 16), 16, -10).cast("long"))
+    asked = questions.select("query_id", ids.alias("q__"))
+    both = hits.join(asked, "query_id").join(forward.select("chunk_id", F.col("terms").alias("p__")), "chunk_id")
+    score = F.when(F.size("q__") > 0, F.size(F.array_intersect("q__", "p__")) / F.size("q__")).otherwise(F.lit(0.0))
+    return both.withColumn("pair_score", score).drop("q__", "p__")
+
+
 def rerank(hits: DataFrame, n: int = 5, quota: int = 2, scorer: Callable[[], Column] = lexical_pair_score, retriever: str = "hybrid") -> DataFrame:
     """Scores the candidates (query_id, chunk_id, document_id, rank, score, question, title, section, text), then quota and cut.
 

@@ -9,7 +9,7 @@ from trovelle.functions import text as T
 from trovelle.operators import answers as G
 from trovelle.operators import corpus, evalset, metrics
 from trovelle.plans import sqlparts as S
-from trovelle.plans.search_queries import RERANK, bm25_sql, chunks, questions, read, reranked
+from trovelle.plans.search_queries import RERANK, bm25_sql, chunks, questions, read, reranked, with_texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,12 +35,12 @@ _TR = S.truncate("coalesce(text, '')", 700)
 
 @add("g1_contexts", f"{_BM}, {RERANK} SELECT query_id, md5(string_agg('[' || rank || '] ' || coalesce(title, '') || ' | page ' || coalesce(page::VARCHAR, '') || ' | section: ' || coalesce(section, '') || chr(10) || ({_TR}), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM rr GROUP BY 1")
 def g1(spark, sf):
-    return G.contexts(reranked(spark, sf)).select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"))
+    return G.contexts(with_texts(spark, sf, reranked(spark, sf))).select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
 @add("g2_prompts")
 def g2(spark, sf):
-    held = G.contexts(reranked(spark, sf))
+    held = G.contexts(with_texts(spark, sf, reranked(spark, sf)))
     q = questions(spark, sf).select(F.col("question_id").alias("query_id"), "question").join(held, "query_id", "left")
     return q.select("query_id", G.answer_prompt(F.col("question"), F.col("context")).alias("prompt"))
 
@@ -50,7 +50,7 @@ _FLAT = S.collapse("coalesce(title, '') || ' | page ' || coalesce(page::VARCHAR,
 
 @add("g4_extractive", f"{_BM}, {RERANK}, ex AS (SELECT query_id, rank, {S.sentences('flat')} AS s FROM (SELECT query_id, rank, {_FLAT} AS flat FROM rr WHERE rank <= 3)) SELECT query_id, string_agg(array_to_string(s[1:2], ' ') || ' [' || rank || ']', ' ' ORDER BY rank) AS answer FROM ex GROUP BY 1")
 def g4(spark, sf):
-    return G.extractive(reranked(spark, sf))
+    return G.extractive(with_texts(spark, sf, reranked(spark, sf).where(F.col("rank") <= 3)))  # it reads no others
 
 
 @add("g7_rolling_usage", """SELECT event_id, round(sum(value) OVER w, 4) AS used, count(*) OVER w AS n FROM events
