@@ -299,3 +299,15 @@ def test_each_model_has_its_own_limit(spark):
     df = df.selectExpr("*", "named_struct('completion_tokens', n) as usage", "cast(null as timestamp) as logged_at")
     cut = {r.answer_id for r in P.pair_defects(df).collect() if r.defect == "truncated"}
     assert cut == set(range(12))
+
+
+def test_contexts_come_from_all_texts(spark, monkeypatch):
+    """More texts than any sample would hold, the ones that teach among the last and the longest; partial counts meet."""
+    names = ["Harlow", "Brennick", "Costane", "Dravid", "Ellsten"]
+    plain = [f"Dr {n} saw the results of week {i}." for i in range(500) for n in names]
+    rare = [f"Results were kept. {'Filler words go on here. ' * 600}The sample was cosigned by {names[i % 5]} on the ward." for i in range(12)]
+    texts = [*plain, *(f"Mrs {names[i % 5]} called. {t}" for i, t in enumerate(rare))]
+    df = spark.createDataFrame([(f"k{i:05d}", t) for i, t in enumerate(texts)] + [("k00000", texts[0]), (None, texts[1]), ("none", None)], "doc_id string, text string")
+    monkeypatch.setattr(pii, "HELD", 5)
+    got, want = pii.contexts_of(df), pii.learn_contexts(texts)
+    assert "cosigned by" in got.before and (got.before, got.after) == (want.before, want.after)
