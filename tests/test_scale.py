@@ -129,3 +129,75 @@ def test_reranking_goes_by_words_of_the_index(spark):
     want = hits.join(chunks, "chunk_id").join(asked, "query_id").withColumn("pair_score", rerank.lexical_pair_score())
     shown = lambda df: sorted((r.query_id, r.chunk_id, r.pair_score) for r in df.select("query_id", "chunk_id", "pair_score").collect())
     assert shown(got) == shown(want) and ("q0", "c0", 0.5) in shown(got) and "text" not in got.columns
+
+
+def shuffles(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hashpartitioning" in line for line in plan.split("Initial Plan")[0].splitlines())
+
+
+def ranked_lists(spark, seed, scores=True):
+    r = random.Random(seed)
+    rows = [(f"q{q}", f"c{c:02d}", float(s), i + 1) for q in range(12) for i, (c, s) in enumerate(zip(r.sample(range(30), 9), sorted((r.randint(0, 6) for _ in range(9)), reverse=True)))]
+    return spark.createDataFrame(rows, "query_id string, chunk_id string, score double, rank int")
+
+
+def test_comparison_moves_rows_once_to_their_question(spark):
+    from trovelle.operators import metrics
+
+    dense, lexical = ranked_lists(spark, 1).where("query_id <> 'q3'"), ranked_lists(spark, 2).where("query_id <> 'q4'")
+    both = retrieve.both_arms(dense, lexical)
+    places = retrieve.places(both, 5)
+    assert shuffles(both) == 1 and shuffles(places) == 1
+    want = {
+        "vector": dense.where("rank <= 5"),
+        "bm25": lexical.where("rank <= 5"),
+        "hybrid": retrieve.rrf(dense, lexical, 5),
+        "hybrid_weighted": retrieve.weighted(dense, lexical, 5),
+    }
+    rows = places.collect()
+    for arm, hits in want.items():
+        assert sorted((r.query_id, r.chunk_id, r[arm]) for r in rows if r[arm] is not None) == sorted((r.query_id, r.chunk_id, r["rank"]) for r in hits.collect())
+    in_documents = lambda hits: hits.selectExpr("*", "concat('d', cast(substr(chunk_id, 2) as int) % 7) as document_id")
+    labels = [(f"q{i}", [f"d{i % 7}", f"d{(i + 3) % 7}", None, f"d{i % 7}"][: 1 + i % 4]) for i in range(11)] + [("q20", ["d0"]), ("q11", []), ("q12", None)]
+    questions = spark.createDataFrame(labels, "question_id string, relevant_document_ids array<string>")
+    got = metrics.per_query_of_arms(in_documents(places), questions, tuple(want), (1, 3, 5))
+    for arm, hits in want.items():
+        one = metrics.per_query(metrics.by_document(in_documents(hits)), metrics.qrels(questions), (1, 3, 5))
+        named = lambda df: sorted((r.query_id, *(round(r[c], 12) for c in one.columns[1:])) for r in df.collect())
+        assert named(got.where(f"arm = '{arm}'")) == named(one)
+
+
+def test_queries_of_counts_are_scored_by_sums(spark):
+    r = np.random.default_rng(9)
+    v = r.poisson(0.3, (3000, 64)).astype(float)
+    v[2500:] = v[:500]  # copies, so that scores tie
+    v /= np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1)
+    q = np.zeros((90, 64))
+    for i in range(80):
+        q[i, r.choice(64, 1 + i % 9, replace=False)] += 1 + (np.arange(1 + i % 9) == 0) * (i % 3)
+    q[80:89] = r.random((9, 64))  # no counts; the last has no words
+    q /= np.where((n := np.linalg.norm(q, axis=1, keepdims=True)) > 0, n, 1)
+    counted = retrieve._Counted(q)
+    assert counted.others.tolist() == list(range(80, 90))
+    name = [f"c{x:04d}" for x in r.permutation(3000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(name[a : a + 700]), pa.array(v[a : a + 700].tolist())], names=["id", "v"]) for a in range(0, 3000, 700)]
+    for most in (400, 1000, 5000):
+        got: dict = {}
+        for b in retrieve._vector_block(Shared((list(range(90)), q)), 9, True, "id", most)(iter(batches)):
+            for row in b.to_pylist():
+                got.setdefault(row["query_id"], []).extend(zip(row["items"], row["scores"]))
+        for i in range(90):
+            s = v @ q[i]
+            order = lambda rows: [c for c, x in sorted(rows, key=lambda x: (-round(x[1], 9), x[0]))[:9]]
+            assert order(got[i]) == order(zip(name, s))
+
+
+def test_segments_of_a_task_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "SEGMENT", 1000)
+    items = spark.range(1)
+    tasks = spark.sparkContext.defaultParallelism
+    for own in (10, 1000, 1130, 2300, 9000):
+        size = retrieve._segment_of(items, own * tasks)
+        rows = own * tasks / retrieve._tasks(spark, own * tasks)
+        assert size >= 1000 and (rows > 1250 or size >= rows) and size <= 1600

@@ -43,24 +43,53 @@ def per_query(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS)
             F.sum(F.when(top & (F.col("rel") == 1), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"d{k}"),
         ]
     one = totals.join(marked.groupBy("query_id").agg(*aggs), "query_id", "left")
+    return one.select("query_id", *_values(ks))
 
-    def ideal(k: int) -> Column:
-        terms = [F.when(F.col("n_relevant") > i, F.lit(1.0) / F.log2(F.lit(float(i + 2)))).otherwise(0.0) for i in range(k)]
-        out = terms[0]
-        for t in terms[1:]:
-            out = out + t
-        return out
 
+def _ideal(k: int) -> Column:
+    terms = [F.when(F.col("n_relevant") > i, F.lit(1.0) / F.log2(F.lit(float(i + 2)))).otherwise(0.0) for i in range(k)]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+def _values(ks: tuple[int, ...]) -> list[Column]:
+    """The metrics from n_relevant, n_retrieved, first_hit, ap_sum, and of each k the hits (h), the retrieved (t) and the gain (d) up to it."""
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    cols = ["query_id"]
+    cols = []
     for k in ks:
         cols += [
             z(F.when(F.col(f"h{k}") > 0, 1.0)).alias(f"hit_{k}"),
             z(F.when(F.col(f"t{k}") > 0, F.col(f"h{k}") / F.col(f"t{k}"))).alias(f"precision_{k}"),
             z(F.col(f"h{k}") / F.col("n_relevant")).alias(f"recall_{k}"),
-            z(F.col(f"d{k}") / ideal(k)).alias(f"ndcg_{k}"),
+            z(F.col(f"d{k}") / _ideal(k)).alias(f"ndcg_{k}"),
         ]
-    return one.select(*cols, z(1 / F.col("first_hit")).alias("rr"), z(F.col("ap_sum") / F.least("n_relevant", "n_retrieved")).alias("ap"))
+    return [*cols, z(1 / F.col("first_hit")).alias("rr"), z(F.col("ap_sum") / F.least("n_relevant", "n_retrieved")).alias("ap")]
+
+
+def per_query_of_arms(places: DataFrame, questions: DataFrame, arms: tuple[str, ...], ks: tuple[int, ...] = KS) -> DataFrame:
+    """per_query() by document for several arms at once: (arm, query_id, metrics) from passages (query_id, document_id, and by arm the rank, null where it has not got the passage).
+
+    Rows move once, to their question; of the documents of an arm, ranked by their best passage, only the places of relevant ones go on.
+    """
+    own = lambda a: F.col(f"`{a}`")
+    labels = F.array_distinct(F.array_compact("relevant_document_ids"))
+    wanted = questions.where(F.size(labels) > 0).select(F.col("question_id").alias("query_id"), labels.alias("labels__"))
+    best = places.repartition("query_id").groupBy("query_id", "document_id").agg(*(F.min(own(a)).alias(a) for a in arms))
+    for a in arms:
+        best = best.withColumn(a, F.when(own(a).isNotNull(), F.row_number().over(Window.partitionBy("query_id").orderBy(own(a).asc_nulls_last()))))
+    found = best.join(wanted, "query_id").withColumn("rel__", F.coalesce(F.array_contains("labels__", F.col("document_id")), F.lit(False)))
+    of = [F.struct(F.max(own(a)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("rel__"), own(a)))).alias("at")).alias(a) for a in arms]
+    rows = wanted.select("query_id", F.size("labels__").alias("n_relevant")).join(found.groupBy("query_id").agg(*of), "query_id", "left")
+    rows = rows.select("query_id", "n_relevant", F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), own(a)["n"].alias("n"), own(a)["at"].alias("at")) for a in arms))).alias("x"))
+    rows = rows.select("query_id", "n_relevant", "x.arm", F.col("x.n").alias("n_retrieved"), F.coalesce("x.at", F.array().cast("array<int>")).alias("at"))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    upto = lambda k: F.filter("at", lambda r: r <= k)
+    cols = [F.get("at", F.lit(0)).alias("first_hit"), total(F.transform("at", lambda r, i: (i + 1) / r)).alias("ap_sum")]
+    for k in ks:
+        cols += [F.size(upto(k)).alias(f"h{k}"), F.least(F.col("n_retrieved"), F.lit(k)).alias(f"t{k}"), total(F.transform(upto(k), lambda r: 1 / F.log2(r + 1))).alias(f"d{k}")]
+    return rows.select("arm", "query_id", "n_relevant", "n_retrieved", *cols).select("arm", "query_id", *_values(ks))
 
 
 def summary(per: DataFrame, *by: str) -> DataFrame:

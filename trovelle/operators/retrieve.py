@@ -14,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovelle.functions import text as T
@@ -148,7 +148,7 @@ def bm25_of_tables(tables: dict, questions: DataFrame, k: int = 20, expand: bool
         held = [(i, np.frombuffer(t, place.dtype), m) for (t, m), i in group.items()]
         shared = spark.sparkContext.broadcast((wanted, np.log(1 + (n - df + 0.5) / (df + 0.5)), held))
         read = _together(tables["forward"].select("chunk_id", "dl", "terms", "tf"), n)
-        best = _merged(read.mapInArrow(_lexical_block(shared, avgdl, k, k1, b, lam), "query_id long, items array<string>, scores array<double>"), len(held), k, "chunk_id", n)
+        best = _merged(read.mapInArrow(_lexical_block(shared, avgdl, k, k1, b, lam, _segment_of(tables["forward"], n)), "query_id long, items array<string>, scores array<double>"), len(held), k, "chunk_id", n)
         found.append(_named(best, of, rows.schema.field("query_id").type, kind))
     ranked = [f for f in found if "rank" in f.columns] + [top_k(f, k) for f in found if "rank" not in f.columns]
     if not ranked:
@@ -169,7 +169,11 @@ def _flat(lists: pa.ChunkedArray) -> np.ndarray:
 
 def _together(items: DataFrame, n: int) -> DataFrame:
     """As few tasks as there are cores, or as many as keep a task at some SEGMENTs: what a task gives does not grow with its items."""
-    return items.coalesce(max(items.sparkSession.sparkContext.defaultParallelism, n // (4 * SEGMENT)))
+    return items.coalesce(_tasks(items.sparkSession, n))
+
+
+def _tasks(spark: SparkSession, n: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, n // (4 * SEGMENT))
 
 
 def _documents_of(forward: DataFrame, ids: np.ndarray) -> np.ndarray:
@@ -228,14 +232,20 @@ def _from_postings(postings: DataFrame, asked: DataFrame, known: list, n: int, a
     return summed.select("query_id", "chunk_id", F.round(F.col("w") * F.pow(F.col("m") / F.col("size"), F.lit(lam)), 12).alias("score"))
 
 
-def _segments(batches):
-    """Tables of about SEGMENT rows."""
-    held, rows = [], 0
+def _segment_of(items: DataFrame, n: int) -> int:
+    """Rows of a segment such that those of a task are about as large as each other: what a question costs besides its rows is paid once a segment."""
+    own = n / _tasks(items.sparkSession, n)
+    return max(SEGMENT, int(1.25 * own / -(-own // (1.25 * SEGMENT)))) if own else SEGMENT
+
+
+def _segments(batches, most: int | None = None):
+    """Tables of about `most` rows, SEGMENT if not given."""
+    held, rows, most = [], 0, most or SEGMENT
     for batch in batches:
-        for at in range(0, len(batch), SEGMENT):
-            held.append(batch.slice(at, SEGMENT))
+        for at in range(0, len(batch), most):
+            held.append(batch.slice(at, most))
             rows += len(held[-1])
-            if rows >= SEGMENT:
+            if rows >= most:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, rows = [], 0
     if rows:
@@ -266,7 +276,117 @@ def _given(ids: list, kind, rows: list[tuple[int, np.ndarray, np.ndarray]], item
         yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in part], kind), *(pa.ListArray.from_arrays(offsets, x) for x in lists)], names=["query_id", "items", "scores"])
 
 
-class _Words:
+class _Sums:
+    """Rows of whole numbers over all items of a segment, in a grid, and their sums; questions that begin with the same rows share the sums of these."""
+
+    #: The grid's columns have so many items, and these are laid out so again.
+    DEPTH = 8
+
+    def __init__(self, rows: int, n: int):
+        self.n = n
+        self.columns = -(-n // self.DEPTH**2) * self.DEPTH
+        self.sums = np.zeros((rows, self.columns * self.DEPTH), np.uint16)
+        self.stack, self.path = [np.zeros(self.columns * self.DEPTH, np.uint16)], ()
+
+    def summed(self, rows: tuple[int, ...]) -> np.ndarray:
+        """The sums of some rows; those that the last question began with are there already."""
+        depth = 0
+        while depth < min(len(rows), len(self.path)) and rows[depth] == self.path[depth]:
+            depth += 1
+        for i in range(depth, len(rows)):
+            if i + 1 == len(self.stack):
+                self.stack.append(np.empty_like(self.stack[0]))
+            np.add(self.stack[i], self.sums[rows[i]], out=self.stack[i + 1])
+        self.path = rows
+        return self.stack[len(rows)]
+
+    def over(self, grid: np.ndarray, highest: np.ndarray, least: int) -> np.ndarray:
+        """The items whose sums are `least` or more; `highest` are those of the grid's columns."""
+        at = (highest >= least).nonzero()[0]
+        hit = (grid.take(at, axis=1) >= least).ravel().nonzero()[0]
+        return hit // len(at) * self.columns + at[hit % len(at)] if len(at) else at
+
+    def reached(self, highest: np.ndarray, k: int) -> int:
+        """What the sums of k items reach at least."""
+        few = highest.reshape(self.DEPTH, -1).max(axis=0)
+        few = few if len(few) > 4 * k else highest
+        return int(np.partition(few, len(few) - k)[len(few) - k]) if len(few) > k else 0
+
+
+class _Counted:
+    """The queries whose vectors are small whole multiples of one number: scored by sums of as many rows, one a cell of the vectors."""
+
+    #: So many summands at most, and candidates that are scored exactly together.
+    MOST, TOGETHER = 64, 20_000
+
+    def __init__(self, matrix: np.ndarray):
+        self.matrix = matrix
+        least = np.where(matrix > 0, matrix, np.inf).min(axis=1, initial=np.inf)
+        self.unit = np.where(np.isfinite(least), least, 1.0)
+        ratio = matrix / self.unit[:, None]
+        times = np.rint(ratio)
+        self.size = times.sum(axis=1)
+        fits = (matrix >= 0).all(axis=1) & (np.abs(ratio - times) < 1e-9).all(axis=1) & (self.size > 0) & (self.size <= self.MOST)
+        self.others, own = np.flatnonzero(~fits), np.flatnonzero(fits)
+        self.longest = np.sqrt((times[own] ** 2).sum(axis=1).max(initial=0.0))
+        often = np.argsort(-(times[own] > 0).sum(axis=0), kind="stable")  # the cells that most queries have come first
+        self.often = often
+        turned = times[own][:, often].astype(np.int64)
+        self.queries = sorted((tuple(np.repeat(np.arange(len(often)), t).tolist()), q) for t, q in zip(turned, own.tolist()))
+
+    def best(self, v: np.ndarray, longest: float, place: np.ndarray, k: int, bars: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, items, scores): the k best items of each query; raises the bars.
+
+        Rows are rounded up, so the sum for an item is never under its score, and over it by less than one a summand:
+        the k best are among those whose sums are at most so much under the k-th greatest.
+        """
+        held = _Sums(len(self.often), len(v))
+        scale = 60_000 / max(self.longest * longest, 1e-9)
+        for at in range(0, len(v), 8192):
+            part = v[at : at + 8192]
+            held.sums[:, at : at + len(part)] = np.ceil(part.T[self.often] * scale)
+        rows, waiting, n = [], [], 0
+
+        def settle():
+            q = np.repeat([x for x, _ in waiting], [len(c) for _, c in waiting])
+            c = np.concatenate([c for _, c in waiting])
+            s = np.einsum("ij,ij->i", self.matrix[q], v[c])
+            turn = np.repeat(np.arange(len(waiting)), [len(c) for _, c in waiting])
+            order = np.lexsort((place[c], -np.round(s, 9), turn))
+            turn, c, s = turn[order], c[order], s[order]
+            at = np.arange(len(turn)) - np.searchsorted(turn, turn)
+            turn, c, s, at = (x[at < k] for x in (turn, c, s, at))
+            cuts = np.flatnonzero(np.diff(turn)) + 1
+            for first, own, scores in zip(turn[np.append(0, cuts)].tolist(), np.split(c, cuts), np.split(s, cuts)):
+                x = waiting[first][0]
+                rows.append((x, own, scores))
+                if len(own) == k:
+                    bars[x] = max(bars[x], scores[-1])
+
+        for cells, q in self.queries:
+            found, slack = held.summed(cells), len(cells) + 1
+            grid = found.reshape(held.DEPTH, held.columns)
+            highest = grid.max(axis=0)
+            least = max(0, held.reached(highest, k) - slack)
+            if bars[q] > 0:
+                least = max(least, int((bars[q] - 2e-9) / self.unit[q] * scale * (1 - 1e-9)) - 1)
+            own = held.over(grid, highest, least)
+            if len(own) > k:
+                sums = found[own]
+                own = own[sums >= int(np.partition(sums, len(own) - k)[len(own) - k]) - slack]
+            own = own[own < len(v)]
+            if len(own):
+                waiting.append((q, own))
+                n += len(own)
+                if n > self.TOGETHER:
+                    settle()
+                    waiting, n = [], 0
+        if waiting:
+            settle()
+        return rows
+
+
+class _Words(_Sums):
     """The asked words of a segment of passages, by word: passages, counts and weights; frequent words also as rows over all passages.
 
     Weights are whole numbers here, rounded up, in units of 1 / scale and with EACH added for every word: what sums of
@@ -276,16 +396,13 @@ class _Words:
 
     #: What a matched word adds to the sum of weights that candidates are found by, and the share of passages from which a word is frequent.
     EACH, FREQUENT, ROWS = 2.0, 1 / 20, 512
-    #: Passages are laid out in a grid, whose columns have so many, and these are laid out so again.
-    DEPTH = 8
 
     def __init__(self, table: pa.Table, ids: np.ndarray, idf: np.ndarray, avgdl: float, k1: float, b: float, asked: np.ndarray, offsets: np.ndarray):
-        self.n, self.idf, self.k1 = len(table), idf, k1
-        self.columns = -(-self.n // self.DEPTH**2) * self.DEPTH
+        n, self.idf, self.k1 = len(table), idf, k1
         lists, counts = table["terms"].combine_chunks(), table["tf"].combine_chunks()
         self.norm = k1 * (1 - b + b * table["dl"].combine_chunks().to_numpy().astype(float) / avgdl)
         term, tf = lists.flatten().to_numpy(), counts.flatten().to_numpy()
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+        owner = np.repeat(np.arange(n, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
         row = np.minimum(np.searchsorted(ids, term), len(ids) - 1).astype(np.uint32)
         known = ids[row] == term
         owner, row, tf = owner[known], row[known], tf[known]
@@ -308,39 +425,28 @@ class _Words:
         self.scale = 60_000 / max(np.quantile(total, 0.99), highest.max(initial=0), 1.0)
         self.narrow = total * self.scale + words <= 65_535  # these have sums of 16 bits, others of 32
         self.weight = np.ceil((weight + self.EACH) * self.scale).astype(np.uint16)
-        often = np.flatnonzero(df > max(64, self.n * self.FREQUENT))
+        often = np.flatnonzero(df > max(64, n * self.FREQUENT))
         often = often[np.argsort(-df[often], kind="stable")[: self.ROWS]]
         self.row = np.full(len(ids), -1)
         self.row[often] = np.arange(len(often))
-        self.sums = np.zeros((len(often), self.columns * self.DEPTH), np.uint16)
-        self.counts = np.zeros((len(often), self.n), self.tf.dtype)
+        super().__init__(len(often), n)
+        self.counts = np.zeros((len(often), n), self.tf.dtype)
         for i, t in enumerate(often):
             own = slice(self.start[t], self.start[t + 1])
             self.sums[i, self.owner[own]] = self.weight[own]
             self.counts[i, self.owner[own]] = self.tf[own]
-        self.stack, self.path = [np.zeros(self.columns * self.DEPTH, np.uint16)], []
 
     def frequent(self, terms: np.ndarray) -> tuple[int, ...]:
         """The rows of the frequent ones of a question's words, the most frequent first."""
         rows = self.row[terms]
         return tuple(np.sort(rows[rows >= 0]).tolist())
 
-    def summed(self, rows: tuple[int, ...], narrow: bool) -> np.ndarray:
-        """The sums of some rows; those that the last question began with are there already."""
-        if not narrow:
-            found = np.zeros(self.columns * self.DEPTH, np.uint32)
-            for i in rows:
-                found += self.sums[i]
-            return found
-        depth = 0
-        while depth < min(len(rows), len(self.path)) and rows[depth] == self.path[depth]:
-            depth += 1
-        for i in range(depth, len(rows)):
-            if i + 1 == len(self.stack):
-                self.stack.append(np.empty_like(self.stack[0]))
-            np.add(self.stack[i], self.sums[rows[i]], out=self.stack[i + 1])
-        self.path = rows
-        return self.stack[len(rows)]
+    def wide(self, rows: tuple[int, ...]) -> np.ndarray:
+        """The sums of some rows where 16 bits do not hold them."""
+        found = np.zeros(self.columns * self.DEPTH, np.uint32)
+        for i in rows:
+            found += self.sums[i]
+        return found
 
     def exact(self, terms: np.ndarray, own: np.ndarray, size: int, lam: float) -> np.ndarray:
         """Scores of some passages."""
@@ -350,9 +456,10 @@ class _Words:
         else:
             tf, often = np.zeros((len(terms), len(own))), np.flatnonzero(rows >= 0)
             tf[often] = self.counts[rows[often][:, None], own]
+            narrow = own.astype(self.owner.dtype)
             for i in np.flatnonzero(rows < 0).tolist():
                 lo, hi = self.start[terms[i]], self.start[terms[i] + 1]
-                at = np.minimum(self.owner[lo:hi].searchsorted(own), hi - lo - 1) + lo
+                at = np.minimum(self.owner[lo:hi].searchsorted(narrow), hi - lo - 1) + lo
                 tf[i] = self.tf[at] * (self.owner[at] == own)
         weight = self.idf[terms][:, None] * tf * (self.k1 + 1) / (tf + self.norm[own])
         share = (tf > 0).sum(axis=0) / size
@@ -364,7 +471,7 @@ class _Words:
         A passage with m of a question's `size` words and the sum w of their weights scores w (m / size) ** lam. Where that
         reaches the bar, w + EACH m is at least the least of bar (size / m) ** lam + EACH m over all m.
         """
-        found = self.summed(rows, narrow)
+        found = self.summed(rows) if narrow else self.wide(rows)
         rare = [slice(self.start[t], self.start[t + 1]) for t in terms[self.row[terms] < 0].tolist()]
         for own in rare:
             found[self.owner[own]] += self.weight[own]
@@ -372,11 +479,6 @@ class _Words:
         highest = grid.max(axis=0)
         m = np.arange(1, len(terms) + 1)
 
-        def over(least: int) -> np.ndarray:
-            at = (highest >= least).nonzero()[0]
-            hit = (grid.take(at, axis=1) >= least).ravel().nonzero()[0]
-            return hit // len(at) * self.columns + at[hit % len(at)] if len(at) else at
-
         def least_for(bar: float) -> int:
             return max(1, int(((bar - 2e-9) * (size / m) ** lam + self.EACH * m).min() * self.scale * (1 - 1e-9)) - 1) if bar > 0 else 1
 
@@ -387,10 +489,8 @@ class _Words:
             return max(bar, np.partition(self.exact(terms, own, size, lam), len(own) - k)[len(own) - k]) if len(own) >= k else bar
 
         if self.columns > k and not bar > 0:
-            few = highest.reshape(self.DEPTH, -1).max(axis=0)
-            few = few if len(few) > 4 * k else highest
-            bar = raised(over(max(1, int(np.partition(few, len(few) - k)[len(few) - k]))))
-        own = over(least_for(bar))
+            bar = raised(self.over(grid, highest, max(1, self.reached(highest, k))))
+        own = self.over(grid, highest, least_for(bar))
         if len(own) > 6 * k:
             bar = raised(own)
             own = own[found[own] >= least_for(bar)]
@@ -401,7 +501,7 @@ class _Words:
         return own[some], scores[some]
 
 
-def _lexical_block(shared, avgdl: float, k: int, k1: float, b: float, lam: float) -> Callable:
+def _lexical_block(shared, avgdl: float, k: int, k1: float, b: float, lam: float, most: int | None = None) -> Callable:
     """Scores segments of passages question by question, those with the same frequent words after one another."""
 
     def run(batches):
@@ -409,7 +509,7 @@ def _lexical_block(shared, avgdl: float, k: int, k1: float, b: float, lam: float
         asked, sizes = np.concatenate([t for _, t, _ in questions]), [m for _, _, m in questions]
         offsets = np.cumsum([0, *(len(t) for _, t, _ in questions)])
         bars = np.zeros(len(questions))
-        for table in _segments(batches):
+        for table in _segments(batches, most):
             words, items = _Words(table, ids, idf, avgdl, k1, b, asked, offsets), table["chunk_id"].combine_chunks()
             place, rows, there = _places(items), [], np.diff(words.start) > 0
             held = []
@@ -453,7 +553,7 @@ def vector(items: DataFrame, item: str, embedding: str, queries: DataFrame, quer
             else:
                 held = (ids, matrix)
             shared = items.sparkSession.sparkContext.broadcast(held)
-            best = _together(good, n).mapInArrow(_vector_block(shared, k, keep_self, item), f"query_id {'long' if keep_self else qkind}, items array<{kind}>, scores array<double>")
+            best = _together(good, n).mapInArrow(_vector_block(shared, k, keep_self, item, _segment_of(good, n)), f"query_id {'long' if keep_self else qkind}, items array<{kind}>, scores array<double>")
             best = _merged(best, len(held[0]), k, item, n)
             found.append(_named(best, of, rows.schema.field("q").type, qkind) if keep_self else best)
     if not found:
@@ -461,8 +561,8 @@ def vector(items: DataFrame, item: str, embedding: str, queries: DataFrame, quer
     return _union(found)
 
 
-def _vector_block(shared, k: int, keep_self: bool, item: str) -> Callable:
-    """Scores segments of items by groups of 128 queries: in single precision to find candidates, and these again exactly.
+def _vector_block(shared, k: int, keep_self: bool, item: str, most: int | None = None) -> Callable:
+    """Scores segments of items: by sums of whole numbers for the queries that are small whole multiples of one number, as counts of words are, if no value is negative; others by groups of 128 in single precision. Both find candidates, which are scored again exactly.
 
     The k-th best of some items is a bar for all others; it rises as more are seen.
     """
@@ -471,20 +571,25 @@ def _vector_block(shared, k: int, keep_self: bool, item: str) -> Callable:
         ids, matrix = shared.value
         single, norms, dim = matrix.astype(np.float32), np.sqrt((matrix * matrix).sum(axis=1)), matrix.shape[1]
         bars = np.full(len(ids), -np.inf)
-        for table in _segments(batches):
+        counted = _Counted(matrix) if keep_self else None
+        for table in _segments(batches, most):
             items = table[item].combine_chunks()
             v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
             fine = np.isfinite(v).all(axis=1)
             if not fine.all():
                 items, v = items.filter(pa.array(fine)), v[fine]
-            turned = [np.ascontiguousarray(v[at : at + 2048].T, dtype=np.float32) for at in range(0, len(v), 2048)]
-            most, place, rows = np.sqrt((v * v).sum(axis=1).max(initial=0.0)), _places(items), []
+            longest, place, rows = np.sqrt(np.einsum("ij,ij->i", v, v).max(initial=0.0)), _places(items), []
             names = None if keep_self else items.to_numpy(zero_copy_only=False)
-            for lo in range(0, len(ids), 128):
-                part, group = single[lo : lo + 128], matrix[lo : lo + 128]
+            others = np.arange(len(ids))
+            if counted is not None and len(counted.queries) and v.min(initial=0.0) >= 0:
+                rows, others = counted.best(v, longest, place, k, bars), counted.others
+            turned = [np.ascontiguousarray(v[at : at + 2048].T, dtype=np.float32) for at in range(0, len(v), 2048)] if len(others) else []
+            for lo in range(0, len(others), 128):
+                who = others[lo : lo + 128]
+                part, group = single[who], matrix[who]
                 mine = None if names is None else np.array(ids[lo : lo + 128], dtype=object)
-                slack = dim * 2.4e-7 * norms[lo : lo + 128] * most + 2e-9
-                bar, kept, new = bars[lo : lo + 128].copy(), np.zeros((3, 0)), []
+                slack = dim * 2.4e-7 * norms[who] * longest + 2e-9
+                bar, kept, new = bars[who], np.zeros((3, 0)), []
 
                 def settle(kept, new, bar):
                     """The k best of each query so far: query, item, score."""
@@ -500,8 +605,8 @@ def _vector_block(shared, k: int, keep_self: bool, item: str) -> Callable:
                     at = np.arange(len(q)) - np.searchsorted(q, q)
                     all_of = all_of[:, order[at < k]]
                     full = np.flatnonzero(at[at < k] == k - 1)
-                    who = all_of[0, full].astype(np.int64)
-                    bar[who] = np.maximum(bar[who], all_of[2, full])
+                    risen = all_of[0, full].astype(np.int64)
+                    bar[risen] = np.maximum(bar[risen], all_of[2, full])
                     return all_of
 
                 waiting, limit = 0, 64 * k * len(part)
@@ -516,11 +621,11 @@ def _vector_block(shared, k: int, keep_self: bool, item: str) -> Callable:
                         waiting += len(hit)
                     if new and (waiting > limit or i in (0, 3, 15) or i == len(turned) - 1):
                         kept, new, waiting = settle(kept, new, bar), [], 0
-                bars[lo : lo + 128] = bar
+                bars[who] = bar
                 if kept.shape[1]:
                     q = kept[0].astype(np.int64)
                     cuts = np.flatnonzero(np.diff(q)) + 1
-                    rows += [(lo + a[0], c, s) for a, c, s in zip(np.split(q, cuts), np.split(kept[1].astype(np.int64), cuts), np.split(kept[2], cuts))]
+                    rows += [(int(who[a[0]]), c, s) for a, c, s in zip(np.split(q, cuts), np.split(kept[1].astype(np.int64), cuts), np.split(kept[2], cuts))]
             yield from _given(ids, None, rows, items)
 
     return run
@@ -567,6 +672,27 @@ def retrieve(strategy: str, dense: Callable[[int], DataFrame], lexical: Callable
     return rrf(dense(pool * k), lexical(pool * k), k)
 
 
+def both_arms(dense: DataFrame, lexical: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, dense_rank, dense_score, lexical_rank, lexical_score): a row a question and passage of either arm, together by question."""
+    name = {"dense": ("dense_rank", "dense_score"), "lexical": ("lexical_rank", "lexical_score")}
+    own = lambda hits, arm: hits.select("query_id", "chunk_id", *(F.col(c).alias(n) for c, n in zip(("rank", "score"), name[arm])))
+    either = own(dense, "dense").unionByName(own(lexical, "lexical"), allowMissingColumns=True).repartition("query_id")
+    return either.groupBy("query_id", "chunk_id").agg(*(F.max(c).alias(c) for c in (*name["dense"], *name["lexical"])))
+
+
+def places(both: DataFrame, k: int = 20, alpha: float = 0.5, constant: int = 60) -> DataFrame:
+    """both_arms() with the places up to k in the lists of either arm, of rrf() and of weighted(): vector, bm25, hybrid, hybrid_weighted; null where a list has not got the passage."""
+    w = Window.partitionBy("query_id")
+    ranks = [F.coalesce(1 / (constant + F.col(f"{a}_rank")), F.lit(0.0)) for a in ("dense", "lexical")]
+    scaled = [F.when(F.col(f"{a}_score").isNotNull(), minmax(f"{a}_score", w)).otherwise(0.0) for a in ("dense", "lexical")]
+    scored = both.withColumn("fused", ranks[0] + ranks[1]).withColumn("mixed", alpha * scaled[0] + (1 - alpha) * scaled[1])
+    fused = F.row_number().over(w.orderBy(F.round("fused", 12).desc(), F.col("dense_rank").asc_nulls_last(), F.col("lexical_rank").asc_nulls_last()))
+    mixed = F.row_number().over(w.orderBy(F.round("mixed", 9).desc(), F.col("chunk_id")))
+    lists = {"vector": F.col("dense_rank"), "bm25": F.col("lexical_rank"), "hybrid": fused, "hybrid_weighted": mixed}
+    found = scored.select("query_id", "chunk_id", *(r.alias(n) for n, r in lists.items()))
+    return found.select("query_id", "chunk_id", *(F.when(F.col(n) <= k, F.col(n)).alias(n) for n in lists))
+
+
 def arm_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """By question: passages of the first arm only, of both, of the second only, and shared over united to three places."""
     x = a.groupBy("query_id").agg(F.collect_set("chunk_id").alias("x"))
