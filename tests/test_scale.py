@@ -201,3 +201,19 @@ def test_segments_of_a_task_are_alike(spark, monkeypatch):
         size = retrieve._segment_of(items, own * tasks)
         rows = own * tasks / retrieve._tasks(spark, own * tasks)
         assert size >= 1000 and (rows > 1250 or size >= rows) and size <= 1600
+
+
+def test_segments_hold_only_the_asked_words():
+    r = np.random.default_rng(10)
+    docs = [np.flatnonzero(r.random(50) < 0.4) for _ in range(1000)]
+    tfs = [r.integers(1, 400, len(d)) for d in docs]
+    batches = [table([f"c{i}" for i in range(a, a + 130)], [7] * len(docs[a : a + 130]), [d.tolist() for d in docs[a : a + 130]], [t.tolist() for t in tfs[a : a + 130]]) for a in range(0, 910, 130)]
+    ids = np.array([3, 8, 41, 77])
+    seen = list(retrieve._known(iter(batches), ids, lambda dl: dl * 2, 260))
+    assert [len(items) for items, *_ in seen] == [260, 260, 260, 130]
+    at = 0
+    for items, norm, row, owner, tf in seen:
+        want = [(i, int(w), int(t)) for i in range(len(items)) for w, t in zip(docs[at + i], tfs[at + i]) if w in (3, 8, 41)]
+        assert list(zip(owner.tolist(), ids[row].tolist(), tf.tolist())) == want and (norm == 14).all()
+        assert items.to_pylist() == [f"c{at + i}" for i in range(len(items))]
+        at += len(items)

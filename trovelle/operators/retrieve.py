@@ -246,10 +246,39 @@ def _segments(batches, most: int | None = None):
             held.append(batch.slice(at, most))
             rows += len(held[-1])
             if rows >= most:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, rows = [], 0
+                table, held, rows = pa.Table.from_batches(held).combine_chunks(), [], 0
+                yield table
+                del table
     if rows:
-        yield pa.Table.from_batches(held).combine_chunks()
+        table, held = pa.Table.from_batches(held).combine_chunks(), []
+        yield table
+
+
+def _known(batches, ids: np.ndarray, norm_of: Callable[[np.ndarray], np.ndarray], most: int | None = None):
+    """Segments of passages: ids, norms, and for each asked word of a passage its place in `ids`, the passage and the count; other words are not held."""
+    held, rows, most = [], 0, most or SEGMENT
+
+    def joined():
+        items = pa.concat_arrays([h[0] for h in held])
+        return items, *(np.concatenate([h[i] for h in held]) for i in range(1, 5))
+
+    for batch in batches:
+        for at in range(0, len(batch), most):
+            part = batch.slice(at, most)
+            chunk, dl, terms, tf = (part.column(part.schema.get_field_index(c)) for c in ("chunk_id", "dl", "terms", "tf"))
+            term = terms.flatten().to_numpy()
+            row = np.minimum(np.searchsorted(ids, term), len(ids) - 1)
+            own = np.flatnonzero(ids[row] == term)
+            owner = np.repeat(np.arange(rows, rows + len(part), dtype=np.int32), terms.value_lengths().to_numpy(zero_copy_only=False))
+            held.append((chunk, norm_of(dl.to_numpy(zero_copy_only=False).astype(float)), row[own].astype(np.uint32), owner[own], tf.flatten().to_numpy()[own]))
+            rows += len(part)
+            if rows >= most:
+                found, held, rows = joined(), [], 0
+                yield found
+                del found
+    if rows:
+        found, held = joined(), []
+        yield found
 
 
 def _places(items: pa.Array) -> np.ndarray:
@@ -397,37 +426,36 @@ class _Words(_Sums):
     #: What a matched word adds to the sum of weights that candidates are found by, and the share of passages from which a word is frequent.
     EACH, FREQUENT, ROWS = 2.0, 1 / 20, 512
 
-    def __init__(self, table: pa.Table, ids: np.ndarray, idf: np.ndarray, avgdl: float, k1: float, b: float, asked: np.ndarray, offsets: np.ndarray):
-        n, self.idf, self.k1 = len(table), idf, k1
-        lists, counts = table["terms"].combine_chunks(), table["tf"].combine_chunks()
-        self.norm = k1 * (1 - b + b * table["dl"].combine_chunks().to_numpy().astype(float) / avgdl)
-        term, tf = lists.flatten().to_numpy(), counts.flatten().to_numpy()
-        owner = np.repeat(np.arange(n, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
-        row = np.minimum(np.searchsorted(ids, term), len(ids) - 1).astype(np.uint32)
-        known = ids[row] == term
-        owner, row, tf = owner[known], row[known], tf[known]
+    def __init__(self, norm: np.ndarray, row: np.ndarray, owner: np.ndarray, tf: np.ndarray, idf: np.ndarray, k1: float, asked: np.ndarray, offsets: np.ndarray):
+        n, words, self.norm, self.idf, self.k1 = len(norm), len(idf), norm, idf, k1
         order = np.argsort(row.astype(np.uint16), kind="stable")  # numbers of 16 bits are sorted in time that grows with their count
-        if len(ids) > 1 << 16:
+        if words > 1 << 16:
             order = order[np.argsort((row[order] >> 16).astype(np.uint16), kind="stable")]
-        self.owner, row, tf = owner[order], row[order], tf[order]
-        del order, owner, term, known
-        self.start = np.searchsorted(row, np.arange(len(ids) + 1))
-        self.tf = tf.astype(np.uint8 if not len(tf) or tf.max() <= 255 else np.int32)
-        weight = idf[row] * tf * (k1 + 1) / (tf + self.norm[self.owner])
+        self.tf = tf[order].astype(np.uint8 if not len(tf) or tf.max() <= 255 else np.int32)
+        self.owner, row = owner[order], row[order]
+        del order
+        self.start = np.searchsorted(row, np.arange(words + 1, dtype=row.dtype))
+        weight = np.empty(len(row), np.float32)
+        for at in range(0, len(row), 1 << 20):
+            own = slice(at, at + (1 << 20))
+            weight[own] = idf[row[own]] * self.tf[own] * (k1 + 1) / (self.tf[own] + norm[self.owner[own]]) * (1 + 1e-6)  # no less in single precision
         df = np.diff(self.start)
-        self.top = np.zeros(len(ids))
+        self.top = np.zeros(words)
         some = np.flatnonzero(df)
         if len(some):
             self.top[some] = np.maximum.reduceat(weight, self.start[some])
         highest = np.where(df > 0, self.top + self.EACH, 0)[asked]
         total = np.add.reduceat(highest, offsets[:-1])
-        words = np.diff(offsets)
+        size = np.diff(offsets)
         self.scale = 60_000 / max(np.quantile(total, 0.99), highest.max(initial=0), 1.0)
-        self.narrow = total * self.scale + words <= 65_535  # these have sums of 16 bits, others of 32
-        self.weight = np.ceil((weight + self.EACH) * self.scale).astype(np.uint16)
+        self.narrow = total * self.scale + size <= 65_535  # these have sums of 16 bits, others of 32
+        self.weight = np.empty(len(row), np.uint16)
+        for at in range(0, len(row), 1 << 20):
+            self.weight[at : at + (1 << 20)] = np.ceil((weight[at : at + (1 << 20)].astype(float) + self.EACH) * self.scale)
+        del weight, row
         often = np.flatnonzero(df > max(64, n * self.FREQUENT))
         often = often[np.argsort(-df[often], kind="stable")[: self.ROWS]]
-        self.row = np.full(len(ids), -1)
+        self.row = np.full(words, -1)
         self.row[often] = np.arange(len(often))
         super().__init__(len(often), n)
         self.counts = np.zeros((len(often), n), self.tf.dtype)
@@ -509,8 +537,9 @@ def _lexical_block(shared, avgdl: float, k: int, k1: float, b: float, lam: float
         asked, sizes = np.concatenate([t for _, t, _ in questions]), [m for _, _, m in questions]
         offsets = np.cumsum([0, *(len(t) for _, t, _ in questions)])
         bars = np.zeros(len(questions))
-        for table in _segments(batches, most):
-            words, items = _Words(table, ids, idf, avgdl, k1, b, asked, offsets), table["chunk_id"].combine_chunks()
+        for items, *held in _known(batches, ids, lambda dl: k1 * (1 - b + b * dl / avgdl), most):
+            words = _Words(*held, idf, k1, asked, offsets)
+            del held
             place, rows, there = _places(items), [], np.diff(words.start) > 0
             held = []
             for q, (_, terms, _) in enumerate(questions):
