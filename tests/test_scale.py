@@ -168,6 +168,16 @@ def test_comparison_moves_rows_once_to_their_question(spark):
         assert named(got.where(f"arm = '{arm}'")) == named(one)
 
 
+def test_overlap_moves_rows_once_to_their_question(spark):
+    a, b = ranked_lists(spark, 3).where("query_id <> 'q3'"), ranked_lists(spark, 4).where("query_id <> 'q4'")
+    got = retrieve.arm_overlap(a, b)
+    assert shuffles(got) == 1
+    of = lambda df, q: {r.chunk_id for r in df.where(f"query_id = '{q}'").collect()}
+    for r in got.collect():
+        x, y = of(a, r.query_id), of(b, r.query_id)
+        assert (r.first_only, r.shared, r.second_only, r.jaccard) == (len(x - y), len(x & y), len(y - x), round(len(x & y) / len(x | y), 3))
+
+
 def test_queries_of_counts_are_scored_by_sums(spark):
     r = np.random.default_rng(9)
     v = r.poisson(0.3, (3000, 64)).astype(float)

@@ -260,7 +260,9 @@ def _known(batches, ids: np.ndarray, norm_of: Callable[[np.ndarray], np.ndarray]
 
     def joined():
         items = pa.concat_arrays([h[0] for h in held])
-        return items, *(np.concatenate([h[i] for h in held]) for i in range(1, 5))
+        columns = list(zip(*(h[1:] for h in held)))
+        held.clear()
+        return items, *(np.concatenate(columns.pop(0)) for _ in range(4))
 
     for batch in batches:
         for at in range(0, len(batch), most):
@@ -273,12 +275,10 @@ def _known(batches, ids: np.ndarray, norm_of: Callable[[np.ndarray], np.ndarray]
             held.append((chunk, norm_of(dl.to_numpy(zero_copy_only=False).astype(float)), row[own].astype(np.uint32), owner[own], tf.flatten().to_numpy()[own]))
             rows += len(part)
             if rows >= most:
-                found, held, rows = joined(), [], 0
-                yield found
-                del found
+                rows = 0
+                yield joined()  # not held here while it is worked on
     if rows:
-        found, held = joined(), []
-        yield found
+        yield joined()
 
 
 def _places(items: pa.Array) -> np.ndarray:
@@ -426,14 +426,18 @@ class _Words(_Sums):
     #: What a matched word adds to the sum of weights that candidates are found by, and the share of passages from which a word is frequent.
     EACH, FREQUENT, ROWS = 2.0, 1 / 20, 512
 
-    def __init__(self, norm: np.ndarray, row: np.ndarray, owner: np.ndarray, tf: np.ndarray, idf: np.ndarray, k1: float, asked: np.ndarray, offsets: np.ndarray):
+    def __init__(self, held: list[np.ndarray], idf: np.ndarray, k1: float, asked: np.ndarray, offsets: np.ndarray):
+        """`held` are norms, words, passages and counts of _known(); it is emptied, so that they go when they are sorted."""
+        norm, row, owner, tf = held
+        held.clear()
         n, words, self.norm, self.idf, self.k1 = len(norm), len(idf), norm, idf, k1
         order = np.argsort(row.astype(np.uint16), kind="stable")  # numbers of 16 bits are sorted in time that grows with their count
         if words > 1 << 16:
             order = order[np.argsort((row[order] >> 16).astype(np.uint16), kind="stable")]
-        self.tf = tf[order].astype(np.uint8 if not len(tf) or tf.max() <= 255 else np.int32)
+        self.tf = tf.astype(np.uint8 if not len(tf) or tf.max() <= 255 else np.int32)[order]
+        del tf
         self.owner, row = owner[order], row[order]
-        del order
+        del owner, order
         self.start = np.searchsorted(row, np.arange(words + 1, dtype=row.dtype))
         weight = np.empty(len(row), np.float32)
         for at in range(0, len(row), 1 << 20):
@@ -538,8 +542,7 @@ def _lexical_block(shared, avgdl: float, k: int, k1: float, b: float, lam: float
         offsets = np.cumsum([0, *(len(t) for _, t, _ in questions)])
         bars = np.zeros(len(questions))
         for items, *held in _known(batches, ids, lambda dl: k1 * (1 - b + b * dl / avgdl), most):
-            words = _Words(*held, idf, k1, asked, offsets)
-            del held
+            words = _Words(held, idf, k1, asked, offsets)
             place, rows, there = _places(items), [], np.diff(words.start) > 0
             held = []
             for q, (_, terms, _) in enumerate(questions):
@@ -723,16 +726,11 @@ def places(both: DataFrame, k: int = 20, alpha: float = 0.5, constant: int = 60)
 
 
 def arm_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """By question: passages of the first arm only, of both, of the second only, and shared over united to three places."""
-    x = a.groupBy("query_id").agg(F.collect_set("chunk_id").alias("x"))
-    y = b.groupBy("query_id").agg(F.collect_set("chunk_id").alias("y"))
-    none = F.array().cast("array<string>")
-    both = x.join(y, "query_id", "full").select("query_id", F.coalesce("x", none).alias("x"), F.coalesce("y", none).alias("y"))
-    shared, united = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
-    return both.select(
-        "query_id",
-        F.size(F.array_except("x", "y")).alias("first_only"),
-        shared.alias("shared"),
-        F.size(F.array_except("y", "x")).alias("second_only"),
-        F.round(shared / F.greatest(united, F.lit(1)), 3).alias("jaccard"),
-    )
+    """By question: passages of the first arm only, of both, of the second only, and shared over united to three places. Rows move once, to their question."""
+    own = lambda hits, x, y: hits.select("query_id", "chunk_id", F.lit(x).alias("x"), F.lit(y).alias("y"))
+    each = own(a, 1, 0).unionByName(own(b, 0, 1)).repartition("query_id").groupBy("query_id", "chunk_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    count = lambda c: F.sum(c).cast("int")
+    x, y = F.col("x"), F.col("y")
+    n = each.groupBy("query_id").agg(count(x * (1 - y)).alias("first_only"), count(x * y).alias("shared"), count(y * (1 - x)).alias("second_only"))
+    united = F.col("first_only") + F.col("shared") + F.col("second_only")
+    return n.withColumn("jaccard", F.round(F.col("shared") / F.greatest(united, F.lit(1)), 3))
