@@ -227,3 +227,10 @@ def test_segments_hold_only_the_asked_words():
         assert list(zip(owner.tolist(), ids[row].tolist(), tf.tolist())) == want and (norm == 14).all()
         assert items.to_pylist() == [f"c{at + i}" for i in range(len(items))]
         at += len(items)
+
+
+@pytest.mark.parametrize("name", ["b4_best_arms", "b5_slice_pivot"])
+def test_lists_of_the_arms_are_moved_together(spark, name):
+    import __spark_entry__
+
+    assert shuffles(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")) <= 8
