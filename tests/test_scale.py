@@ -234,3 +234,77 @@ def test_lists_of_the_arms_are_moved_together(spark, name):
     import __spark_entry__
 
     assert shuffles(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")) <= 8
+
+
+def test_lists_pass_as_bytes():
+    import pyarrow as pa
+
+    names = ["", "c\0d", "ä", *(f"c{i}" for i in range(300))]
+    items = pa.StructArray.from_arrays([pa.array(names), pa.array([(-1) ** i * (1 << 62) - i for i in range(303)], pa.int64())], names=["chunk_id", "document"])
+    r = np.random.default_rng(2)
+    rows = [(q, np.sort(r.choice(303, n, replace=False)), r.normal(size=n)) for q, n in enumerate([5, 1, 0, 40, 300])]
+    lists = pa.Table.from_batches([*retrieve._given(list(range(5)), None, rows[:3], items), *retrieve._given(list(range(5)), None, rows[3:], items)])
+    for part in (lists, lists.slice(1, 3), lists.slice(0, 0)):
+        n, own, documents, scores = retrieve.unpacked(part)
+        some = [rows[q] for q in part["query_id"].to_pylist()]
+        assert n.tolist() == [len(x[1]) for x in some]
+        assert own.to_pylist() == [names[i] for x in some for i in x[1]] and scores.tolist() == [s for x in some for s in x[2]]
+        assert documents.tolist() == [items[int(i)].as_py()["document"] for x in some for i in x[1]]
+
+
+@pytest.mark.parametrize("lam", [1.0, 0.5])
+def test_questions_with_the_same_frequent_words_are_scored_together(monkeypatch, lam):
+    r = np.random.default_rng(5)
+    ids, often = np.arange(400), 12
+    docs = [np.flatnonzero(r.random(400) < np.where(ids < often, 0.3, 0.004)) for _ in range(3000)]
+    tfs = [r.integers(1, 4, len(d)) for d in docs]
+    df = np.bincount(np.concatenate(docs), minlength=400)
+    idf = np.log(1 + (3000 - df + 0.5) / (df + 0.5))
+    sets = [np.sort(r.choice(often, 3, replace=False)) for _ in range(6)]
+    asked = []
+    for q in range(240):
+        terms = np.concatenate([sets[q % 6], np.sort(often + r.choice(400 - often, q % 4, replace=False))])
+        asked.append((q, terms, len(terms) + q % 3))
+    batches = [table([f"c{i:04d}" for i in range(a, a + 1500)], [100 + i % 90 for i in range(1500)], [docs[i].tolist() for i in range(a, a + 1500)], [tfs[i].tolist() for i in range(a, a + 1500)]) for a in (0, 1500)]
+    alone = []
+    best = retrieve._Words.best
+    monkeypatch.setattr(retrieve._Words, "best", lambda self, *rest: alone.append(1) or best(self, *rest))
+    rows = [x for b in retrieve._lexical_block(Shared((ids, idf, asked)), 140.0, 7, 1.5, 0.75, lam, 1500)(iter(batches)) for x in b.to_pylist()]
+    assert len(alone) == 2 * len({s.tobytes() for s in sets})  # once a segment and set of frequent words, not once a question
+    got: dict = {}
+    for x in rows:
+        got.setdefault(x["query_id"], []).extend(zip(x["scores"], x["items"]))
+    counts, norm = np.zeros((3000, 400)), np.array([1.5 * (0.25 + 0.75 * (100 + i % 1500 % 90) / 140.0) for i in range(3000)])
+    for i in range(3000):
+        counts[i, docs[i]] = tfs[i]
+    for q, terms, size in asked:
+        tf = counts[:, terms]
+        s = np.round((idf[terms] * tf * 2.5 / (tf + norm[:, None])).sum(axis=1) * ((tf > 0).sum(axis=1) / size) ** lam, 9)
+        want = sorted(((-x, f"c{i:04d}") for i, x in enumerate(s.tolist()) if x > 0))[:7]
+        assert [c for _, c in sorted((-round(x, 9), c) for x, c in got[q])[:7]] == [c for _, c in want]
+
+
+@pytest.mark.parametrize("name", ["b4_best_arms", "b5_slice_pivot"])
+def test_comparison_of_arms_moves_lists_once_and_writes_no_texts(spark, name, monkeypatch, tmp_path):
+    import __spark_entry__
+
+    from trovelle.plans import search_queries
+
+    monkeypatch.setattr(search_queries, "_INDEXES", {})
+    df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert shuffles(df) <= 5
+    assert all("chunks" not in held.tables for held in search_queries._INDEXES.values())
+
+
+def test_what_lists_of_a_question_reach_together():
+    from trovelle.operators import compare
+
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        of = np.sort(r.integers(0, 5, 12))
+        n = r.integers(0, 9, 12)
+        s = np.concatenate([np.sort(r.integers(0, 6, x) / 7)[::-1] for x in n] or [np.zeros(0)])
+        own = np.repeat(of, n)
+        for q, bound in zip(of.tolist(), compare._reached(of, n, s, 5, 8).tolist()):
+            best = np.sort(s[own == q])[::-1][:8]
+            assert (len(best) < 8 and bound == -np.inf) or bound <= best[-1]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trovelle.session import stored
+
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     """One row a key: the greatest by `order` (nulls last). Rows without key are left out."""
@@ -12,6 +14,19 @@ def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).withColumn("rn__", F.row_number().over(w)).where("rn__ = 1").drop("rn__")
 
 
+#: Keys that stand in several rows, so many at most, go to every task of latest_few().
+AGAIN = 1_000_000
+
+
+def latest_few(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """latest() where few keys stand in several rows: only the rows of these move."""
+    again = stored(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
+    if again.count() > AGAIN:
+        return latest(df, key, *order)
+    seen = F.broadcast(again)
+    return df.where(F.col(key).isNotNull()).join(seen, key, "left_anti").select(df.columns).unionByName(latest(df.join(seen, key, "left_semi").select(df.columns), key, *order))
+
+
 def require_unique(df: DataFrame, key: str) -> None:
     """ValueError if a key stands in two rows; names one of them."""
     twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key).first()
@@ -19,8 +34,11 @@ def require_unique(df: DataFrame, key: str) -> None:
         raise ValueError(f"{key} is not unique: {twice[0]}")
 
 
+LATEST_CHUNK = ("chunk_id", "indexed_at", "title", "section", "text")
+
+
 def latest_chunks(chunks: DataFrame) -> DataFrame:
-    return latest(chunks, "chunk_id", "indexed_at", "title", "section", "text")
+    return latest(chunks, *LATEST_CHUNK)
 
 
 def latest_questions(questions: DataFrame) -> DataFrame:

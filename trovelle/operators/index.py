@@ -33,7 +33,7 @@ def word_id(word: str) -> int:
 
 
 def forward(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, dl, terms, tf): the different words of each passage as sorted 64-bit hashes (word_id()), and how often it has each: what scoring reads in the place of texts.
+    """(chunk_id, dl, terms, tf, and document_id if passages have it): the different words of each passage as sorted 64-bit hashes (word_id()), and how often it has each: what scoring reads in the place of texts.
 
     Words are those of tokens(), taken in one pass over the texts.
     """
@@ -62,13 +62,17 @@ def forward(chunks: DataFrame) -> DataFrame:
             order = np.argsort(ids)
             place = np.empty(len(ids), np.int64)
             place[order] = np.arange(len(ids))
-            pairs, tf = np.unique(owner * len(ids) + place[flat], return_counts=True)
+            pairs = owner * len(ids) + place[flat]
+            pairs = np.sort(pairs.astype(np.uint32) if len(texts) * len(ids) < 1 << 32 else pairs)  # half the width sorts in half the time
+            first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+            pairs, tf = pairs[first].astype(np.int64), np.diff(np.append(first, len(pairs)))
             lengths = pa.array(np.searchsorted(pairs, np.arange(len(texts) + 1) * len(ids)), pa.int32())
             terms = ids[order][pairs % max(1, len(ids))]
             lists = [pa.ListArray.from_arrays(lengths, pa.array(x)) for x in (terms, tf.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, minlength=len(texts)).astype(np.int32)), *lists], names=["chunk_id", "dl", "terms", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, minlength=len(texts)).astype(np.int32)), *lists, *batch.columns[2:]], names=["chunk_id", "dl", "terms", "tf", *also])
 
-    return chunks.select("chunk_id", indexed_text().alias("text")).mapInArrow(run, "chunk_id string, dl int, terms array<long>, tf array<int>")
+    also = [c for c in ("document_id",) if c in chunks.columns]
+    return chunks.select("chunk_id", indexed_text().alias("text"), *also).mapInArrow(run, "chunk_id string, dl int, terms array<long>, tf array<int>" + "".join(f", {c} string" for c in also))
 
 
 def forward_vectors(forward: DataFrame, dim: int = 64) -> DataFrame:
@@ -81,9 +85,10 @@ def forward_vectors(forward: DataFrame, dim: int = 64) -> DataFrame:
             v = np.bincount(owner * dim + cell, batch.column(2).flatten().to_numpy(), minlength=len(batch) * dim).reshape(len(batch), dim)
             norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
             v = v / np.where(norm > 0, norm, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim), pa.int32()), pa.array(v.ravel()))], names=["chunk_id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim), pa.int32()), pa.array(v.ravel())), *batch.columns[3:]], names=["chunk_id", "v", *also])
 
-    return forward.select("chunk_id", "terms", "tf").mapInArrow(run, "chunk_id string, v array<double>")
+    also = [c for c in ("document_id",) if c in forward.columns]
+    return forward.select("chunk_id", "terms", "tf", *also).mapInArrow(run, "chunk_id string, v array<double>" + "".join(f", {c} string" for c in also))
 
 
 def postings(tok: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ postings of their own words alone.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovelle.functions import text as T
+from trovelle.functions.npkern import byte_buffers, expand_ranges
 from trovelle.operators import index
 from trovelle.session import partitions, stored
 
@@ -107,12 +109,13 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 20, expand: bool = Tr
     return bm25_of_tables(tables, questions, k, expand, k1, b, lam)
 
 
-def bm25_of_tables(tables: dict, questions: DataFrame, k: int = 20, expand: bool = True, k1: float = 1.5, b: float = 0.75, lam: float = 1.0) -> DataFrame:
+def bm25_of_tables(tables: dict, questions: DataFrame, k: int = 20, expand: bool = True, k1: float = 1.5, b: float = 0.75, lam: float = 1.0, merged: bool = True) -> DataFrame:
     """(query_id, chunk_id, score, rank) for questions (query_id, question) over the tables forward, term_stats and corpus_stats, and postings if there.
 
     Scores are BM25 sums over the different query words times the matched share of them to the power lam;
     words that no passage has count in the share. Questions without matches, null ones among them, have no rows.
-    The texts of passages are not read.
+    The texts of passages are not read. Not `merged`, it gives the lists (query_id, PACKED) of parts of the passages, with a
+    hash of the document of each, which forward has to hold then.
     """
     spark = questions.sparkSession
     stats = tables["corpus_stats"].first()
@@ -126,7 +129,7 @@ def bm25_of_tables(tables: dict, questions: DataFrame, k: int = 20, expand: bool
             continue
         words = rows["terms"].combine_chunks().flatten().dictionary_encode()
         ids = np.array([index.word_id(w) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
-        few = len(rows) <= FEW and tables.get("postings") is not None
+        few = len(rows) <= FEW and tables.get("postings") is not None and merged
         wanted = np.unique(ids)
         if tables.get("term_stats") is not None and few:
             terms = spark.createDataFrame([(t,) for t in words.dictionary.to_pylist()], "term string")
@@ -147,9 +150,11 @@ def bm25_of_tables(tables: dict, questions: DataFrame, k: int = 20, expand: bool
         of = [(group.setdefault((t.tobytes(), m), len(group)), q) for q, t, m in zip(rows["query_id"].to_pylist(), own, size.tolist()) if len(t)]
         held = [(i, np.frombuffer(t, place.dtype), m) for (t, m), i in group.items()]
         shared = spark.sparkContext.broadcast((wanted, np.log(1 + (n - df + 0.5) / (df + 0.5)), held))
-        read = _together(tables["forward"].select("chunk_id", "dl", "terms", "tf"), n)
-        best = _merged(read.mapInArrow(_lexical_block(shared, avgdl, k, k1, b, lam, _segment_of(tables["forward"], n)), "query_id long, items array<string>, scores array<double>"), len(held), k, "chunk_id", n)
-        found.append(_named(best, of, rows.schema.field("query_id").type, kind))
+        read = _together(tables["forward"].select("chunk_id", "dl", "terms", "tf", *([] if merged else [_document()])), n)
+        lists = read.mapInArrow(_lexical_block(shared, avgdl, k, k1, b, lam, _segment_of(tables["forward"], n)), f"query_id long, {'items array<string>, scores array<double>' if merged else PACKED}")
+        found.append(_named(_merged(lists, len(held), k, "chunk_id", n) if merged else lists, of, rows.schema.field("query_id").type, kind))
+    if not merged:
+        return _union(found) if found else spark.createDataFrame([], f"query_id {kind}, {PACKED}")
     ranked = [f for f in found if "rank" in f.columns] + [top_k(f, k) for f in found if "rank" not in f.columns]
     if not ranked:
         return spark.createDataFrame([], f"query_id {kind}, chunk_id string, score double, rank int")
@@ -163,6 +168,47 @@ def _named(ranked: DataFrame, of: list[tuple], own: pa.DataType, kind: str) -> D
     return ranked.join(F.broadcast(named), F.col("query_id") == F.col("g__")).select(F.col("own__").cast(kind).alias("query_id"), *ranked.columns[1:])
 
 
+#: Lists that are not merged, as the bytes of their arrays, which pass from task to task as they are: the items one after another and how long each is, hashes of their documents, scores.
+PACKED = "items binary, lengths binary, documents binary, scores binary"
+
+
+def _packed(ends: np.ndarray, items: pa.Array, scores: np.ndarray) -> list[pa.Array]:
+    """The columns of PACKED from items with their documents; `ends` are those of the lists, from 0."""
+    data, offsets = byte_buffers(items.field(0))
+    documents = items.field(1).to_numpy(zero_copy_only=False)
+
+    def column(values: np.ndarray, at: np.ndarray) -> pa.Array:
+        return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+    return [column(data, offsets[ends]), column(np.diff(offsets).astype(np.int32), ends * 4), column(documents, ends * 8), column(scores, ends * 8)]
+
+
+def unpacked(lists: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """From the columns of PACKED: how many items each list has, items, documents and scores of all."""
+
+    def joined(column: pa.ChunkedArray) -> np.ndarray:
+        own = column.cast(pa.large_binary()).combine_chunks()
+        own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
+        offsets = np.frombuffer(own.buffers()[1], np.int64, len(own) + 1, own.offset * 8) if len(own) else np.zeros(1, np.int64)
+        return np.frombuffer(own.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy() if offsets[-1] else np.zeros(0, np.uint8)
+
+    data = {c: joined(lists[c]) for c in ("items", "lengths", "documents", "scores")}
+    offsets = np.concatenate([[0], np.cumsum(data["lengths"].view(np.int32), dtype=np.int64)])
+    items = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data["items"]))
+    return pc.binary_length(lists["scores"]).to_numpy().astype(np.int64) // 8, items, data["documents"].view(np.int64), data["scores"].view(np.float64)
+
+
+def _document() -> Column:
+    return F.xxhash64("document_id").alias("document")
+
+
+def _item(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
+    """The items of a table, with the hash of their document if it has that."""
+    own = [table.column(c) for c in (name, "document") if c in table.schema.names]
+    own = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in own]
+    return own[0] if len(own) == 1 else pa.StructArray.from_arrays(own, names=[name, "document"])
+
+
 def _flat(lists: pa.ChunkedArray) -> np.ndarray:
     return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
@@ -254,6 +300,10 @@ def _segments(batches, most: int | None = None):
         yield table
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint8) if not len(counts) or counts.max() <= 255 else counts
+
+
 def _known(batches, ids: np.ndarray, norm_of: Callable[[np.ndarray], np.ndarray], most: int | None = None):
     """Segments of passages: ids, norms, and for each asked word of a passage its place in `ids`, the passage and the count; other words are not held."""
     held, rows, most = [], 0, most or SEGMENT
@@ -267,12 +317,12 @@ def _known(batches, ids: np.ndarray, norm_of: Callable[[np.ndarray], np.ndarray]
     for batch in batches:
         for at in range(0, len(batch), most):
             part = batch.slice(at, most)
-            chunk, dl, terms, tf = (part.column(part.schema.get_field_index(c)) for c in ("chunk_id", "dl", "terms", "tf"))
+            chunk, dl, terms, tf = _item(part, "chunk_id"), *(part.column(part.schema.get_field_index(c)) for c in ("dl", "terms", "tf"))
             term = terms.flatten().to_numpy()
             row = np.minimum(np.searchsorted(ids, term), len(ids) - 1)
             own = np.flatnonzero(ids[row] == term)
             owner = np.repeat(np.arange(rows, rows + len(part), dtype=np.int32), terms.value_lengths().to_numpy(zero_copy_only=False))
-            held.append((chunk, norm_of(dl.to_numpy(zero_copy_only=False).astype(float)), row[own].astype(np.uint32), owner[own], tf.flatten().to_numpy()[own]))
+            held.append((chunk, norm_of(dl.to_numpy(zero_copy_only=False).astype(float)), row[own].astype(np.uint32), owner[own], _narrow(tf.flatten().to_numpy()[own])))
             rows += len(part)
             if rows >= most:
                 rows = 0
@@ -283,6 +333,7 @@ def _known(batches, ids: np.ndarray, norm_of: Callable[[np.ndarray], np.ndarray]
 
 def _places(items: pa.Array) -> np.ndarray:
     """The place of each item in their order, which settles ties."""
+    items = items.field(0) if pa.types.is_struct(items.type) else items
     place = np.empty(len(items), np.int64)
     place[pc.sort_indices(items).to_numpy()] = np.arange(len(items))
     return place
@@ -300,9 +351,13 @@ def _given(ids: list, kind, rows: list[tuple[int, np.ndarray, np.ndarray]], item
     """Record batches of (question, items, scores) from (question, rows of items, scores)."""
     for at in range(0, len(rows), size):
         part = rows[at : at + size]
-        offsets = pa.array(np.cumsum([0, *(len(r[1]) for r in part)]), pa.int32())
-        lists = [items.take(pa.array(np.concatenate([r[1] for r in part]))), pa.array(np.concatenate([r[2] for r in part]))]
-        yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in part], kind), *(pa.ListArray.from_arrays(offsets, x) for x in lists)], names=["query_id", "items", "scores"])
+        ends = np.cumsum([0, *(len(r[1]) for r in part)])
+        own, scores = items.take(pa.array(np.concatenate([r[1] for r in part]))), np.concatenate([r[2] for r in part])
+        if pa.types.is_struct(items.type):
+            columns, names = _packed(ends, own, scores), ["items", "lengths", "documents", "scores"]
+        else:
+            columns, names = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (own, pa.array(scores))], ["items", "scores"]
+        yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in part], kind), *columns], names=["query_id", *names])
 
 
 class _Sums:
@@ -459,7 +514,7 @@ class _Words(_Sums):
         del weight, row
         often = np.flatnonzero(df > max(64, n * self.FREQUENT))
         often = often[np.argsort(-df[often], kind="stable")[: self.ROWS]]
-        self.row = np.full(words, -1)
+        self.often, self.row = often, np.full(words, -1)
         self.row[often] = np.arange(len(often))
         super().__init__(len(often), n)
         self.counts = np.zeros((len(often), n), self.tf.dtype)
@@ -497,6 +552,65 @@ class _Words(_Sums):
         share = (tf > 0).sum(axis=0) / size
         return np.round(weight.sum(axis=0) * (share if lam == 1 else share**lam), 12)
 
+    def least(self, terms: int, size: int, lam: float, bar: float) -> int:
+        """What the sum of weights for a passage is at least if its score reaches the bar."""
+        m = np.arange(1, terms + 1)
+        return max(1, int(((bar - 2e-9) * (size / m) ** lam + self.EACH * m).min() * self.scale * (1 - 1e-9)) - 1) if bar > 0 else 1
+
+    def together(self, rows: tuple[int, ...], asked: list[tuple[int, np.ndarray, int, float]], lam: float, k: int, place: np.ndarray):
+        """The k best passages, by score and `place`, for questions (number, terms, size, bar) that all have the frequent words of `rows`, and other words of their own: (number, passages, scores).
+
+        The order of passages by the shared words alone is the same for all of them. A passage without other words of a
+        question is among its k best only if it is among the k best by the shared ones, since those before it only gain
+        by other words; so besides these k only the passages of other words are left.
+        """
+        asked = sorted(asked, key=lambda a: a[0])
+        names, size, bar = np.array([a[0] for a in asked]), np.array([float(a[2]) for a in asked]), np.array([a[3] for a in asked])
+        longest, count = int(size.max()), np.array([len(a[1]) for a in asked])
+        common = asked[0][1][self.row[asked[0][1]] >= 0]
+        shared, scores = self.best(common, rows, True, longest, lam, k, 0.0)
+        if len(scores) >= k:
+            bar = np.maximum(bar, np.partition(scores, len(scores) - k)[len(scores) - k] * (longest / size) ** lam * (1 - 1e-12) - 1e-11)
+        m = np.arange(1, count.max() + 1)
+        least = (bar[:, None] - 2e-9) * (size[:, None] / m) ** lam + self.EACH * m
+        least = np.where(bar > 0, np.where(m <= count[:, None], least, np.inf).min(axis=1) * self.scale * (1 - 1e-9) - 2, 1)
+        term, q = np.concatenate([a[1] for a in asked]), np.repeat(np.arange(len(asked)), count)
+        rare = self.row[term] < 0
+        term, q = term[rare], q[rare]
+        most = np.bincount(q, np.ceil((self.top[term] + self.EACH) * self.scale) + 1, len(asked))
+        at, of = expand_ranges(self.start[term], self.start[term + 1] - self.start[term])
+        found, q, term = self.summed(rows), q[of], term[of]
+        some = np.flatnonzero(found[self.owner[at]] + most[q] >= least[q])
+        at, q, term = at[some], q[some], term[some]
+        key, of = np.unique(q * self.n + self.owner[at], return_inverse=True)
+        q, own = key // self.n, key % self.n
+        some = found[own] + np.bincount(of, self.weight[at], len(key)) >= least[q]
+        tf = self.tf[at].astype(float)
+        weight = np.bincount(of, self.idf[term] * tf * (self.k1 + 1) / (tf + self.norm[self.owner[at]]), len(key))[some]
+        matched = np.bincount(of, minlength=len(key))[some]
+        q, own = q[some], own[some]
+        both = ((np.arange(len(asked)) * self.n)[:, None] + shared).ravel()
+        if len(key):
+            both = both[key[np.minimum(key.searchsorted(both), len(key) - 1)] != both]
+        q, own = np.concatenate([q, both // self.n]), np.concatenate([own, both % self.n])
+        different, of = np.unique(own, return_inverse=True)
+        tf = self.counts[np.array(rows)[:, None], different].astype(float)
+        often = (self.idf[self.often[list(rows)]][:, None] * tf * (self.k1 + 1) / (tf + self.norm[different])).sum(axis=0)[of]
+        often[: len(weight)] += weight
+        share = (tf > 0).sum(axis=0)[of]
+        share[: len(matched)] += matched
+        share = share / size[q]
+        scores = np.round(often * (share if lam == 1 else share**lam), 12)
+        some = np.flatnonzero((scores >= bar[q] - 2e-9) & (scores > 0))
+        q, own, scores = q[some], own[some], scores[some]
+        order = np.lexsort((place[own], -np.round(scores, 9), q))
+        q = q[order]
+        some = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, own, scores = q[some], own[order][some], scores[order][some]
+        if len(q):
+            cuts = np.flatnonzero(np.diff(q)) + 1
+            yield from zip(names[q[np.append(0, cuts)]].tolist(), np.split(own, cuts), np.split(scores, cuts))
+
     def best(self, terms: np.ndarray, rows: tuple[int, ...], narrow: bool, size: int, lam: float, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
         """Passages that may be among the k best or reach the bar, all that do among them, and their scores.
 
@@ -509,10 +623,9 @@ class _Words(_Sums):
             found[self.owner[own]] += self.weight[own]
         grid = found.reshape(self.DEPTH, self.columns)
         highest = grid.max(axis=0)
-        m = np.arange(1, len(terms) + 1)
 
         def least_for(bar: float) -> int:
-            return max(1, int(((bar - 2e-9) * (size / m) ** lam + self.EACH * m).min() * self.scale * (1 - 1e-9)) - 1) if bar > 0 else 1
+            return self.least(len(terms), size, lam, bar)
 
         def raised(own: np.ndarray) -> float:
             """The bar after some passages were scored, the most promising ones."""
@@ -533,6 +646,22 @@ class _Words(_Sums):
         return own[some], scores[some]
 
 
+def _found(words: _Words, held: list[tuple[tuple[int, ...], int, np.ndarray]], place: np.ndarray, sizes: list[int], lam: float, k: int, bars: np.ndarray):
+    """(question, passages, scores) of the k best from sorted (frequent rows, question, terms)."""
+    for often, group in itertools.groupby(held, lambda h: h[0]):
+        alike, alone = [], []
+        for _, q, terms in group:
+            (alike if often and words.narrow[q] else alone).append((q, terms, sizes[q], bars[q]))
+        if len(alike) == 1:
+            alone, alike = alone + alike, []
+        for at in range(0, len(alike), 256):
+            yield from words.together(often, alike[at : at + 256], lam, k, place)
+        for q, terms, size, bar in alone:
+            own, scores = words.best(terms, often, bool(words.narrow[q]), size, lam, k, bar)
+            some = _first(scores, place[own], k)
+            yield q, own[some], scores[some]
+
+
 def _lexical_block(shared, avgdl: float, k: int, k1: float, b: float, lam: float, most: int | None = None) -> Callable:
     """Scores segments of passages question by question, those with the same frequent words after one another."""
 
@@ -550,10 +679,7 @@ def _lexical_block(shared, avgdl: float, k: int, k1: float, b: float, lam: float
                 if len(terms):
                     held.append((words.frequent(terms), q, terms))
             held.sort(key=lambda h: h[:2])
-            for often, q, terms in held:
-                own, scores = words.best(terms, often, bool(words.narrow[q]), sizes[q], lam, k, bars[q])
-                some = _first(scores, place[own], k)
-                own, scores = own[some], scores[some]
+            for q, own, scores in _found(words, held, place, sizes, lam, k, bars):
                 if len(own):
                     rows.append((q, own, scores))
                 if len(own) == k:
@@ -563,14 +689,15 @@ def _lexical_block(shared, avgdl: float, k: int, k1: float, b: float, lam: float
     return run
 
 
-def vector(items: DataFrame, item: str, embedding: str, queries: DataFrame, query: str, query_embedding: str, k: int = 20, keep_self: bool = True, n: int | None = None) -> DataFrame:
+def vector(items: DataFrame, item: str, embedding: str, queries: DataFrame, query: str, query_embedding: str, k: int = 20, keep_self: bool = True, n: int | None = None, merged: bool = True) -> DataFrame:
     """(query_id, item, score, rank): exact top-k by inner product over unit vectors; nulls and vectors of another length have no rows.
 
     Filters on items go before the call, so that they narrow what is ranked. `n` is how many items there are, if known.
+    Not `merged`, it gives lists as bm25_of_tables() does, of items that have a document_id.
     """
     dim_of = queries.where(F.col(query_embedding).isNotNull()).select(F.max(F.size(query_embedding))).first()[0]
     kind, qkind = dict(items.dtypes)[item], dict(queries.dtypes)[query]
-    good = items.where(F.col(item).isNotNull() & (F.size(embedding) == (dim_of or -1))).select(item, F.col(embedding).cast("array<double>").alias("v"))
+    good = items.where(F.col(item).isNotNull() & (F.size(embedding) == (dim_of or -1))).select(item, F.col(embedding).cast("array<double>").alias("v"), *([] if merged else [_document()]))
     found = []
     own = queries.where(F.col(query).isNotNull() & (F.size(query_embedding) == (dim_of or -1))).select(F.col(query).alias("q"), F.col(query_embedding).cast("array<double>").alias("v"))
     for part in _batches(own, "q", max(1, min(QUESTIONS_A_BATCH, BATCH_BYTES // (8 * (dim_of or 1))))):
@@ -585,11 +712,11 @@ def vector(items: DataFrame, item: str, embedding: str, queries: DataFrame, quer
             else:
                 held = (ids, matrix)
             shared = items.sparkSession.sparkContext.broadcast(held)
-            best = _together(good, n).mapInArrow(_vector_block(shared, k, keep_self, item, _segment_of(good, n)), f"query_id {'long' if keep_self else qkind}, items array<{kind}>, scores array<double>")
-            best = _merged(best, len(held[0]), k, item, n)
+            best = _together(good, n).mapInArrow(_vector_block(shared, k, keep_self, item, _segment_of(good, n)), f"query_id {'long' if keep_self else qkind}, {f'items array<{kind}>, scores array<double>' if merged else PACKED}")
+            best = _merged(best, len(held[0]), k, item, n) if merged else best
             found.append(_named(best, of, rows.schema.field("q").type, qkind) if keep_self else best)
     if not found:
-        return items.sparkSession.createDataFrame([], f"query_id {qkind}, {item} {kind}, score double, rank int")
+        return items.sparkSession.createDataFrame([], f"query_id {qkind}, {item} {kind}, score double, rank int" if merged else f"query_id {qkind}, {PACKED}")
     return _union(found)
 
 
@@ -605,7 +732,7 @@ def _vector_block(shared, k: int, keep_self: bool, item: str, most: int | None =
         bars = np.full(len(ids), -np.inf)
         counted = _Counted(matrix) if keep_self else None
         for table in _segments(batches, most):
-            items = table[item].combine_chunks()
+            items = _item(table, item)
             v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
             fine = np.isfinite(v).all(axis=1)
             if not fine.all():

@@ -42,16 +42,17 @@ Embedder = Callable[[DataFrame, str, Column], DataFrame]
 
 
 class _Made(dict):
-    """The tables of an index over passages, each written when a search first asks for it."""
+    """The tables of an index over passages, each written when a search first asks for it; the passages themselves as well, unless they are tables already."""
 
-    def __init__(self, chunks: DataFrame, embed: Embedder):
-        super().__init__(chunks=chunks)
-        self.embed = embed
+    def __init__(self, chunks: DataFrame, embed: Embedder, write: bool = False):
+        super().__init__({} if write else {"chunks": chunks})
+        self.source, self.embed = chunks, embed
 
     def __missing__(self, name: str) -> DataFrame:
         make = {
-            "forward": lambda: stored(index.forward(self["chunks"])),
-            "corpus_stats": lambda: index.corpus_stats(self["forward"]),
+            "chunks": lambda: stored(self.source),
+            "forward": lambda: stored(index.forward(self.get("chunks", self.source))),
+            "corpus_stats": lambda: stored(index.corpus_stats(self["forward"])),
             "vectors": lambda: index.forward_vectors(self["forward"]) if self.embed is index.hashed_vectors else stored(self.embed(self["chunks"], "chunk_id", index.contextual_text())),
         }
         self[name] = make[name]()
@@ -65,15 +66,18 @@ class Index:
         self.tables, self.embed = tables, embed
 
     @classmethod
-    def of(cls, chunks: "DataFrame | Index", embed: Embedder = index.hashed_vectors) -> "Index":
-        """The index of passages that have none, made for as long as the process runs; an index is taken as it is."""
-        return chunks if isinstance(chunks, Index) else cls(_Made(chunks, embed), embed)
+    def of(cls, chunks: "DataFrame | Index", embed: Embedder = index.hashed_vectors, write: bool = False) -> "Index":
+        """The index of passages that have none, made for as long as the process runs; an index is taken as it is. `write`: passages become a table when their texts are first asked for."""
+        return chunks if isinstance(chunks, Index) else cls(_Made(chunks, embed, write), embed)
 
-    def lexical(self, questions: DataFrame, k: int) -> DataFrame:
-        return retrieve.bm25_of_tables(self.tables, questions, k)
+    def size(self) -> int:
+        return self.tables["corpus_stats"].first()["n"]
 
-    def dense(self, questions: DataFrame, k: int) -> DataFrame:
-        return retrieve.vector(self.tables["vectors"], "chunk_id", "v", self.embed(questions, "query_id", F.col("question")), "query_id", "v", k, n=self.tables["corpus_stats"].first()["n"])
+    def lexical(self, questions: DataFrame, k: int, merged: bool = True) -> DataFrame:
+        return retrieve.bm25_of_tables(self.tables, questions, k, merged=merged)
+
+    def dense(self, questions: DataFrame, k: int, merged: bool = True) -> DataFrame:
+        return retrieve.vector(self.tables["vectors"], "chunk_id", "v", self.embed(questions, "query_id", F.col("question")), "query_id", "v", k, n=self.size(), merged=merged)
 
 
 class _Lists:
