@@ -684,6 +684,7 @@ def _lexical_block(shared, avgdl: float, k: int, k1: float, b: float, lam: float
                     rows.append((q, own, scores))
                 if len(own) == k:
                     bars[q] = max(bars[q], scores.min())
+            del words, held, place  # not held while the next task has the lists
             yield from _given([q for q, _, _ in questions], None, rows, items)
 
     return run
